@@ -279,7 +279,7 @@ def crew_by_department(t: Tables) -> DataFrame:
         ).alias("avg_experience"),
         F.max("experience_years").alias("max_experience"),
     )
-    worked = t["works_on"].join(crew.select("crew_id", "department"), "crew_id")
+    worked = t["works_on"].select("crew_id", "film_id").join(crew.select("crew_id", "department"), "crew_id")
     return attach(
         stats,
         worked,
