@@ -13,6 +13,7 @@ from callboard.plans import reports as R
 from callboard.plans.queries_quality import EVENT_VIOLATIONS, event_rules
 from callboard.plans import queries_changes, queries_reports  # noqa: F401
 from callboard.plans.registry import ORACLE, Data, query
+from callboard.sources import sinks
 from callboard.sources.tables import DRIVER_SCHEMAS, driver_path
 from callboard.streaming import jobs
 
@@ -33,8 +34,8 @@ def _folders(d: Data) -> tuple[str, str]:
 def _(d):
     path, progress = _folders(d)
     jobs.quarantine(_events(d), event_rules(), path, progress).awaitTermination()
-    stored = d.spark.read.parquet(path).where("NOT is_valid")
-    return stored.select("event_id", F.explode("violations").alias("v")).select("event_id", "v.rule_id", "v.message")
+    _, bad = sinks.read_split(d.spark, path)
+    return bad.select("event_id", F.explode("violations").alias("v")).select("event_id", "v.rule_id", "v.message")
 
 
 @query("stream_activity_summary")

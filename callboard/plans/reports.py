@@ -53,11 +53,14 @@ def _with_money(film: DataFrame) -> DataFrame:
 
 def film_basic(t: Tables, key=None, limit: int | None = None) -> DataFrame:
     """Every film with its director; ``limit`` gives the first rows by id as a preview."""
-    films = _with_director(_only(t["film"], "film_id", key), t["director"], "director_name").select(
+    films = _only(t["film"], "film_id", key)
+    if limit is not None:
+        # The director join neither adds nor drops films, so the cap goes below it.
+        films = A.top_n(films, limit, F.asc_nulls_first("film_id"))
+    return _with_director(films, t["director"], "director_name").select(
         "film_id", "title", "release_date", "budget", "duration", "language", "rating",
         "production_status", "director_name", "created_date",
     )
-    return films if limit is None else A.top_n(films, limit, F.asc_nulls_first("film_id"))
 
 
 def film_profitability(t: Tables, key=None) -> DataFrame:

@@ -42,7 +42,8 @@ def quarantine(
 ) -> StreamingQuery:
     """Mark rows on arrival and file them under ``is_valid=true`` or ``is_valid=false``.
 
-    Stateless: one projection, one pass, both sides in one exactly-once file sink.
+    Stateless: one projection, one pass, both sides in one exactly-once file sink that
+    ``sinks.read_split`` reads.
     Reference rules join the stream to a static parent table.
     """
     if any(isinstance(rule, Unique) for rule in rules):
