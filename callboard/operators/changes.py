@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from callboard import session
 from callboard.functions import scalars as S
 from callboard.operators.aggregates import first_by
-from callboard.operators.joins import having_match, without_match
+from callboard.operators.joins import having_match, join_on, without_match
 from callboard.sources.model import NO_DEFAULT, NOW, Ref, Table
 
 # Inserts ---------------------------------------------------------------------------
@@ -85,13 +85,10 @@ def insert_ignore(
 
 def insert_select(target: DataFrame, parent: DataFrame, on: Mapping[str, str], copied: Mapping[str, str]) -> DataFrame:
     """New rows that take attributes from their parent; rows without a parent are not inserted."""
-    picked = parent.select(
-        *[F.col(p).alias(f"_k{i}") for i, p in enumerate(on.values())],
-        *[F.col(source).alias(name) for name, source in copied.items()],
-    )
-    match = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(on)]
+    picked = parent.select(*on.values(), *[F.col(source).alias(f"_{name}") for name, source in copied.items()])
+    joined = join_on(target, picked, on, "inner", [f"_{name}" for name in copied], spread=True)
     kept = [c for c in target.columns if c not in copied]
-    return target.join(picked, match).select(*kept, *copied)
+    return joined.select(*kept, *[F.col(f"_{name}").alias(name) for name in copied])
 
 
 def fill_defaults(df: DataFrame, table: Table, now: dt.datetime | None = None) -> DataFrame:
@@ -164,15 +161,21 @@ def apply_updates(
     columns: Sequence[str],
     touched: str | None = None,
     now: Column | dt.datetime | None = None,
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Sets ``columns`` of the rows named by ``updates``, which holds one row per key.
 
-    A NULL in the update is set as NULL. ``touched`` is set to ``now`` on the rows where
-    a value really changed.
+    With ``order_by`` it may hold several, and the last one in that order wins. A NULL in
+    the update is set as NULL. ``touched`` is set to ``now`` on the rows where a value
+    really changed.
     """
-    arriving = updates.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.struct(*columns).alias("_new")
-    )
+    if order_by:
+        # Map-side combine: a key updated very often sends one row per task.
+        last = F.max_by(F.struct(*columns), F.struct(*order_by))
+        updates = updates.groupBy(*key).agg(last.alias("_new"))
+    else:
+        updates = updates.select(*key, F.struct(*columns).alias("_new"))
+    arriving = updates.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_new")
     joined = base.join(arriving, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)], "left")
     hit = F.col("_new").isNotNull()
     changed = F.lit(False)
@@ -358,9 +361,9 @@ def delete_cascade(
             if ref.on_delete == "set null":
                 left[child] = set_null(left[child], ref.column, dead, ref.parent)
                 continue
-            left[child] = without_match(left[child], dead, on)
+            left[child] = without_match(left[child], dead, on, spread=True)
             if child in parents:
-                part = having_match(tables[child], dead, on)
+                part = having_match(tables[child], dead, on, spread=True)
                 dropped = part if dropped is None else dropped.unionByName(part)
         if dropped is not None:
             gone[child] = dropped
@@ -369,8 +372,8 @@ def delete_cascade(
 
 def set_null(df: DataFrame, column: str, dead: DataFrame, parent: str) -> DataFrame:
     """Clears a reference to deleted parents."""
-    names = dead.select(F.col(parent).alias("_dead")).distinct()
-    joined = df.join(names, F.col(column) == F.col("_dead"), "left")
+    names = dead.select(parent).distinct().withColumn("_dead", F.lit(True))
+    joined = join_on(df, names, {column: parent}, "left", ["_dead"], spread=True)
     cleared = F.when(F.col("_dead").isNull(), F.col(column))
     return joined.withColumn(column, cleared).select(*df.columns)
 
@@ -431,8 +434,8 @@ def guarded_delete(accounts: DataFrame, keys: DataFrame, key: str = "username")
     active administrator and one remains; otherwise none of it is. The guard is one
     aggregate read as a scalar subquery, not a driver-side count.
     """
-    named = keys.select(F.col(key).alias("_k")).distinct().withColumn("_asked", F.lit(True))
-    joined = accounts.join(named, F.col(key) == F.col("_k"), "left").drop("_k")
+    named = keys.select(key).distinct().withColumn("_asked", F.lit(True))
+    joined = join_on(accounts, named, {key: key}, "left", ["_asked"])
     asked = F.col("_asked").isNotNull()
     admin = F.col("role") == "admin"
     active = admin & F.col("is_active")

@@ -1,4 +1,12 @@
-"""Join shapes. Catalyst and AQE pick the physical join; no side is hinted."""
+"""Join shapes. Catalyst and AQE pick the physical join; no side is hinted.
+
+AQE splits the partition of a hot key only in a join whose two inputs are both fresh
+shuffles. The output of an aggregate or an earlier join on the same key is already
+partitioned, so the planner saves that shuffle and with it the chance to split. Where
+the left rows may be skewed, ``spread=True`` joins on the key's hash as well: the saved
+partitioning no longer fits, both sides are shuffled, and AQE can split. It is left off
+where both sides hold one row per key.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +14,43 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Key types for which equal values have equal hashes on both sides.
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_HASHABLE = (*_WHOLE, T.StringType, T.DateType, T.BooleanType)
+
+
+def join_on(
+    df: DataFrame, other: DataFrame, on: Mapping[str, str], how: str, columns: Sequence[str] = (), spread: bool = False
+) -> DataFrame:
+    """Equi-join on ``{left column: right column}`` that adds only ``columns`` of the right.
+
+    The right key columns are renamed for the join and dropped after it, so tables may
+    share column names.
+    """
+    keys = [F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]
+    match = [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)]
+    helpers = [f"_k{i}" for i in range(len(on))]
+    if spread and (hashes := _hashes(df, other, on)):
+        left_hash, right_hash = hashes
+        keys.append(right_hash.alias("_h"))
+        match.append(left_hash == F.col("_h"))
+        helpers.append("_h")
+    joined = df.join(other.select(*keys, *columns), match, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*helpers)
+
+
+def _hashes(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> tuple[Column, Column] | None:
+    sides: tuple[list[Column], list[Column]] = ([], [])
+    for left, right in on.items():
+        kinds = df.schema[left].dataType, other.schema[right].dataType
+        whole = all(isinstance(k, _WHOLE) for k in kinds)
+        if not whole and not (kinds[0] == kinds[1] and isinstance(kinds[0], _HASHABLE)):
+            return None
+        for side, name in zip(sides, (left, right), strict=True):
+            side.append(F.col(name).cast("bigint") if whole else F.col(name))
+    return F.xxhash64(*sides[0]), F.xxhash64(*sides[1])
 
 
 def per_parent(child: DataFrame, key: str | Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -24,6 +69,7 @@ def attach(
     on: Mapping[str, str],
     aggs: Mapping[str, Column],
     defaults: Mapping[str, object] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Left join of a parent to the per-key aggregates of one child table.
 
@@ -35,7 +81,7 @@ def attach(
     parents without children.
     """
     small = per_parent(child, list(on.values()), aggs)
-    return lookup(parent, small, on, list(aggs), defaults)
+    return lookup(parent, small, on, list(aggs), defaults, spread)
 
 
 def lookup(
@@ -44,11 +90,10 @@ def lookup(
     on: Mapping[str, str],
     columns: Sequence[str],
     defaults: Mapping[str, object] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Left join that adds ``columns`` of a reference table holding one row per key."""
-    renamed = reference.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())], *columns)
-    match = [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)]
-    joined = df.join(renamed, match, "left").drop(*[f"_k{i}" for i in range(len(on))])
+    joined = join_on(df, reference, on, "left", columns, spread)
     for name, value in (defaults or {}).items():
         joined = joined.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(joined.schema[name].dataType)))
     return joined
@@ -69,22 +114,15 @@ def details_with_count(
     childless = counted.where(F.col(count).isNull()).select(
         *parent.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.lit(1).cast("bigint").alias(count)
     )
-    details = child.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())], *columns)
-    match = [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)]
-    matched = counted.where(F.col(count).isNotNull()).join(details, match, "inner")
+    matched = join_on(counted.where(F.col(count).isNotNull()), child, on, "inner", columns, spread=True)
     return matched.select(*parent.columns, *columns, count).unionByName(childless)
 
 
-def having_match(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> DataFrame:
+def having_match(df: DataFrame, other: DataFrame, on: Mapping[str, str], spread: bool = False) -> DataFrame:
     """Rows whose key exists in the other table (semi join)."""
-    return _membership(df, other, on, "left_semi")
+    return join_on(df, other, on, "left_semi", spread=spread)
 
 
-def without_match(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> DataFrame:
+def without_match(df: DataFrame, other: DataFrame, on: Mapping[str, str], spread: bool = False) -> DataFrame:
     """Rows whose key does not exist in the other table (anti join); NULL keys stay."""
-    return _membership(df, other, on, "left_anti")
-
-
-def _membership(df: DataFrame, other: DataFrame, on: Mapping[str, str], how: str) -> DataFrame:
-    keys = other.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())])
-    return df.join(keys, [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)], how)
+    return join_on(df, other, on, "left_anti", spread=spread)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callboard.functions import scalars as S
+from callboard.operators.joins import join_on, without_match
 from callboard.sources.model import Table
 
 VIOLATION = "struct<rule_id:string,message:string>"
@@ -187,9 +188,8 @@ def duplicate_keys(df: DataFrame, key: Sequence[str], name: str = "rows") -> Dat
 
 def orphans(df: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
     """Rows whose non-NULL key has no parent row."""
-    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parent_columns)])
-    match = [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)]
-    return df.dropna(subset=list(columns)).join(keys, match, "left_anti")
+    on = dict(zip(columns, parent_columns, strict=True))
+    return without_match(df.dropna(subset=list(columns)), parent, on, spread=True)
 
 
 def check(df: DataFrame, rules: Sequence[AnyRule], refs: Mapping[str, DataFrame] | None = None) -> DataFrame:
@@ -211,9 +211,8 @@ def check(df: DataFrame, rules: Sequence[AnyRule], refs: Mapping[str, DataFrame]
             tests.append((rule, rule.broken()))
             continue
         flag = f"_found{i}"
-        extra = extra.select(*[F.col(p).alias(f"_k{i}_{j}") for j, p in enumerate(parent)], F.lit(True).alias(flag))
-        match = [F.col(c) == F.col(f"_k{i}_{j}") for j, c in enumerate(columns)]
-        marked = marked.join(extra, match, "left").drop(*[f"_k{i}_{j}" for j in range(len(parent))])
+        extra = extra.withColumn(flag, F.lit(True))
+        marked = join_on(marked, extra, dict(zip(columns, parent, strict=True)), "left", [flag], spread=True)
         missing = F.col(flag).isNull()
         for c in columns:
             missing = missing & F.col(c).isNotNull()

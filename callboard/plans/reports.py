@@ -335,6 +335,7 @@ def distributor_performance(t: Tables) -> DataFrame:
         t["film"],
         {"film_id": "film_id"},
         ["boxoffice_collection"],
+        spread=True,
     )
     return attach(
         t["distributor"].select("distributor_id", "name", "region", "market_share"),

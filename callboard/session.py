@@ -36,7 +36,7 @@ def build(app: str = "callboard", cpus: str | int = "*", **conf: str) -> SparkSe
 
 def tune(spark: SparkSession) -> SparkSession:
     """Fill in the runtime settings that this session leaves unset."""
-    explicit = {name for name, _ in spark.sparkContext.getConf().getAll()}
+    explicit = spark.conf.getAll
     for name, value in RUNTIME_DEFAULTS.items():
         if name not in explicit:
             spark.conf.set(name, value)

@@ -91,6 +91,12 @@ def test_updates_set_values_nulls_and_the_change_time(make):
     assert rows(got) == [(1, None, "x", "2024-01-01"), (2, "b", "y", "2020-01-01"), (3, "c", "z", "2020-01-01")]
 
 
+def test_the_last_of_several_updates_wins(make):
+    base = make([(1, "a"), (2, "b")], "id int, v string")
+    updates = make([(1, 3, None), (1, 2, "y"), (1, 1, "z"), (2, 1, "q")], "id int, n int, v string")
+    assert rows(C.apply_updates(base, updates, ["id"], ["v"], order_by=["n"])) == [(1, None), (2, "q")]
+
+
 def test_audit_ignores_changes_from_and_to_null(make):
     old = make([(1, "a", 1), (2, None, 1), (3, "c", 1), (4, "d", 1)], "id int, s string, n int")
     new = make([(1, "b", 2), (2, "x", 1), (3, None, 1), (5, "e", 1)], "id int, s string, n int")
