@@ -6,23 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def decimal_ratio(numerator: Column, denominator: Column, precision: int, scale: int) -> Column:
-    """Exact quotient rounded half-up to ``scale`` digits; NULL on a zero divisor."""
-    return F.when(denominator != 0, (numerator / denominator).cast(f"decimal({precision},{scale})"))
+def decimal_ratio(numerator: Column, denominator: Column, scale_in: int, precision: int, scale: int) -> Column:
+    """Quotient rounded half-up to ``scale`` digits; NULL on a zero divisor.
+
+    The numerator, with ``scale_in`` decimals, is held to 28 digits so that the division
+    keeps at least ten decimals before the final rounding.
+    """
+    exact = numerator.cast(f"decimal(28,{scale_in})") / denominator
+    return F.when(denominator != 0, exact.cast(f"decimal({precision},{scale})"))
+
+
+def decimal_shape(df: DataFrame, column: str) -> tuple[int, int]:
+    """Precision and scale of a column; integers count as decimals without a scale."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.precision, kind.scale
+    return (20, 0) if isinstance(kind, T.LongType) else (10, 0)
 
 
-def average(df: DataFrame, column: str) -> Column:
-    """Average in decimals, four digits finer than the input; integers count as scale 0.
+def average(df: DataFrame, column: str, weight: str | None = None) -> Column:
+    """Average in decimals, four digits finer than the input.
 
-    The result does not depend on the order in which rows arrive.
+    The result does not depend on the order in which rows arrive. With a ``weight`` each
+    row counts that many times.
     """
-    kind = df.schema[column].dataType.simpleString()
-    value = F.col(column).cast("decimal(10,0)") if kind in ("int", "smallint", "tinyint") else F.col(column)
-    if kind == "bigint":
-        value = F.col(column).cast("decimal(20,0)")
-    return F.avg(value)
+    precision, scale = decimal_shape(df, column)
+    value = F.col(column).cast(f"decimal({precision},{scale})")
+    if weight is None:
+        return F.avg(value)
+    rows = F.sum(F.when(value.isNotNull(), F.col(weight)))
+    return decimal_ratio(F.sum(value * F.col(weight)), rows, scale, precision + 4, scale + 4)
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
@@ -43,8 +59,8 @@ def share_of_total(df: DataFrame, key: str, measure: Column | None = None, name:
     amount = F.count(F.lit(1)) if measure is None else F.sum(measure)
     grouped = df.groupBy(key).agg(amount.alias("amount"))
     total = grouped.agg(F.sum("amount")).scalar()
-    exact = F.col("amount").cast("decimal(28,4)") * 100 / total.cast("decimal(28,4)")
-    return grouped.withColumn(name, F.when(total != 0, F.round(exact, 2).cast("decimal(7,2)")))
+    share = decimal_ratio(F.col("amount") * 100, total.cast("decimal(28,4)"), 4, 7, 2)
+    return grouped.withColumn(name, share)
 
 
 def totals(*measures: tuple[DataFrame, Sequence[Column]]) -> DataFrame:
@@ -80,6 +96,7 @@ __all__ = [
     "average",
     "count_by",
     "decimal_ratio",
+    "decimal_shape",
     "first_by",
     "share_of_total",
     "top_n",

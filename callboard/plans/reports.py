@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from callboard.functions import scalars as S
 from callboard.operators import aggregates as A
-from callboard.operators.joins import attach, details_with_count, having_match, lookup
+from callboard.operators.joins import attach, details_with_count, having_match, lookup, per_parent
 
 Tables = Mapping[str, DataFrame]
 ALL = object()
@@ -48,6 +48,12 @@ def _with_money(film: DataFrame) -> DataFrame:
     )
 
 
+def _sum_of(df: DataFrame, column: str) -> str:
+    """Type of a decimal column's sum, kept when the sum is made in two steps."""
+    precision, scale = A.decimal_shape(df, column)
+    return f"decimal({min(precision + 10, 38)},{scale})"
+
+
 # Films -----------------------------------------------------------------------------
 
 
@@ -270,16 +276,9 @@ def crew_by_department(t: Tables) -> DataFrame:
     """
     crew = t["crew"].where(F.col("department").isNotNull()).select("crew_id", "department", "experience_years")
     members = attach(crew, t["works_on"], {"crew_id": "crew_id"}, {"weight": F.count(F.lit(1))}, {"weight": 1})
-    years = F.col("experience_years")
-    if dict(crew.dtypes)["experience_years"] == "int":
-        years, kind = years.cast("decimal(10,0)"), (14, 4)
-    else:
-        kind = (19, 6)
     stats = members.groupBy("department").agg(
         F.count("crew_id").alias("crew_count"),
-        A.decimal_ratio(
-            F.sum(years * F.col("weight")), F.sum(F.when(years.isNotNull(), F.col("weight"))), *kind
-        ).alias("avg_experience"),
+        A.average(members, "experience_years", "weight").alias("avg_experience"),
         F.max("experience_years").alias("max_experience"),
     )
     worked = t["works_on"].select("crew_id", "film_id").join(crew.select("crew_id", "department"), "crew_id")
@@ -329,22 +328,25 @@ def producer_investment(t: Tables, key=None) -> DataFrame:
 
 
 def distributor_performance(t: Tables) -> DataFrame:
-    """Films, fees and average box office per distributor, one box office per contract."""
-    deals = lookup(
-        t["distributes"].select("distributor_id", "film_id", "distribution_fee"),
-        t["film"],
-        {"film_id": "film_id"},
-        ["boxoffice_collection"],
-        spread=True,
+    """Films, fees and average box office per distributor, one box office per contract.
+
+    Contracts are first brought down to one row per distributor and film. That takes the
+    shuffle a distinct count of films would need anyway, and what follows is plain sums.
+    """
+    deals = per_parent(
+        t["distributes"],
+        ["distributor_id", "film_id"],
+        {"fees": F.sum("distribution_fee"), "contracts": F.count(F.lit(1))},
     )
+    deals = lookup(deals, t["film"], {"film_id": "film_id"}, ["boxoffice_collection"], spread=True)
     return attach(
         t["distributor"].select("distributor_id", "name", "region", "market_share"),
         deals,
         {"distributor_id": "distributor_id"},
         {
-            "films_distributed": F.count_distinct("film_id"),
-            "total_fees": F.sum("distribution_fee"),
-            "avg_boxoffice": A.average(deals, "boxoffice_collection"),
+            "films_distributed": F.count("film_id"),
+            "total_fees": F.sum("fees").cast(_sum_of(t["distributes"], "distribution_fee")),
+            "avg_boxoffice": A.average(deals, "boxoffice_collection", "contracts"),
         },
         {"films_distributed": 0},
     ).orderBy(*_newest("total_fees", "distributor_id"))
@@ -372,17 +374,13 @@ def availability_counts(t: Tables) -> DataFrame:
 
 def scene_filming_summary(t: Tables) -> DataFrame:
     scenes = t["scene"].join(t["film"].select("film_id", F.col("title").alias("film_title")), "film_id")
-    return attach(
-        scenes.select("scene_id", "film_id", "film_title", "location", "description", "duration"),
-        t["scene_filming"],
-        {"scene_id": "scene_id"},
-        {
-            "crew_involved": F.count_distinct("crew_id"),
-            "equipment_used": F.count_distinct("equipment_id"),
-            "filming_sessions": F.count_distinct("filming_id"),
-        },
-        {"crew_involved": 0, "equipment_used": 0, "filming_sessions": 0},
-    )
+    scenes = scenes.select("scene_id", "film_id", "film_title", "location", "description", "duration")
+    counts = {"crew_involved": "crew_id", "equipment_used": "equipment_id", "filming_sessions": "filming_id"}
+    # One aggregate per count reads two columns each. Several distinct counts in one
+    # aggregate would instead copy every row once per count before combining.
+    for name, member in counts.items():
+        scenes = attach(scenes, t["scene_filming"], {"scene_id": "scene_id"}, {name: F.count_distinct(member)}, {name: 0})
+    return scenes
 
 
 def equipment_usage(t: Tables, film_id=ALL) -> DataFrame:
