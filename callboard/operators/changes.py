@@ -255,7 +255,8 @@ def audit_from_log(log: DataFrame, key: str, order_by: Sequence[str], value: str
     columns = [key, *order_by, value]
     rows = log.where(F.col(key).isNotNull()).select(*columns)
     kinds = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
-    out = T.StructType([*kinds, T.StructField("old_value", rows.schema[value].dataType), T.StructField("_kind", T.IntegerType())])
+    old_value = T.StructField("old_value", rows.schema[value].dataType)
+    out = T.StructType([*kinds, old_value, T.StructField("_kind", T.IntegerType())])
 
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shaped(table: pa.Table, before: pa.ChunkedArray | None, kind: int) -> Iterator[pa.RecordBatch]:

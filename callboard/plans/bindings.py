@@ -56,7 +56,7 @@ CTE["gross"] = """SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(15
   * (1 - CAST(l_discount AS DECIMAL(5,2)))) AS DECIMAL(25,4)) AS g FROM lineitem GROUP BY l_orderkey"""
 _FILM = """o_orderkey AS film_id, o_orderpriority || ' #' || o_orderkey AS title,
   CAST(o_orderdate AS DATE) AS release_date, CAST(o_totalprice AS DECIMAL(15,2)) AS budget,
-  CAST(dayofyear(o_orderdate) AS INTEGER) AS duration, substr(o_orderpriority, 3) AS language,
+  CAST(dayofyear(o_orderdate) AS INTEGER) AS duration, lower(o_orderpriority) AS language,
   CASE WHEN o_orderstatus <> 'P' THEN CAST(month(o_orderdate) AS DECIMAL(3,1)) END AS rating,
   o_custkey AS fk_director_id, o_orderpriority AS primary_genre, o_orderstatus AS production_status,
   o_orderdate AS created_date"""
@@ -75,7 +75,7 @@ def film_plain(d: Data) -> DataFrame:
         day("o_orderdate").alias("release_date"),
         dec("o_totalprice", 15, 2).alias("budget"),
         F.dayofyear("o_orderdate").alias("duration"),
-        F.substr("o_orderpriority", F.lit(3)).alias("language"),
+        F.lower("o_orderpriority").alias("language"),
         F.when(F.col("o_orderstatus") != "P", F.month("o_orderdate").cast("decimal(3,1)")).alias("rating"),
         F.col("o_custkey").alias("fk_director_id"),
         F.col("o_orderpriority").alias("primary_genre"),
@@ -102,7 +102,7 @@ def film(d: Data) -> DataFrame:
 _DOB = "CASE WHEN c_acctbal >= 0 THEN CAST(DATE '1950-01-01' + CAST(c_nationkey * 400 AS INTEGER) AS DATE) END AS dob"
 CTE["director"] = f"SELECT c_custkey AS director_id, c_name AS name, c_mktsegment AS nationality, {_DOB} FROM customer"
 CTE["actor"] = f"""SELECT c_custkey AS actor_id, c_name AS first_name, c_mktsegment AS last_name, {_DOB},
-  substr(c_mktsegment, 1, 1) AS gender, CAST(c_nationkey AS VARCHAR) AS nationality,
+  'Other' AS gender, CAST(c_nationkey AS VARCHAR) AS nationality,
   lower(c_mktsegment) AS stage_name FROM customer"""
 CTE["crew"] = """SELECT c_custkey AS crew_id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS role,
   CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN c_mktsegment END AS department,
@@ -129,7 +129,7 @@ def actor(d: Data) -> DataFrame:
         F.col("c_name").alias("first_name"),
         F.col("c_mktsegment").alias("last_name"),
         _dob(),
-        F.substr("c_mktsegment", F.lit(1), F.lit(1)).alias("gender"),
+        F.lit("Other").alias("gender"),
         F.col("c_nationkey").cast("string").alias("nationality"),
         F.lower("c_mktsegment").alias("stage_name"),
     )
@@ -266,7 +266,7 @@ def shoot(d: Data) -> DataFrame:
 
 CTE["place"] = """SELECT s_suppkey AS location_id, s_name AS name, n_name AS city,
   CAST(s_nationkey AS VARCHAR) AS state, r_name AS country, CAST(s_acctbal AS DECIMAL(12,2)) AS cost_per_day,
-  substr(s_name, 1, 8) AS area
+  upper(s_name) AS area
   FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"""
 
 
@@ -280,7 +280,7 @@ def place(d: Data) -> DataFrame:
         F.col("s_nationkey").cast("string").alias("state"),
         F.col("r_name").alias("country"),
         dec("s_acctbal", 12, 2).alias("cost_per_day"),
-        F.substr("s_name", F.lit(1), F.lit(8)).alias("area"),
+        F.upper("s_name").alias("area"),
     )
 
 

@@ -14,6 +14,7 @@ from callboard.operators import joins as J
 from callboard.plans import bindings as B
 from callboard.plans.bindings import sql_roi, with_
 from callboard.plans.registry import query
+from callboard.plans.views import VIEWS
 from callboard.sources import tables
 
 AS_OF = dt.date(2024, 12, 31)
@@ -243,3 +244,18 @@ def _(d):
         "SELECT c.c_custkey AS director_id, f.* FROM {customer} c, LATERAL fn_director_films(c.c_custkey) f",
         customer=d["customer"],
     )
+
+
+@query(
+    "sql_view",
+    with_("gross", "film", "film_money")
+    + """SELECT production_status, count(*) AS films, CAST(sum(profit) AS DECIMAL(36,4)) AS profit
+FROM film_money WHERE boxoffice_collection > 0 GROUP BY production_status""",
+)
+def _(d):
+    view = VIEWS["view_film_profitability"]({"film": B.film(d), "director": B.director(d)}, AS_OF)
+    view.createOrReplaceTempView("view_film_profitability")
+    return d.spark.sql(
+        """SELECT production_status, count(*) AS films, sum(profit) AS profit
+             FROM view_film_profitability GROUP BY production_status"""
+    )

@@ -69,14 +69,15 @@ def film_basic(t: Tables, key=None, limit: int | None = None) -> DataFrame:
     )
 
 
-def film_profitability(t: Tables, key=None) -> DataFrame:
+def film_profitability(t: Tables, key=None, ordered: bool = True) -> DataFrame:
     """Profit and ROI of films that have earned anything, best first."""
     earning = _only(t["film"], "film_id", key).where(F.col("boxoffice_collection") > 0)
     rows = _with_director(_with_money(earning), t["director"], "director")
-    return rows.select(
+    rows = rows.select(
         "film_id", "title", "budget", "boxoffice_collection", "profit", "roi_percentage", "director",
         "production_status",
-    ).orderBy(*_newest("profit", "film_id"))
+    )
+    return rows.orderBy(*_newest("profit", "film_id")) if ordered else rows
 
 
 def film_listing(t: Tables) -> DataFrame:
@@ -311,8 +312,8 @@ def crew_payroll(t: Tables, key=None) -> DataFrame:
 # Money partners --------------------------------------------------------------------
 
 
-def producer_investment(t: Tables, key=None) -> DataFrame:
-    return attach(
+def producer_investment(t: Tables, key=None, ordered: bool = True) -> DataFrame:
+    rows = attach(
         _only(t["producer"], "producer_id", key).select("producer_id", "name", "company"),
         t["produced_by"],
         {"producer_id": "producer_id"},
@@ -324,7 +325,8 @@ def producer_investment(t: Tables, key=None) -> DataFrame:
             "min_investment": F.min("investment"),
         },
         {"portfolio_films": 0},
-    ).orderBy(*_newest("total_investment", "producer_id"))
+    )
+    return rows.orderBy(*_newest("total_investment", "producer_id")) if ordered else rows
 
 
 def distributor_performance(t: Tables) -> DataFrame:

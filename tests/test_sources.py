@@ -1,9 +1,12 @@
+import datetime as dt
+
 import pytest
 from conftest import SMALL, rows
 
 from callboard import session
 from callboard.functions import sqlfns
 from callboard.operators import quality as Q
+from callboard.plans import views
 from callboard.sources import model, sinks, tables
 
 
@@ -84,6 +87,19 @@ def test_sql_functions_equal_the_bulk_lookups(spark, seed):
     assert rows(films) == [(4, "320000000.00")]
 
 
+def test_reports_are_there_as_views_and_procedures(spark, seed):
+    assert len(views.register_views(seed, dt.date(2024, 12, 31))) == 9
+    got = spark.sql("SELECT film_id, director FROM view_film_profitability WHERE roi_percentage > 145")
+    assert rows(got) == [(2, "Greta Gerwig"), (4, "Denis Villeneuve")]
+    assert spark.sql("SELECT age FROM view_actor_details WHERE actor_id = 1").first().age == 50
+    assert "max_investment" not in spark.table("view_producer_investment").columns
+    for name in views.VIEWS:
+        assert "rangepartitioning" not in spark.table(name)._jdf.queryExecution().toString()
+    one = views.PROCEDURES["sp_calculate_producer_investment"](seed, 1)
+    assert rows(one, "total_films", "max_investment") == [(2, "30000000.00")]
+    assert views.PROCEDURES["sp_get_equipment_usage_report"](seed, None).count() == 4
+
+
 def test_session_settings_of_the_cluster_stay(spark):
     folder = session.shared_folder(spark)
     assert folder == session.shared_folder(spark)
