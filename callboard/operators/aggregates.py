@@ -80,6 +80,17 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def sort_rows(df: DataFrame, key: Sequence[str], *order: Column | str) -> DataFrame:
+    """Total order of rows that joins or aggregates have produced; ``key`` spreads them.
+
+    A range sort evaluates its input twice, the first time to sample its bounds. With a
+    rebalancing exchange in between both passes read finished rows instead of repeating
+    the last joins and aggregates, and AQE evens out the partitions that are sorted. A
+    plain scan needs no such step and is sorted with ``orderBy``.
+    """
+    return df.hint("rebalance", *key).orderBy(*order)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first in the given ascending order.
 
@@ -99,6 +110,7 @@ __all__ = [
     "decimal_shape",
     "first_by",
     "share_of_total",
+    "sort_rows",
     "top_n",
     "totals",
     "value_counts",

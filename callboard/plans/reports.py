@@ -9,7 +9,7 @@ Plan rules kept throughout:
 * a child table is aggregated per key before it meets its parent, so neither a hot key
   nor a second child multiplies rows (``operators.joins.attach``);
 * a report sorts on an order that ends in a unique key, which lets the range sort split
-  ties and makes the row order repeatable.
+  ties and makes the row order repeatable; joined rows are sorted by ``sort_rows``.
 """
 
 from __future__ import annotations
@@ -77,19 +77,15 @@ def film_profitability(t: Tables, key=None, ordered: bool = True) -> DataFrame:
         "film_id", "title", "budget", "boxoffice_collection", "profit", "roi_percentage", "director",
         "production_status",
     )
-    return rows.orderBy(*_newest("profit", "film_id")) if ordered else rows
+    return A.sort_rows(rows, ["film_id"], *_newest("profit", "film_id")) if ordered else rows
 
 
 def film_listing(t: Tables) -> DataFrame:
     """All films with director, newest release first."""
-    return (
-        _with_director(t["film"], t["director"], "director")
-        .select(
-            "film_id", "title", "release_date", "budget", "boxoffice_collection", "rating",
-            "production_status", "director",
-        )
-        .orderBy(*_newest("release_date", "film_id"))
-    )
+    rows = _with_director(t["film"], t["director"], "director").select(
+        "film_id", "title", "release_date", "budget", "boxoffice_collection", "rating", "production_status", "director"
+    )
+    return A.sort_rows(rows, ["film_id"], *_newest("release_date", "film_id"))
 
 
 def top_grossing(t: Tables, n: int = 5) -> DataFrame:
@@ -146,10 +142,11 @@ def boxoffice_analysis(t: Tables) -> DataFrame:
     rows = attach(
         rows, t["role"], {"film_id": "film_id"}, {"cast_size": F.count_distinct("actor_id")}, {"cast_size": 0}
     )
-    return rows.select(
+    rows = rows.select(
         "film_id", "title", "release_date", "budget", "boxoffice_collection", "profit", "roi_percentage",
         "director", "cast_size",
-    ).orderBy(*_newest("boxoffice_collection", "film_id"))
+    )
+    return A.sort_rows(rows, ["film_id"], *_newest("boxoffice_collection", "film_id"))
 
 
 # People ----------------------------------------------------------------------------
@@ -181,10 +178,12 @@ def actor_filmography(t: Tables, key=None) -> DataFrame:
         "film_id", "title", "release_date", "duration", "language", "director_name"
     )
     rows = _only(t["role"], "actor_id", key).join(films, "film_id")
-    return rows.select(
+    rows = rows.select(
         "actor_id", "film_id", "title", "release_date", "duration", "language", "character_name",
         "screen_time", "importance", "salary", "director_name",
-    ).orderBy("actor_id", *_newest("release_date", "film_id", "character_name"))
+    )
+    order = ["actor_id", *_newest("release_date", "film_id", "character_name")]
+    return A.sort_rows(rows, ["actor_id", "film_id", "character_name"], *order)
 
 
 def award_history(t: Tables, key=None) -> DataFrame:
@@ -193,7 +192,8 @@ def award_history(t: Tables, key=None) -> DataFrame:
     rows = details_with_count(
         actors, t["actor_award"], {"actor_id": "actor_id"}, ["award_name", "award_year"], "total_awards"
     )
-    return rows.orderBy("actor_id", *_newest("award_year", "award_name"))
+    order = ["actor_id", *_newest("award_year", "award_name")]
+    return A.sort_rows(rows, ["actor_id", "award_year", "award_name"], *order)
 
 
 def director_filmography(t: Tables, key=None) -> DataFrame:
@@ -214,7 +214,7 @@ def director_filmography(t: Tables, key=None) -> DataFrame:
 
 def director_portfolio(t: Tables) -> DataFrame:
     directors = t["director"].select("director_id", "name", "nationality", "dob")
-    return attach(
+    rows = attach(
         directors,
         t["film"],
         {"director_id": "fk_director_id"},
@@ -224,32 +224,31 @@ def director_portfolio(t: Tables) -> DataFrame:
             "total_boxoffice": F.sum("boxoffice_collection"),
         },
         {"films": 0},
-    ).orderBy(F.asc_nulls_first("name"), "director_id")
+    )
+    return A.sort_rows(rows, ["director_id"], F.asc_nulls_first("name"), "director_id")
 
 
 def director_films_with_profit(t: Tables, key=None) -> DataFrame:
     """Films of one director, or of all, with profit and ROI, newest first."""
     films = _only(t["film"], "fk_director_id", key).where(F.col("fk_director_id").isNotNull())
-    return (
-        _with_money(films)
-        .select(
-            F.col("fk_director_id").alias("director_id"), "film_id", "title", "release_date", "budget",
-            "boxoffice_collection", "profit", "roi_percentage", "rating", "production_status",
-        )
-        .orderBy("director_id", *_newest("release_date", "film_id"))
+    rows = _with_money(films).select(
+        F.col("fk_director_id").alias("director_id"), "film_id", "title", "release_date", "budget",
+        "boxoffice_collection", "profit", "roi_percentage", "rating", "production_status",
     )
+    return A.sort_rows(rows, ["film_id"], "director_id", *_newest("release_date", "film_id"))
 
 
 def directors_by_specialty(t: Tables) -> DataFrame:
     rows = t["director_specialization"].join(t["director"].select("director_id", "name"), "director_id")
-    return rows.select("specialization", "name", "years_experience", "director_id").orderBy(
-        F.asc_nulls_first("specialization"), F.asc_nulls_first("name"), "director_id"
-    )
+    rows = rows.select("specialization", "name", "years_experience", "director_id")
+    order = [F.asc_nulls_first("specialization"), F.asc_nulls_first("name"), "director_id"]
+    return A.sort_rows(rows, ["director_id", "specialization"], *order)
 
 
 def director_awards(t: Tables) -> DataFrame:
     rows = t["director_award"].join(t["director"].select("director_id", "name"), "director_id")
-    return rows.select("name", "award_name", "award_year").orderBy(*_newest("award_year", "name", "award_name"))
+    rows = rows.select("name", "award_name", "award_year")
+    return A.sort_rows(rows, rows.columns, *_newest("award_year", "name", "award_name"))
 
 
 def crew_listing(t: Tables) -> DataFrame:
@@ -326,7 +325,7 @@ def producer_investment(t: Tables, key=None, ordered: bool = True) -> DataFrame:
         },
         {"portfolio_films": 0},
     )
-    return rows.orderBy(*_newest("total_investment", "producer_id")) if ordered else rows
+    return A.sort_rows(rows, ["producer_id"], *_newest("total_investment", "producer_id")) if ordered else rows
 
 
 def distributor_performance(t: Tables) -> DataFrame:
@@ -341,7 +340,7 @@ def distributor_performance(t: Tables) -> DataFrame:
         {"fees": F.sum("distribution_fee"), "contracts": F.count(F.lit(1))},
     )
     deals = lookup(deals, t["film"], {"film_id": "film_id"}, ["boxoffice_collection"], spread=True)
-    return attach(
+    rows = attach(
         t["distributor"].select("distributor_id", "name", "region", "market_share"),
         deals,
         {"distributor_id": "distributor_id"},
@@ -351,7 +350,8 @@ def distributor_performance(t: Tables) -> DataFrame:
             "avg_boxoffice": A.average(deals, "boxoffice_collection", "contracts"),
         },
         {"films_distributed": 0},
-    ).orderBy(*_newest("total_fees", "distributor_id"))
+    )
+    return A.sort_rows(rows, ["distributor_id"], *_newest("total_fees", "distributor_id"))
 
 
 # Equipment, scenes, places ---------------------------------------------------------
@@ -443,7 +443,7 @@ def recent_awards(t: Tables) -> DataFrame:
         .unionByName(branch("Crew", "crew_award", "crew", "crew_id", "name"))
         .distinct()
     )
-    return rows.orderBy(*_newest("award_year", "type", "name", "award_name"))
+    return A.sort_rows(rows, rows.columns, *_newest("award_year", "type", "name", "award_name"))
 
 
 # Logs and users --------------------------------------------------------------------
