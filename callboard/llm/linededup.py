@@ -71,7 +71,7 @@ def reference_sql(columns: str, ratio: float = RATIO, least: int = LEAST) -> str
     return f"""
 WITH line AS (
   SELECT source, l, count(*) AS n
-  FROM (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x)))) AS l
+  FROM (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS l
         FROM documents WHERE source IS NOT NULL)
   WHERE l <> '' GROUP BY source, l),
 page AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
@@ -80,7 +80,7 @@ boiler AS (
   WHERE n >= {least} AND n > pages * CAST({ratio} AS DOUBLE) GROUP BY line.source),
 split AS (
   SELECT d.*, string_split(d.text, chr(10)) AS all_lines, b.dropped,
-    list_filter(string_split(d.text, chr(10)), x -> NOT coalesce(list_contains(b.dropped, trim(x)), false)) AS stay
+    list_filter(string_split(d.text, chr(10)), lambda x: NOT coalesce(list_contains(b.dropped, trim(x)), false)) AS stay
   FROM documents d LEFT JOIN boiler b ON d.source = b.source),
 cleaned AS (
   SELECT split.* EXCLUDE (text),
