@@ -20,7 +20,6 @@ numpy arrays; a lane reports the occurrences that end in it and may look back be
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -143,16 +142,11 @@ class _Group:
 
 
 @lru_cache(maxsize=1)
-def _block(folder: str, name: str) -> Patterns:
-    table = pq.read_table(os.path.join(SparkFiles.get(folder), name))
+def _block(name: str) -> Patterns:
+    table = pq.read_table(SparkFiles.get(name))
     return Patterns([w.encode() for w in table["window"].to_pylist()], table["items"].to_pylist())
 
 
-@lru_cache(maxsize=4)
-def _blocks(folder: str) -> list[str]:
-    return sorted({d for d in os.listdir(SparkFiles.get(folder)) if d.startswith("block=")})
-
-
 def windows(items: DataFrame, key: str = "item_id", text: str = "text", width: int = 13) -> DataFrame:
     """(window, item): every normalised window of every item, with native functions.
 
@@ -168,10 +162,10 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", width: i
     return listed.select("item", F.explode(cut).alias("window"))
 
 
-def publish(items: DataFrame, key: str = "item_id", text: str = "text", width: int = 13) -> str:
-    """Write the benchmark's windows in blocks and hand them to all executors; returns their name.
+def publish(items: DataFrame, key: str = "item_id", text: str = "text", width: int = 13) -> list[str]:
+    """Write the benchmark's windows in blocks, one file each, and hand these to all executors.
 
-    The driver learns the number of bytes and no window.
+    Returns the files' names in the session. The driver learns the number of bytes and no window.
     """
     spark = items.sparkSession
     found = windows(items, key, text, width)
@@ -181,14 +175,16 @@ def publish(items: DataFrame, key: str = "item_id", text: str = "text", width: i
     )
     size = kept.agg(F.sum(F.octet_length("window"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
-    name = base.rsplit("/", 1)[1]
     dealt = kept.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
-    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(f"{base}/{name}")
-    spark.sparkContext.addFile(workspace.uri(spark, f"{base}/{name}"), recursive=True)
-    return name
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(f"{base}/blocks")
+    name = base.rsplit("/", 1)[1]
+    files = workspace.named(spark, f"{base}/blocks", ".parquet", lambda k: f"{base}/{name}-{k}.parquet")
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return [file.rsplit("/", 1)[1] for file in files]
 
 
-def _judged(texts: list[bytes], folder: str) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+def _judged(texts: list[bytes], blocks: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """Per normalised text: its words, the spans of hit words, the items found."""
     starts = np.cumsum([0, *map(len, texts)])
     whole = b"".join(texts)
@@ -196,8 +192,8 @@ def _judged(texts: list[bytes], folder: str) -> list[tuple[int, list[tuple[int,
     words = [max(0, t.count(b" ") - 1) for t in texts]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
-    for name in _blocks(folder):
-        patterns = _block(folder, name)
+    for name in blocks:
+        patterns = _block(name)
         ends, hits = patterns.search(whole)
         rows = np.searchsorted(starts, ends - 1, side="right") - 1
         for end, hit, row in zip(ends.tolist(), hits.tolist(), rows.tolist()):
@@ -232,7 +228,7 @@ _FOUND = T.StructType(
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
 
-def occurrences(docs: DataFrame, name: str, text: str = "text", found: str = "found") -> DataFrame:
+def occurrences(docs: DataFrame, blocks: list[str], text: str = "text", found: str = "found") -> DataFrame:
     """All columns but the text, and ``found``: words, spans of hit words, their number, item ids.
 
     Spans are merged half-open ranges of word numbers; items are sorted as text. Null and
@@ -251,9 +247,9 @@ def occurrences(docs: DataFrame, name: str, text: str = "text", found: str = "fo
                 part.append(normalised(value.as_py()))
                 size += len(part[-1])
                 if size > PART:
-                    rows += _judged(part, name)
+                    rows += _judged(part, blocks)
                     part, size = [], 0
-            rows += _judged(part, name)
+            rows += _judged(part, blocks)
             out = [
                 {"n_words": n, "spans": [{"start": a, "stop": b} for a, b in spans], "n_hit": sum(b - a for a, b in spans), "items": sorted(items)}
                 for n, spans, items in rows
@@ -270,9 +266,9 @@ def contaminated(found: str = "found") -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", width: int = 13) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    name = publish(items, key, "text", width)
+    blocks = publish(items, key, "text", width)
     marked = docs.withColumn("_copy_", F.col(text))
-    return occurrences(marked, name, "_copy_", "_found_").where(~contaminated("_found_")).select(*docs.columns)
+    return occurrences(marked, blocks, "_copy_", "_found_").where(~contaminated("_found_")).select(*docs.columns)
 
 
 def items_digest(items: Column) -> Column:

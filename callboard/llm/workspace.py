@@ -29,6 +29,13 @@ def uri(spark: SparkSession, path: str) -> str:
     return system.makeQualified(hadoop).toString()
 
 
+def made(spark: SparkSession, path: str) -> str:
+    """Make a folder that task code writes files into; returns its full address."""
+    hadoop, system = _path(spark, path)
+    system.mkdirs(hadoop)
+    return system.makeQualified(hadoop).toString()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     hadoop, system = _path(spark, path)
     system.delete(hadoop, True)
@@ -46,6 +53,20 @@ def written(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def named(spark: SparkSession, path: str, ending: str, name) -> list[str]:
+    """Give the files below ``path`` with this ending the paths name(0), name(1), ...; returns their full addresses."""
+    hadoop, system = _path(spark, path)
+    found, out = system.listFiles(hadoop, True), []
+    places = []
+    while found.hasNext():
+        places.append(found.next().getPath())
+    for place in sorted((p for p in places if p.getName().endswith(ending)), key=lambda p: p.toString()):
+        target = spark._jvm.org.apache.hadoop.fs.Path(name(len(out)))
+        system.rename(place, target)
+        out.append(system.makeQualified(target).toString())
+    return out
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> str:
     """Write one small file into the shared folder; returns its full address."""
     hadoop, system = _path(spark, path)
