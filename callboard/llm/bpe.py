@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -453,7 +454,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", col
 def _slices(texts: pa.Array) -> Iterator[int]:
     """Row counts of consecutive parts of about SLICE_CHARS bytes."""
     count = size = 0
-    for n in texts.value_lengths().to_pylist():
+    for n in pc.binary_length(texts).to_pylist():
         if count and size + (n or 0) > SLICE_CHARS * 2:
             yield count
             count = size = 0

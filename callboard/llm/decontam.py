@@ -228,15 +228,16 @@ _FOUND = T.StructType(
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
 
-def occurrences(docs: DataFrame, blocks: list[str], text: str = "text", found: str = "found") -> DataFrame:
-    """All columns but the text, and ``found``: words, spans of hit words, their number, item ids.
+def occurrences(docs: DataFrame, blocks: list[str], text: str = "text", found: str = "found", keep_text: bool = False) -> DataFrame:
+    """All columns (the text only with ``keep_text``) and ``found``: words, spans of hit words, their number, item ids.
 
     Spans are merged half-open ranges of word numbers; items are sorted as text. Null and
     empty texts have no words; repeated rows are judged alike; an empty table or benchmark
     gives no hits.
     """
     kept = [c for c in docs.columns if c not in (text, found)]
-    picked = docs.select(*kept, F.col(text).cast("string").alias("_text_"))
+    picked = docs.select(*kept, F.col(text).cast("string").alias(text))
+    shown = len(kept) + keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +255,9 @@ def occurrences(docs: DataFrame, blocks: list[str], text: str = "text", found: s
                 {"n_words": n, "spans": [{"start": a, "stop": b} for a, b in spans], "n_hit": sum(b - a for a, b in spans), "items": sorted(items)}
                 for n, spans, items in rows
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _ARROW)], schema=pa.schema([*list(batch.schema)[:-1], pa.field(found, _ARROW)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:shown], pa.array(out, _ARROW)], schema=pa.schema([*list(batch.schema)[:shown], pa.field(found, _ARROW)]))
 
-    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], T.StructField(found, _FOUND)]))
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:shown], T.StructField(found, _FOUND)]))
 
 
 def contaminated(found: str = "found") -> Column:
@@ -266,9 +267,8 @@ def contaminated(found: str = "found") -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", width: int = 13) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    blocks = publish(items, key, "text", width)
-    marked = docs.withColumn("_copy_", F.col(text))
-    return occurrences(marked, blocks, "_copy_", "_found_").where(~contaminated("_found_")).select(*docs.columns)
+    blocks = publish(items, key, width=width)
+    return occurrences(docs, blocks, text, "_found_", keep_text=True).where(~contaminated("_found_")).select(*docs.columns)
 
 
 def items_digest(items: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callboard import session
-from callboard.llm import decontam, linededup, pii, sharding, simhash
+from callboard.llm import bpe, covertree, decontam, langid, linededup, pii, sharding, simhash, tagpath, warc, workspace
 from callboard.sources.tables import driver_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,53 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; operators take such a path as a parameter."""
+    return public_tokenizers.path(name)
+
+
+def encoded(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``n_tokens`` and ``ids`` of every document, by a lexicon of these documents' words."""
+    name = bpe.publish(docs, "text", vocabulary("byte_bpe_50k.json"))
+    coded = bpe.encode(docs, name, columns=columns)
+    count = (F.octet_length("ids") / 4).cast("bigint")
+    coded = coded.select(*columns, count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    back = bpe.decode(coded.withColumn("_ids_", F.col("ids")), name, "_ids_")
+    return back.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+
+
+@query("op1_transducer_bpe")
+def _op1(table):
+    return encoded(table("documents").select("doc_id", "text"), "doc_id").drop("ids")
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> {s}) % 32 + 1, 1)" for s in (15, 10, 5, 0))
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, html FROM p),
+first AS (SELECT html, max(page_id) AS page FROM h GROUP BY html),
+part AS (
+  SELECT page_id, i, CAST('0x' || substr(hex, i * 5 + 1, 5) AS INTEGER) AS v
+  FROM (SELECT page_id, hex, unnest(range(0, 8)) AS i FROM h)),
+d AS (SELECT page_id, string_agg({_BASE32}, '' ORDER BY i) AS payload_digest FROM part GROUP BY page_id)
+SELECT h.page_id, payload_bytes, payload_digest, CASE WHEN page = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page <> h.page_id THEN page END AS refers_to
+FROM h JOIN first ON h.html = first.html JOIN d ON h.page_id = d.page_id"""
+
+
+@query("op2_warc_round_trip", _WARC_SQL)
+def _op2(table):
+    """Every page written as a record and read back from the archives by the index."""
+    pages = table("pages")
+    index = warc.write(pages, workspace.folder(pages.sparkSession, "warc"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_segmentation_language_id")
+def _op3(table):
+    return langid.identified(table("documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 @query("op4_permutation_table_sharding")
 def _op4(table):
     """The slot and shard of every document, by its id."""
@@ -92,6 +140,37 @@ def _op7(table):
     )
 
 
+@query("op8_tag_path_extraction")
+def _op8(table):
+    found = tagpath.extract(table("pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS size,
+    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+  FROM embeddings),
+u AS (SELECT vec_id, size, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE good),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.size = b.size AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION
+  SELECT reach.node, link.b FROM reach JOIN link ON reach.seen = link.a),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN least ON v.vec_id = least.node LEFT JOIN counted ON v.vec_id = counted.a"""
+
+
+@query("op9_cover_tree_near_duplicates", _VECTOR_SQL)
+def _op9(table):
+    return covertree.near_duplicates(table("embeddings"))
+
+
 @query("op10_site_relative_line_dedup", linededup.reference_sql("doc_id, source, text, n_lines, n_dropped"))
 def _op10(table):
     pages = table("documents").select("doc_id", "source", "text")

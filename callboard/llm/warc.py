@@ -98,7 +98,7 @@ class _Archive:
         if self.out is None or self.at >= FILE_BYTES:
             self.close()
             self.name = f"{uuid.uuid4().hex}.warc.gz"
-            self.out, self.at = self.system.open_output_stream(f"{self.path}/{self.name}"), 0
+            self.out, self.at = self.system.open_output_stream(f"{self.path}/{self.name}", compression=None), 0
         place = f"{self.folder}/{self.name}", self.at
         self.out.write(member)
         self.at += len(member)

@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from callboard import session
-from callboard.llm import decontam, linededup, simhash, workspace
+from callboard.llm import decontam, langid, linededup, queries, simhash, workspace
 from callboard.sources.tables import driver_path
 
 
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those without a letter."""
+    return langid.keep_identified(docs, queries.vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on too many pages of their site leave the text; all documents stay."""
     return linededup.without_boilerplate(docs)
@@ -28,10 +33,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.clean(docs, spark.read.parquet(driver_path(sf_dir, "benchmark")))
 
 
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of the text decoded from them."""
+    return queries.encoded(docs, "doc_id", "lang", "source")
+
+
 STAGES = [
+    ("language_id", drop_unidentified),
     ("line_dedup", drop_boilerplate),
     ("simhash_near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("bpe_tokens", tokenise),
 ]
 
 #: XXH64 fingerprints, the language model and byte-pair merges are beyond SQL.
