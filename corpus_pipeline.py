@@ -38,12 +38,21 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.encoded(docs, "doc_id", "lang", "source")
 
 
+def tuned(stage):
+    """The stage under this library's session settings, as far as the cluster leaves them open."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(session.tune(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", drop_unidentified),
-    ("line_dedup", drop_boilerplate),
-    ("simhash_near_dedup", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("bpe_tokens", tokenise),
+    ("language_id", tuned(drop_unidentified)),
+    ("line_dedup", tuned(drop_boilerplate)),
+    ("simhash_near_dedup", tuned(drop_near_copies)),
+    ("decontamination", tuned(drop_contaminated)),
+    ("bpe_tokens", tuned(tokenise)),
 ]
 
 #: XXH64 fingerprints, the language model and byte-pair merges are beyond SQL.
@@ -51,7 +60,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session.tune(spark)
     base = workspace.folder(spark, "pipeline")
     docs = spark.read.parquet(driver_path(sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
