@@ -122,6 +122,8 @@ class Model:
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of words of one length, and their bytes with the space in front."""
+        if not words:
+            return
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(sizes[order]) > 0, True])
