@@ -54,7 +54,7 @@ def value_counts(df: DataFrame, column: str, name: str = "count") -> DataFrame:
 def share_of_total(df: DataFrame, key: str, measure: Column | None = None, name: str = "share") -> DataFrame:
     """Each key's amount and its part of the total in percent, two decimals.
 
-    The window runs over the grouped frame, one row per key, never over the input rows.
+    The total is a scalar subquery over the grouped frame, one row per key.
     """
     amount = F.count(F.lit(1)) if measure is None else F.sum(measure)
     grouped = df.groupBy(key).agg(amount.alias("amount"))

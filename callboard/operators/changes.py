@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callboard import session
 from callboard.functions import scalars as S
 from callboard.operators.aggregates import first_by
 from callboard.operators.joins import having_match, join_on, without_match
+from callboard.sources import working
 from callboard.sources.model import NO_DEFAULT, NOW, Ref, Table
 
 # Inserts ---------------------------------------------------------------------------
@@ -28,20 +29,19 @@ def with_ids(base: DataFrame, new: DataFrame, id_column: str, order_by: Sequence
     """New rows numbered from the base's highest id, in the order of a unique key.
 
     Rows are range-partitioned and sorted, and each remembers its place within its
-    partition. That layout is checkpointed, so the count of rows per partition and the
-    rows themselves agree even if an executor is lost in between. The offsets frame has
-    one row per partition, which bounds both its window and its broadcast.
+    partition. That layout is kept in a working table, so the count of rows per partition
+    and the rows themselves agree even if an executor is lost in between. The offsets frame
+    has one row per partition, which bounds both its window and its broadcast.
     """
-    session.shared_folder(new.sparkSession)
     place = F.monotonically_increasing_id()
-    laid_out = (
+    laid_out = working.table(
         new.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_place", place)
         .withColumn("_part", F.shiftright("_place", 33))
         .withColumn("_row", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_place")
-        .checkpoint()
+        .drop("_place"),
+        "numbered",
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = laid_out.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
@@ -67,11 +67,15 @@ def insert_ignore(
     """Base plus the new rows whose key is not there yet; of equal new keys the first wins.
 
     ``order_by`` says which of them is first (all columns by default). A ``collation``
-    makes text keys compare without regard to case or accents.
+    makes text keys compare without regard to case or accents. A key that holds a NULL
+    equals no other, so all rows with such keys arrive.
     """
     order = list(order_by) or [c for c in new.columns if c not in key] or list(key)
+    open_key = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+    keyless, new = new.where(open_key), new.where(~open_key)
     if collation is None:
-        return base.unionByName(without_match(first_by(new, key, order), base, {k: k for k in key}))
+        fresh = without_match(first_by(new, key, order), base, {k: k for k in key})
+        return base.unionByName(fresh).unionByName(keyless)
 
     def compared(df: DataFrame) -> DataFrame:
         text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
@@ -80,7 +84,7 @@ def insert_ignore(
     collated = [f"_c_{k}" for k in key]
     fresh = first_by(compared(new), collated, [*order, *key])
     fresh = without_match(fresh, compared(base), {c: c for c in collated})
-    return base.unionByName(fresh.drop(*collated))
+    return base.unionByName(fresh.drop(*collated)).unionByName(keyless)
 
 
 def insert_select(target: DataFrame, parent: DataFrame, on: Mapping[str, str], copied: Mapping[str, str]) -> DataFrame:
@@ -154,6 +158,18 @@ def ingest_location_cost(base: DataFrame, requests: DataFrame, order_by: Sequenc
 # Updates ---------------------------------------------------------------------------
 
 
+def one_per_key(
+    updates: DataFrame, key: Sequence[str], columns: Sequence[str], order_by: Sequence[str] = ()
+) -> DataFrame:
+    """The last update of each key, in the order of ``order_by`` and then of the values.
+
+    A map-side combine: a key updated very often sends one row per task.
+    """
+    moment = F.struct(*order_by, *[F.col(c).alias(f"_{c}") for c in columns])
+    last = updates.groupBy(*key).agg(F.max_by(F.struct(*columns), moment).alias("_new"))
+    return last.select(*key, *[F.col(f"_new.{c}").alias(c) for c in columns])
+
+
 def apply_updates(
     base: DataFrame,
     updates: DataFrame,
@@ -163,18 +179,13 @@ def apply_updates(
     now: Column | dt.datetime | None = None,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Sets ``columns`` of the rows named by ``updates``, which holds one row per key.
+    """Sets ``columns`` of the rows named by ``updates``.
 
-    With ``order_by`` it may hold several, and the last one in that order wins. A NULL in
-    the update is set as NULL. ``touched`` is set to ``now`` on the rows where a value
-    really changed.
+    Of several updates of one key the last counts, see ``one_per_key``, so no row of the
+    base is ever multiplied. A NULL in the update is set as NULL, an update without a key
+    matches nothing. ``touched`` is set to ``now`` on the rows where a value really changed.
     """
-    if order_by:
-        # Map-side combine: a key updated very often sends one row per task.
-        last = F.max_by(F.struct(*columns), F.struct(*order_by))
-        updates = updates.groupBy(*key).agg(last.alias("_new"))
-    else:
-        updates = updates.select(*key, F.struct(*columns).alias("_new"))
+    updates = one_per_key(updates, key, columns, order_by).select(*key, F.struct(*columns).alias("_new"))
     arriving = updates.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_new")
     joined = base.join(arriving, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)], "left")
     hit = F.col("_new").isNotNull()
@@ -248,10 +259,9 @@ def audit_from_log(log: DataFrame, key: str, order_by: Sequence[str], value: str
     The history is range-partitioned on key and time together, so the rows of a hot key
     spread over many tasks (a window partitioned by key would hold them in one). Each task
     compares neighbours as Arrow batches and also emits its first and last row. Those two
-    rows per task are kept with the changes in one checkpoint, and a small window over
+    rows per task are kept with the changes in one working table, and a small window over
     them finds the changes that fall on a task boundary.
     """
-    session.shared_folder(log.sparkSession)
     columns = [key, *order_by, value]
     rows = log.where(F.col(key).isNotNull()).select(*columns)
     kinds = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
@@ -283,7 +293,7 @@ def audit_from_log(log: DataFrame, key: str, order_by: Sequence[str], value: str
             yield from shaped(last, None, TAIL)
 
     spread = rows.repartitionByRange(key, *order_by).sortWithinPartitions(key, *order_by)
-    found = spread.mapInArrow(neighbours, out).checkpoint()
+    found = working.table(spread.mapInArrow(neighbours, out), "audit")
     edges = found.where(F.col("_kind") != CHANGE)
     in_time = Window.partitionBy(key).orderBy(*order_by, "_kind")
     crossing = edges.withColumn("old_value", F.lag(value).over(in_time)).where(
@@ -304,14 +314,21 @@ def status_update(
     title: str,
     budget: str,
     include_procedure_row: bool = False,
+    touched: str | None = None,
+    now: Column | dt.datetime | None = None,
+    order_by: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Bulk status change: the next snapshot and the audit rows.
 
+    Of several updates of one key the last counts, for the snapshot and the audit alike.
+    ``touched`` is set to ``now`` where the status really changes.
+
     Only updated keys can be audited, so the audit joins the updates to the base and not
     two whole snapshots. There is one STATUS_CHANGE row per real change; with
     ``include_procedure_row`` also one STATUS_UPDATE row per update, without budgets.
     """
-    after = apply_updates(base, updates, [key], [status])
+    updates = one_per_key(updates, [key], [status], order_by)
+    after = apply_updates(base, updates, [key], [status], touched, now)
     asked = updates.select(F.col(key).alias("_k"), F.col(status).alias("new_status"))
     before = base.select(key, F.col(title).alias("film_title"), F.col(status).alias("old_status"), F.col(budget).alias("_b"))
     hit = before.join(asked, F.col(key) == F.col("_k"))
@@ -333,6 +350,22 @@ def status_update(
     )
 
 
+def append_audit(
+    log: DataFrame, rows: DataFrame, table: Table, order_by: Sequence[str], now: dt.datetime
+) -> DataFrame:
+    """An audit table with new rows appended: declared columns, running ids and a time.
+
+    Columns the rows lack take their declared default, so ``timestamp`` is ``now`` unless
+    the rows bring one. ``order_by`` is the unique order in which ids are given.
+    """
+    (id_column,) = table.key
+    shaped = fill_defaults(rows.drop(id_column), table, now)
+    extra = [c for c in order_by if c not in shaped.columns]
+    if extra:
+        raise ValueError(f"{table.name} has no columns {extra} to number by")
+    return append_with_ids(log, shaped.drop(id_column), id_column, order_by)
+
+
 # Deletes ---------------------------------------------------------------------------
 
 
@@ -346,13 +379,15 @@ def delete_cascade(
 
     Follows the foreign keys parents first: a cascading key drops the child rows (and so
     on downwards), a set-null key clears the column. ``refs`` lists (child, key) pairs
-    with parents before children, as ``sources.model.references`` does.
+    with parents before children, as ``sources.model.references`` does. The deleted keys of
+    each level that has children are kept in a working table.
     """
     left = dict(tables)
     pk = keys.columns
     left[root] = without_match(tables[root], keys, {k: k for k in pk})
     gone: dict[str, DataFrame] = {root: having_match(tables[root], keys, {k: k for k in pk})}
     parents = {r.table for _, r in refs}
+    reached = {r.table: sorted({x.parent for _, x in refs if x.table == r.table}) for _, r in refs}
     for child in dict.fromkeys(c for c, _ in refs):
         if child not in tables:
             continue
@@ -367,7 +402,8 @@ def delete_cascade(
                 part = having_match(tables[child], dead, on, spread=True)
                 dropped = part if dropped is None else dropped.unionByName(part)
         if dropped is not None:
-            gone[child] = dropped
+            # Written once: all tables below join these keys instead of finding them again.
+            gone[child] = working.table(dropped.select(*reached[child]).distinct(), "gone")
     return left
 
 
@@ -428,8 +464,39 @@ def account_log_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select("username", action.alias("action_type"), text.alias("action_description"))
 
 
+def create_accounts(accounts: DataFrame, requests: DataFrame, key: str = "username") -> tuple[DataFrame, DataFrame]:
+    """Accounts with the requested ones added, and the requests turned down.
+
+    A request is turned down if its name exists, or if an earlier request of the batch (in
+    the order of all columns) has it, or if it has none.
+    """
+    named = requests.where(F.col(key).isNotNull())
+    first = first_by(named, [key], [c for c in requests.columns if c != key] or [key])
+    fresh = without_match(first, accounts, {key: key})
+    taken = having_match(requests, accounts, {key: key}, spread=True)
+    free = without_match(named, accounts, {key: key}, spread=True)
+    again = free.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_asked"))
+    won = first.select(F.col(key).alias("_won"), F.struct(*[c for c in requests.columns if c != key]).alias("_as"))
+    again = again.join(won, F.col(key) == F.col("_won"), "left")
+    same = F.struct(*[c for c in requests.columns if c != key]).eqNullSafe(F.col("_as"))
+    repeats = again.select(*requests.columns, F.explode(F.array_repeat(F.lit(1), (F.col("_asked") - same.cast("int")).cast("int"))))
+    rejected = taken.unionByName(repeats.select(*requests.columns)).unionByName(requests.where(F.col(key).isNull()))
+    return accounts.unionByName(fresh, allowMissingColumns=True), rejected
+
+
 def guarded_delete(accounts: DataFrame, keys: DataFrame, key: str = "username") -> DataFrame:
-    """Bulk account deletion, adding ``outcome``: kept, deleted or rejected.
+    """Bulk account deletion, adding ``outcome``: kept, deleted or rejected (see ``guarded``)."""
+    return guarded(accounts, keys, key, "deleted")
+
+
+def guarded_deactivate(accounts: DataFrame, keys: DataFrame, key: str = "username") -> DataFrame:
+    """Bulk deactivation with ``outcome``; accounts that it is carried out for become inactive."""
+    judged = guarded(accounts, keys, key, "deactivated")
+    return judged.withColumn("is_active", F.col("is_active") & (F.col("outcome") != "deactivated"))
+
+
+def guarded(accounts: DataFrame, keys: DataFrame, key: str, done: str) -> DataFrame:
+    """Accounts with ``outcome``: kept, ``done`` or rejected.
 
     A batch that holds an administrator is carried out only if there was more than one
     active administrator and one remains; otherwise none of it is. The guard is one
@@ -448,5 +515,5 @@ def guarded_delete(accounts: DataFrame, keys: DataFrame, key: str = "username")
     allowed = counts.select(
         (F.col("admins_asked") == 0) | ((F.col("active_before") > 1) & (F.col("active_after") >= 1))
     ).scalar()
-    outcome = F.when(~asked, "kept").when(allowed, "deleted").otherwise("rejected")
+    outcome = F.when(~asked, "kept").when(allowed, done).otherwise("rejected")
     return joined.withColumn("outcome", outcome).drop("_asked")

@@ -16,9 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Key types for which equal values have equal hashes on both sides.
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_HASHABLE = (*_WHOLE, T.StringType, T.DateType, T.BooleanType)
 
 
 def join_on(
@@ -32,8 +30,8 @@ def join_on(
     keys = [F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]
     match = [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)]
     helpers = [f"_k{i}" for i in range(len(on))]
-    if spread and (hashes := _hashes(df, other, on)):
-        left_hash, right_hash = hashes
+    if spread:
+        left_hash, right_hash = _hashes(df, other, on)
         keys.append(right_hash.alias("_h"))
         match.append(left_hash == F.col("_h"))
         helpers.append("_h")
@@ -41,15 +39,24 @@ def join_on(
     return joined if how in ("left_semi", "left_anti") else joined.drop(*helpers)
 
 
-def _hashes(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> tuple[Column, Column] | None:
+def _hashes(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> tuple[Column, Column]:
+    """Hashes of both keys, equal where the keys are; key types that can't be brought together are an error."""
     sides: tuple[list[Column], list[Column]] = ([], [])
     for left, right in on.items():
         kinds = df.schema[left].dataType, other.schema[right].dataType
-        whole = all(isinstance(k, _WHOLE) for k in kinds)
-        if not whole and not (kinds[0] == kinds[1] and isinstance(kinds[0], _HASHABLE)):
-            return None
+        if all(isinstance(k, _WHOLE) for k in kinds):
+            shaped = lambda c: c.cast("bigint")
+        elif all(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds):
+            shaped = lambda c: c.cast("double") + F.lit(0.0)  # noqa: E731  -0.0 and 0.0 are one key
+        elif all(isinstance(k, (*_WHOLE, T.DecimalType)) for k in kinds):
+            scale = max(getattr(k, "scale", 0) for k in kinds)
+            shaped = lambda c, scale=scale: c.cast(f"decimal(38,{scale})")
+        elif kinds[0] == kinds[1]:
+            shaped = lambda c: c
+        else:
+            raise ValueError(f"a spread join needs keys of like types, not {left} {kinds[0]} and {right} {kinds[1]}")
         for side, name in zip(sides, (left, right), strict=True):
-            side.append(F.col(name).cast("bigint") if whole else F.col(name))
+            side.append(shaped(F.col(name)))
     return F.xxhash64(*sides[0]), F.xxhash64(*sides[1])
 
 

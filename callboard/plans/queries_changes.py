@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callboard.operators import changes as C
+from callboard.operators import flows
 from callboard.operators import quality as Q
 from callboard.plans import bindings as B
 from callboard.plans import reports as R
@@ -51,6 +52,24 @@ def _(d):
     return C.insert_ignore(base, new, ["o_custkey"], ["o_orderkey"])
 
 
+@query(
+    "insert_ignore_null_keys",
+    """WITH n AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS k, o_orderpriority AS p, o_orderkey FROM orders),
+b AS (SELECT CAST(c_custkey AS BIGINT) AS k, '1-URGENT' AS p, CAST(0 AS BIGINT) AS o_orderkey FROM customer
+  WHERE c_acctbal > 0)
+SELECT * FROM b UNION ALL SELECT * FROM n WHERE k IS NULL OR p IS NULL
+UNION ALL SELECT k, p, min(o_orderkey) FROM n ANTI JOIN b USING (k, p) WHERE k IS NOT NULL GROUP BY k, p""",
+)
+def _(d):
+    base = d["customer"].where("c_acctbal > 0").select(
+        F.col("c_custkey").alias("k"), F.lit("1-URGENT").alias("p"), F.lit(0).cast("bigint").alias("o_orderkey")
+    )
+    new = d["orders"].select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("k"), F.col("o_orderpriority").alias("p"), "o_orderkey"
+    )
+    return C.insert_ignore(base, new, ["k", "p"], ["o_orderkey"])
+
+
 @query(
     "fill_defaults",
     """SELECT o_orderkey AS film_id, o_orderpriority AS title, CAST(o_orderdate AS DATE) AS release_date,
@@ -121,8 +140,8 @@ def _(d):
     """WITH n AS (SELECT c_mktsegment, c_acctbal, c_nationkey,
   CAST((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS actor_id
   FROM customer),
-l AS (SELECT actor_id, unnest(string_split(CASE WHEN c_acctbal < 0 THEN 'English'
-  ELSE c_mktsegment || ', ,' || c_nationkey || ', ' || c_mktsegment END, ',')) AS word FROM n)
+l AS (SELECT actor_id, unnest(string_split(c_mktsegment || ', ,' || c_nationkey || ', ' || c_mktsegment, ',')) AS word
+  FROM n WHERE c_acctbal >= 0)
 SELECT DISTINCT actor_id, trim(word) AS language, 'Conversational' AS fluency_level FROM l WHERE trim(word) <> ''""",
 )
 def _(d):
@@ -131,9 +150,7 @@ def _(d):
         "c_custkey", F.col("c_name").alias("first_name"), F.when(F.col("c_acctbal") >= 0, spoken).alias("languages")
     )
     base = d["supplier"].select(F.col("s_suppkey").alias("actor_id"))
-    _, languages = C.ingest_with_list(
-        base, new, "actor_id", ["c_custkey"], "languages", "language", default_list="English"
-    )
+    _, languages = C.ingest_with_list(base, new, "actor_id", ["c_custkey"], "languages", "language")
     table = C.fill_defaults(languages, TABLES["actor_language"])
     return table.select("actor_id", "language", "fluency_level")
 
@@ -172,6 +189,143 @@ def _(d):
     return shootings
 
 
+NOW = dt.datetime(2024, 12, 31)
+
+
+def _film_requests(d: Data) -> DataFrame:
+    return d["part"].select(
+        F.col("p_partkey").alias("request"), F.col("p_type").alias("title"),
+        (B.dec("p_retailprice", 15, 2) * F.col("p_size")).cast("decimal(15,2)").alias("budget"),
+        F.regexp_replace("p_name", " ", ",").alias("genres"),
+    )
+
+
+_REQUESTED = """r AS (SELECT p_partkey AS request, p_type AS title, p_name,
+  CAST(CAST(p_retailprice AS DECIMAL(15,2)) * p_size AS DECIMAL(15,2)) AS budget FROM part)"""
+
+
+@query(
+    "film_ingest_rejected",
+    f"""WITH {_REQUESTED} SELECT request, title, budget, 'film_budget_minimum' AS rule_id FROM r WHERE budget < 100000""",
+)
+def _(d):
+    films = d["orders"].select(F.col("o_orderkey").alias("film_id"))
+    done = flows.add_films(films, _film_requests(d), ["request"], NOW)
+    return done.rejected.select("request", "title", "budget", F.explode("violations.rule_id").alias("rule_id"))
+
+
+@query(
+    "film_ingest_accepted",
+    f"""WITH {_REQUESTED} SELECT CAST((SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY request) AS BIGINT)
+  AS film_id, title, budget, 'Drama' AS primary_genre, 'Pre-Production' AS production_status
+FROM r WHERE budget IS NULL OR NOT budget < 100000""",
+)
+def _(d):
+    films = d["orders"].select(F.col("o_orderkey").alias("film_id"))
+    done = flows.add_films(films, _film_requests(d), ["request"], NOW)
+    return done.tables["film"].select("film_id", "title", "budget", "primary_genre", "production_status")
+
+
+@query(
+    "person_ingest_rejected",
+    """SELECT c_custkey AS request, 'actor_min_age' AS rule_id FROM customer
+WHERE c_acctbal >= 0 AND 2024 - (1990 + c_nationkey) < 18""",
+)
+def _(d):
+    asked = d["customer"].select(
+        F.col("c_custkey").alias("request"), F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("last_name"),
+        F.when(F.col("c_acctbal") >= 0, F.make_date(1990 + F.col("c_nationkey"), F.lit(1), F.lit(1))).alias("dob"),
+        F.lit(None).cast("string").alias("languages"),
+    )
+    base = d["supplier"].select(F.col("s_suppkey").alias("actor_id"))
+    done = flows.add_actors(base, asked, ["request"], NOW)
+    return done.rejected.select("request", F.explode("violations.rule_id").alias("rule_id"))
+
+
+def _status_flow(d: Data) -> flows.Outcome:
+    """Status changes asked for by line items: repeated for most films, some unknown."""
+    films = B.film_plain(d).withColumn("updated_date", F.col("created_date"))
+    updates = d["lineitem"].select(
+        F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).otherwise(-F.col("l_orderkey")).alias("film_id"),
+        F.concat("l_returnflag", "l_linestatus").alias("production_status"),
+    )
+    log = d.spark.createDataFrame([], TABLES["film_audit"].schema())
+    return flows.set_film_status(films, log, updates, NOW, F.lit("2024-12-31 00:00:00").cast("timestamp_ntz"))
+
+
+_STATUS_FLOW = with_("film_plain") + """, asked AS (
+  SELECT CASE WHEN l_linenumber < 7 THEN l_orderkey ELSE -l_orderkey END AS film_id, l_returnflag || l_linestatus AS s
+  FROM lineitem),
+u AS (SELECT film_id, max(s) AS s FROM asked JOIN film_plain USING (film_id)
+  WHERE budget IS NULL OR NOT budget < 100000 GROUP BY film_id)
+"""
+
+
+@query(
+    "status_flow_result",
+    _STATUS_FLOW
+    + """SELECT film_id, coalesce(s, production_status) AS production_status,
+  CASE WHEN s IS NOT NULL AND s IS DISTINCT FROM production_status THEN TIMESTAMP '2024-12-31 00:00:00'
+    ELSE created_date END AS updated_date FROM film_plain LEFT JOIN u USING (film_id)""",
+)
+def _(d):
+    return _status_flow(d).tables["film"].select("film_id", "production_status", "updated_date")
+
+
+@query(
+    "status_flow_audit",
+    _STATUS_FLOW
+    + """, a AS (
+  SELECT film_id, title, production_status AS old, s, budget, 'STATUS_CHANGE' AS action FROM u JOIN film_plain USING (film_id)
+  WHERE production_status <> s
+  UNION ALL SELECT film_id, title, production_status, s, NULL, 'STATUS_UPDATE' FROM u JOIN film_plain USING (film_id))
+SELECT CAST(row_number() OVER (ORDER BY film_id, action) AS INTEGER) AS audit_id, CAST(film_id AS BIGINT) AS film_id,
+  title AS film_title, old AS old_status, s AS new_status, CAST(budget AS DECIMAL(15,2)) AS old_budget,
+  CAST(budget AS DECIMAL(15,2)) AS new_budget, action, TIMESTAMP '2024-12-31 00:00:00' AS "timestamp" FROM a""",
+)
+def _(d):
+    return _status_flow(d).tables["film_audit"]
+
+
+@query(
+    "status_flow_rejected",
+    with_("film_plain")
+    + """SELECT l_orderkey AS film_id, 'film_budget_minimum' AS rule_id FROM lineitem JOIN film_plain ON film_id = l_orderkey
+WHERE l_linenumber < 7 AND budget < 100000
+UNION ALL SELECT -l_orderkey, 'film_exists' FROM lineitem WHERE l_linenumber >= 7""",
+)
+def _(d):
+    return _status_flow(d).rejected.select("film_id", F.explode("violations.rule_id").alias("rule_id"))
+
+
+def _equipment_flow(d: Data) -> flows.Outcome:
+    items = B.equipment(d).withColumn(
+        "availability", F.when(F.col("condition").cast("int") % 2 == 0, "Available").otherwise("In Use")
+    )
+    updates = d["lineitem"].select(
+        F.col("l_partkey").alias("equipment_id"),
+        F.when(F.col("l_returnflag") == "R", "Under Maintenance")
+        .when(F.col("l_returnflag") == "A", "In Use")
+        .otherwise("Lost")
+        .alias("availability"),
+    )
+    return flows.set_equipment_status(items, d.spark.createDataFrame([], TABLES["equipment_audit"].schema()), updates, NOW)
+
+
+@query(
+    "equipment_status_update",
+    """WITH e AS (SELECT p_partkey AS equipment_id, p_name AS equipment_name,
+  CASE WHEN p_size % 2 = 0 THEN 'Available' ELSE 'In Use' END AS old FROM part),
+u AS (SELECT l_partkey AS equipment_id, max(CASE l_returnflag WHEN 'R' THEN 'Under Maintenance' ELSE 'In Use' END) AS new
+  FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY l_partkey)
+SELECT CAST(row_number() OVER (ORDER BY equipment_id) AS INTEGER) AS audit_id, equipment_id, equipment_name,
+  old AS old_availability, new AS new_availability, 'UPDATE' AS action, TIMESTAMP '2024-12-31 00:00:00' AS "timestamp"
+FROM e JOIN u USING (equipment_id) WHERE old <> new""",
+)
+def _(d):
+    return _equipment_flow(d).tables["equipment_audit"]
+
+
 # Change audits ---------------------------------------------------------------------
 
 
@@ -288,20 +442,22 @@ def _(d):
 @query(
     "recent_equipment_audit",
     """SELECT p_partkey AS equipment_id, p_name AS equipment_name, p_brand AS old_availability,
-  'In Use' AS new_availability, 'UPDATE' AS action FROM part WHERE p_size > 25 AND p_brand <> 'In Use'
-ORDER BY p_partkey DESC LIMIT 50""",
+  'In Use' AS new_availability, 'UPDATE' AS action,
+  CAST(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * p_size AS TIMESTAMP) AS "timestamp"
+FROM part WHERE p_size > 25 AND p_brand <> 'In Use' ORDER BY "timestamp" DESC, p_partkey LIMIT 50""",
 )
 def _(d):
     old = B.equipment(d)
     new = old.withColumn(
         "availability", F.when(F.col("condition").cast("int") > 25, "In Use").otherwise(F.col("availability"))
     )
-    log = C.audit_changes(old, new, ["equipment_id"], {"availability": "UPDATE"}, ["name"])
+    log = C.audit_changes(old, new, ["equipment_id"], {"availability": "UPDATE"}, ["name", "condition"])
     log = log.select(
         "equipment_id", F.col("new_name").alias("equipment_name"), F.col("old_value").alias("old_availability"),
         F.col("new_value").alias("new_availability"), "action",
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(new_condition AS INT)").alias("timestamp"),
     )
-    return R.recent_audit(log, at="equipment_id")
+    return R.recent_audit(log, "equipment_id")
 
 
 # Updates ---------------------------------------------------------------------------
@@ -326,6 +482,36 @@ def _(d):
     return C.apply_updates(base, updates, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], "o_orderdate", now)
 
 
+@query(
+    "keyed_update_repeated",
+    """SELECT o_orderkey, coalesce(s, o_orderstatus) AS o_orderstatus FROM orders
+LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey)
+  ON l_orderkey = o_orderkey""",
+)
+def _(d):
+    updates = d["lineitem"].where("l_linenumber <= 3").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus")
+    )
+    none = d["lineitem"].where("l_linenumber = 1").select(
+        F.lit(None).cast("bigint").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus")
+    )
+    base = d["orders"].select("o_orderkey", "o_orderstatus")
+    return C.apply_updates(base, updates.unionByName(none), ["o_orderkey"], ["o_orderstatus"])
+
+
+@query(
+    "status_update_repeated",
+    with_("film_plain")
+    + """, u AS (SELECT l_orderkey, max(l_linestatus) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT film_id, title AS film_title, production_status AS old_status, s AS new_status, budget AS old_budget,
+  budget AS new_budget, 'STATUS_CHANGE' AS action, 'Film status updated from ' || production_status || ' to ' || s AS message
+FROM film_plain JOIN u ON l_orderkey = film_id WHERE production_status <> s""",
+)
+def _(d):
+    updates = d["lineitem"].select(F.col("l_orderkey").alias("film_id"), F.col("l_linestatus").alias("production_status"))
+    return C.status_update(B.film_plain(d), updates, "film_id", "production_status", "title", "budget")[1]
+
+
 def _status_update(d: Data) -> tuple[DataFrame, DataFrame]:
     films = B.film_plain(d)
     updates = films.where("primary_genre <> '5-LOW'").select("film_id", F.lit("F").alias("production_status"))
@@ -478,3 +664,57 @@ def _(d):
     accounts = B.account(d)
     gone = accounts.where("role = 'admin'").select("username")
     return C.guarded_delete(accounts, gone).select("username", "role", "outcome")
+
+
+@query(
+    "guarded_deactivate",
+    with_("account")
+    + """SELECT username, is_active AND created_by <> 'HOUSEHOLD' AS is_active,
+  CASE WHEN created_by = 'HOUSEHOLD' THEN 'deactivated' ELSE 'kept' END AS outcome FROM account""",
+)
+def _(d):
+    accounts = B.account(d)
+    stop = accounts.where("created_by = 'HOUSEHOLD'").select("username")
+    return C.guarded_deactivate(accounts, stop).select("username", "is_active", "outcome")
+
+
+@query(
+    "guarded_deactivate_rejected",
+    with_("account")
+    + """SELECT username, is_active, CASE WHEN role = 'admin' THEN 'rejected' ELSE 'kept' END AS outcome FROM account""",
+)
+def _(d):
+    accounts = B.account(d)
+    stop = accounts.where("role = 'admin'").select("username")
+    return C.guarded_deactivate(accounts, stop).select("username", "is_active", "outcome")
+
+
+def _account_requests(d: Data) -> tuple[DataFrame, DataFrame]:
+    """Accounts asked for by orders: of customers with an account, of new ones, and nameless."""
+    accounts = d["customer"].where("c_acctbal >= 0").select(F.col("c_custkey").alias("username"), F.lit("viewer").alias("role"))
+    asked = d["orders"].select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("username"), F.col("o_orderpriority").alias("role")
+    )
+    return C.create_accounts(accounts, asked)
+
+
+_ASKED = """WITH a AS (SELECT c_custkey AS username FROM customer WHERE c_acctbal >= 0),
+q AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS username, o_orderpriority AS role FROM orders),
+n AS (SELECT username, role, row_number() OVER (PARTITION BY username ORDER BY role) AS i FROM q ANTI JOIN a USING (username)
+  WHERE username IS NOT NULL)
+"""
+
+
+@query("create_accounts", _ASKED + "SELECT username, 'viewer' AS role FROM a UNION ALL SELECT username, role FROM n WHERE i = 1")
+def _(d):
+    return _account_requests(d)[0]
+
+
+@query(
+    "create_accounts_rejected",
+    _ASKED
+    + """SELECT username, role FROM q SEMI JOIN a USING (username) UNION ALL SELECT username, role FROM n WHERE i > 1
+UNION ALL SELECT username, role FROM q WHERE username IS NULL""",
+)
+def _(d):
+    return _account_requests(d)[1]

@@ -315,15 +315,7 @@ def _(d):
      AS DECIMAL(35,4)) FROM lineitem) AS total_boxoffice""",
 )
 def _(d):
-    # The box office of all films is the revenue of all lines, so one pass over the lines
-    # gives it; going through films would first group the lines by order.
-    films = d["orders"].select(B.dec("o_totalprice", 15, 2).alias("budget"))
-    lines = d["lineitem"].select(B.line_revenue().cast("decimal(25,4)").alias("boxoffice_collection"))
-    return A.totals(
-        (films, [F.count(F.lit(1)).alias("total_films"), F.coalesce(F.sum("budget"), F.lit(0)).alias("total_budget")]),
-        (d["customer"], [F.count(F.lit(1)).alias("total_actors")]),
-        (lines, [F.coalesce(F.sum("boxoffice_collection"), F.lit(0)).alias("total_boxoffice")]),
-    ).select("total_films", "total_actors", "total_budget", "total_boxoffice")
+    return R.kpi_totals({"film": B.film(d), "actor": B.actor(d)})
 
 
 @query(

@@ -59,14 +59,17 @@ def _sum_of(df: DataFrame, column: str) -> str:
 
 def film_basic(t: Tables, key=None, limit: int | None = None) -> DataFrame:
     """Every film with its director; ``limit`` gives the first rows by id as a preview."""
-    films = _only(t["film"], "film_id", key)
+    films, director = _only(t["film"], "film_id", key), t["director"]
     if limit is not None:
-        # The director join neither adds nor drops films, so the cap goes below it.
+        # The director join neither adds nor drops films, so the cap goes below it, and only
+        # the directors of those few films are joined.
         films = A.top_n(films, limit, F.asc_nulls_first("film_id"))
-    return _with_director(films, t["director"], "director_name").select(
+        director = having_match(director, films, {"director_id": "fk_director_id"})
+    rows = _with_director(films, director, "director_name").select(
         "film_id", "title", "release_date", "budget", "duration", "language", "rating",
         "production_status", "director_name", "created_date",
     )
+    return rows if limit is None else rows.orderBy(F.asc_nulls_first("film_id"))
 
 
 def film_profitability(t: Tables, key=None, ordered: bool = True) -> DataFrame:
@@ -331,15 +334,15 @@ def producer_investment(t: Tables, key=None, ordered: bool = True) -> DataFrame:
 def distributor_performance(t: Tables) -> DataFrame:
     """Films, fees and average box office per distributor, one box office per contract.
 
-    Contracts are first brought down to one row per distributor and film. That takes the
-    shuffle a distinct count of films would need anyway, and what follows is plain sums.
+    Contracts take their film's box office first, in a join whose hot films AQE can split,
+    and are then brought down to one row per distributor and film; what follows is plain sums.
     """
+    deals = lookup(t["distributes"], t["film"], {"film_id": "film_id"}, ["boxoffice_collection"], spread=True)
     deals = per_parent(
-        t["distributes"],
-        ["distributor_id", "film_id"],
+        deals,
+        ["distributor_id", "film_id", "boxoffice_collection"],
         {"fees": F.sum("distribution_fee"), "contracts": F.count(F.lit(1))},
     )
-    deals = lookup(deals, t["film"], {"film_id": "film_id"}, ["boxoffice_collection"], spread=True)
     rows = attach(
         t["distributor"].select("distributor_id", "name", "region", "market_share"),
         deals,
@@ -462,12 +465,16 @@ def recent_activity(t: Tables, n: int = 100) -> DataFrame:
     )
 
 
-def user_activity_summary(t: Tables) -> DataFrame:
-    """Activity figures per user. ``log_id`` is the log's key, so its rows are its count."""
+def user_activity_summary(t: Tables, ordered: bool = False) -> DataFrame:
+    """Activity figures per user. ``log_id`` is the log's key, so its rows are its count.
+
+    ``ordered`` is the page form: latest activity first.
+    """
     users = t["user_metadata"].select("username", "full_name", "role")
-    return attach(
+    rows = attach(
         users, t["user_activity_log"], {"username": "username"}, activity_measures(), activity_defaults()
     )
+    return A.sort_rows(rows, ["username"], *_newest("last_activity", "username")) if ordered else rows
 
 
 def activity_measures(success: str = "LOGIN_SUCCESS", failure: str = "LOGIN_FAILED") -> dict:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
+from callboard.operators import changes as C
+from callboard.operators import flows
 from callboard.plans import reports as R
 
 # View names. The reporting date decides ages.
@@ -40,6 +42,20 @@ PROCEDURES: dict[str, Callable[..., DataFrame]] = {
     "sp_get_all_users": R.user_listing,
 }
 
+# Names of the writing procedures, as bulk forms over tables and requests.
+WRITES: dict[str, Callable] = {
+    "sp_add_film_with_genres": flows.add_films,
+    "sp_allocate_crew_to_film": C.insert_select,
+    "sp_cast_actor_in_film": flows.add_roles,
+    "sp_update_equipment_status": flows.set_equipment_status,
+    "sp_add_shooting_location": C.ingest_location_cost,
+    "sp_update_film_status": flows.set_film_status,
+    "sp_create_user": C.create_accounts,
+    "sp_update_login": C.last_logins,
+    "sp_update_user_status": C.guarded_deactivate,
+    "sp_delete_user": C.guarded_delete,
+}
+
 
 def register_views(tables: Mapping[str, DataFrame], as_of: dt.date) -> list[str]:
     """Temp views over the reports. A view is planned when it is read, never stored."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +16,8 @@ RUNTIME_DEFAULTS = {
     # Split a hot join partition even when a later aggregate then needs one more
     # exchange: one extra shuffle is cheaper than one task holding a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows can be whole documents: Python workers get them in batches of a bounded size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
@@ -43,14 +46,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _is_local(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and working tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only when neither that setting
-    nor a context checkpoint folder exists (local tests) is a temporary one made.
+    nor a context checkpoint folder exists (local tests) is a temporary one made. On a
+    cluster a folder of the local file system draws a warning: it must be a shared mount.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not spark.sparkContext.master.startswith("local") and _is_local(spark, configured):
+            warnings.warn(f"{configured} must be mounted on every executor and the driver", stacklevel=2)
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured

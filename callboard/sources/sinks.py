@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-MANIFEST_SCHEMA = "version bigint, path string"
+from callboard.sources import working
+
+
+class VersionTaken(RuntimeError):
+    """Another writer has committed the version that this one was about to commit."""
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -14,46 +19,76 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+# A snapshot table is a folder of data folders with names of their own and a ``manifest``
+# folder with one small file per version that names its data. Making that file is the commit.
+
+
+def _entry(spark: SparkSession, root: str, version: int) -> str | None:
+    """The data folder of a version; None if its entry is missing or was never finished."""
+    path, system = working.resolve(spark, f"{root}/manifest/{version:09d}")
+    if not system.exists(path):
+        return None
+    source = system.open(path)
     try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+        text = bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+    return f"{root}/{text.strip()}" if text.endswith("\n") else None
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return [int(n) for n in working.children(spark, f"{root}/manifest") if n.isdigit()]
 
 
 def current_version(spark: SparkSession, root: str) -> int:
     """Newest committed version, 0 when the table has none."""
-    manifest = _manifest(spark, root)
-    if manifest is None:
-        return 0
-    return manifest.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
+    for version in sorted(_versions(spark, root), reverse=True):
+        if _entry(spark, root, version):
+            return version
+    return 0
 
 
 def write_snapshot(df: DataFrame, root: str, cluster_by: tuple[str, ...] = ()) -> str:
-    """Replace a table's content: write a new version, then record it in the manifest.
+    """Replace a table's content: write the data, then commit it as the next version.
 
-    Readers see the old version until the manifest row lands, and a second writer that
-    picks the same version fails on the existing path. ``cluster_by`` range-partitions
-    and sorts the files so that row-group statistics prune later key filters.
+    The data goes into a folder that only the manifest names, so a crash before the commit
+    leaves a folder that nobody reads and blocks nothing. The version is fixed before the
+    data is written and the commit never overwrites: of two writers that started from the
+    same version the second gets ``VersionTaken``. ``cluster_by`` range-partitions and sorts
+    the files so that row-group statistics prune later key filters.
     """
     spark = df.sparkSession
-    version = current_version(spark, root) + 1
-    path = f"{root}/v={version:06d}"
+    version = max(_versions(spark, root), default=0) + 1
+    name = f"data-{uuid.uuid4().hex}"
     if cluster_by:
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    df.write.mode("errorifexists").parquet(path)
-    append(spark.createDataFrame([(version, path)], MANIFEST_SCHEMA), f"{root}/manifest")
-    return path
+    df.write.mode("errorifexists").parquet(f"{root}/{name}")
+    commit(spark, root, version, name)
+    return f"{root}/{name}"
+
+
+def commit(spark: SparkSession, root: str, version: int, name: str) -> None:
+    """Name the data folder of a version, once and for all."""
+    path, system = working.resolve(spark, f"{root}/manifest/{version:09d}")
+    try:
+        out = system.create(path, False)
+    except Exception as taken:
+        if "already exists" in str(taken) or "FileAlreadyExists" in str(taken):
+            raise VersionTaken(f"version {version} of {root} was committed by another writer") from taken
+        raise
+    try:
+        out.write(bytearray(f"{name}\n".encode()))
+    finally:
+        out.close()
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """Read one version of a snapshot table, the newest by default."""
+    """Read one committed version of a snapshot table, the newest by default."""
     version = version or current_version(spark, root)
-    if not version:
-        raise FileNotFoundError(f"no snapshot under {root}")
-    return spark.read.parquet(f"{root}/v={version:06d}")
+    path = _entry(spark, root, version) if version else None
+    if path is None:
+        raise FileNotFoundError(f"no snapshot {version or ''} under {root}")
+    return spark.read.parquet(path)
 
 
 def write_split(checked: DataFrame, path: str, flag: str = "is_valid") -> None:

@@ -7,7 +7,7 @@ from callboard import session
 from callboard.functions import sqlfns
 from callboard.operators import quality as Q
 from callboard.plans import views
-from callboard.sources import model, sinks, tables
+from callboard.sources import model, sinks, tables, working
 
 
 def test_append_and_snapshots_round_trip(spark, make, tmp_path):
@@ -27,13 +27,40 @@ def test_append_and_snapshots_round_trip(spark, make, tmp_path):
     assert rows(sinks.read_snapshot(spark, root, version=1)) == [(1, "a")]
 
 
-def test_a_version_without_a_manifest_row_is_not_read(spark, make, tmp_path):
+def test_a_crash_before_the_commit_blocks_nothing(spark, make, tmp_path):
     root = str(tmp_path / "table")
     sinks.write_snapshot(make([(1,)], "id int"), root)
-    make([(2,)], "id int").write.parquet(f"{root}/v=000002")
+    make([(2,)], "id int").write.parquet(f"{root}/data-lost")
     assert rows(sinks.read_snapshot(spark, root)) == [(1,)]
-    with pytest.raises(Exception, match="already exists"):
-        sinks.write_snapshot(make([(3,)], "id int"), root)
+    (tmp_path / "table/manifest/000000002").write_text("data-lo")  # an entry that was never finished
+    assert sinks.current_version(spark, root) == 1
+    sinks.write_snapshot(make([(3,)], "id int"), root)
+    assert rows(sinks.read_snapshot(spark, root)) == [(3,)] and sinks.current_version(spark, root) == 3
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, root, version=2)
+
+
+def test_of_two_writers_of_one_version_one_wins(spark, make, tmp_path):
+    root = str(tmp_path / "table")
+    for name, row in (("data-a", 1), ("data-b", 2)):
+        make([(row,)], "id int").write.parquet(f"{root}/{name}")
+    sinks.commit(spark, root, 1, "data-a")
+    with pytest.raises(sinks.VersionTaken):
+        sinks.commit(spark, root, 1, "data-b")
+    assert rows(sinks.read_snapshot(spark, root)) == [(1,)]
+
+
+def test_working_tables_are_released(spark, make):
+    df = make([(1, "a")], "id int, v string")
+    with working.dropped_after(spark):
+        kept = working.folder(spark, "test")
+        assert rows(working.written(df, kept)) == [(1, "a")]
+    assert working.children(spark, kept) == []
+    kept = working.folder(spark, "test")
+    working.written(df, kept)
+    assert working.children(spark, kept)
+    working.release(spark)
+    assert working.children(spark, kept) == []
 
 
 def test_split_is_written_in_one_table(spark, make, tmp_path):
