@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from callboard import session
 from callboard.operators.joins import lookup
 from callboard.plans import bindings as B
 from callboard.plans import reports as R
 from callboard.plans.queries_quality import EVENT_VIOLATIONS, event_rules
 from callboard.plans import queries_changes, queries_reports  # noqa: F401
 from callboard.plans.registry import ORACLE, Data, query
-from callboard.sources import sinks
+from callboard.sources import sinks, working
 from callboard.sources.tables import DRIVER_SCHEMAS, driver_path
 from callboard.streaming import jobs
 
@@ -26,7 +23,7 @@ def _events(d: Data):
 
 def _folders(d: Data) -> tuple[str, str]:
     """A fresh result folder and a fresh progress folder, shared by all executors."""
-    root = f"{session.shared_folder(d.spark)}/streams/{uuid.uuid4().hex}"
+    root = working.folder(d.spark, "stream")
     return f"{root}/result", f"{root}/progress"
 
 
@@ -44,7 +41,7 @@ def _(d):
     log = B.activity({"events": _events(d)})
     jobs.running_summary(log, "username", R.activity_measures(), path, progress).awaitTermination()
     users = B.account(d).select("username", "full_name", "role")
-    latest = jobs.latest_summary(d.spark, path, "username")
+    latest = jobs.latest_summary(d.spark, path)
     return lookup(users, latest, {"username": "username"}, list(R.activity_measures()), R.activity_defaults())
 
 

@@ -1,0 +1,72 @@
+"""A keyed table that a stream keeps up to date, in buckets of which a batch rewrites those it touches.
+
+The rows of bucket b as of batch e lie in ``epoch=e/_bucket=b``; a bucket's newest finished
+epoch counts. A batch reads and rewrites only the buckets its keys fall into, so its work and
+its files follow the batch and not the history. Of each bucket the newest epoch and the one
+it was made from are kept: a batch repeated after a failure finds what it found before and
+overwrites only its own output.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callboard.sources import working
+
+BUCKETS = 64
+
+
+def _epochs(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Buckets with their finished epochs, oldest first."""
+    found: dict[int, list[int]] = {}
+    names = [n for n in working.children(spark, path) if n.startswith("epoch=")]
+    for epoch in sorted(int(n.removeprefix("epoch=")) for n in names):
+        inside = working.children(spark, f"{path}/epoch={epoch}")
+        if "_SUCCESS" in inside:
+            for name in (n for n in inside if n.startswith("_bucket=")):
+                found.setdefault(int(name.removeprefix("_bucket=")), []).append(epoch)
+    return found
+
+
+def _read(spark: SparkSession, path: str, places: dict[int, int], schema) -> DataFrame:
+    paths = [f"{path}/epoch={e}/_bucket={b}" for b, e in sorted(places.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def bucket(key: str, count: int):
+    return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+
+def before(rows: DataFrame, path: str, key: str, epoch: int, schema, count: int = BUCKETS) -> DataFrame:
+    """The kept rows, as of the batch before ``epoch``, of all buckets that hold a key of ``rows``."""
+    touched = {r[0] for r in rows.select(bucket(key, count)).distinct().collect()}  # at most ``count``
+    known = _epochs(rows.sparkSession, path)
+    earlier = {b: [e for e in known.get(b, []) if e < epoch] for b in touched}
+    return _read(rows.sparkSession, path, {b: e[-1] for b, e in earlier.items() if e}, schema)
+
+
+def merge(rows: DataFrame, kept: DataFrame, path: str, key: str, epoch: int, count: int = BUCKETS) -> None:
+    """Store ``rows``, one per key, over the ``kept`` ones of their buckets, and drop what is outdated."""
+    spark = rows.sparkSession
+    fresh = rows.select(F.col(key).alias("_k"))
+    stay = kept.join(fresh, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    whole = stay.unionByName(rows.select(*kept.columns)).withColumn("_bucket", bucket(key, count))
+    target = f"{path}/epoch={epoch}"
+    whole.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(target)
+    known = _epochs(spark, path)
+    for place, epochs in known.items():
+        for old in [e for e in epochs if e < epoch][:-1] if epoch in epochs else epochs[:-2]:
+            working.drop(spark, f"{path}/epoch={old}/_bucket={place}")
+    for name in (n for n in working.children(spark, path) if n.startswith("epoch=")):
+        inside = working.children(spark, f"{path}/{name}")
+        if "_SUCCESS" in inside and not any(n.startswith("_bucket=") for n in inside):
+            working.drop(spark, f"{path}/{name}")
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """All kept rows as of the last finished batch."""
+    known = _epochs(spark, path)
+    if not known:
+        raise FileNotFoundError(f"nothing kept under {path}")
+    return spark.read.parquet(*[f"{path}/epoch={e[-1]}/_bucket={b}" for b, e in sorted(known.items())])

@@ -14,11 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callboard.operators.aggregates import first_by
 from callboard.operators.changes import audit_from_log
 from callboard.operators.quality import AnyRule, Unique, check
+from callboard.sources import working
+from callboard.streaming import buckets
 
 AVAILABLE = {"availableNow": True}
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def off_heap_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB unless the session names a store: state outgrows the heap."""
+    if _STORE not in spark.conf.getAll:
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -70,13 +78,18 @@ def running_summary(
     """Per-key aggregates over all of history, kept up to date.
 
     There is no watermark, because the summary covers every row ever seen; the state is
-    one row per key. Each batch writes only the keys it touched, into a folder of its own
-    that a repeated batch overwrites. ``latest_summary`` reads the result.
+    one row per key. Each batch rewrites the buckets of the keys it touched and what they
+    replace is deleted (see ``buckets``). ``latest_summary`` reads the result.
     """
+    off_heap_state(rows.sparkSession)
     grouped = rows.groupBy(key).agg(*[m.alias(n) for n, m in measures.items()])
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        seen = batch.persist()
+        try:
+            buckets.merge(seen, buckets.before(seen, path, key, epoch, batch.schema), path, key, epoch)
+        finally:
+            seen.unpersist()
 
     return (
         grouped.writeStream.outputMode("update")
@@ -87,9 +100,9 @@ def running_summary(
     )
 
 
-def latest_summary(spark: SparkSession, path: str, key: str) -> DataFrame:
+def latest_summary(spark: SparkSession, path: str) -> DataFrame:
     """The newest row per key of a running summary."""
-    return first_by(spark.read.parquet(path), [key], [-F.col("epoch")]).drop("epoch")
+    return buckets.newest(spark, path)
 
 
 def change_audit(
@@ -107,9 +120,8 @@ def change_audit(
 
     Changes inside a batch come from the batch audit, which spreads a hot key over many
     tasks. Those between batches come from comparing each key's first row with the last
-    value kept for it. The kept values are a table in one of two folders, written in turn:
-    batch n reads what batch n-1 wrote, so a batch repeated after a failure starts from
-    the same values and overwrites only its own output.
+    value kept for it. The kept values are a table in buckets (see ``buckets``): a batch
+    reads and rewrites those of its own keys.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     kept_schema = f"{key} {kinds[key].simpleString()}, kept {kinds[value].simpleString()}"
@@ -124,23 +136,19 @@ def change_audit(
                 F.min_by(F.struct(*order_by, value), moment).alias("head"),
                 F.max_by(F.struct(value), moment).alias("tail"),
             )
-            if epoch:
-                kept = spark.read.schema(kept_schema).parquet(f"{path}/kept/slot={(epoch - 1) % 2}")
-            else:
-                kept = spark.createDataFrame([], kept_schema)
-            kept = kept.select(F.col(key).alias("_k"), "kept", F.lit(True).alias("_known"))
-            met = ends.join(kept, F.col(key) == F.col("_k"), "full_outer")
+            ends = ends.persist()
+            kept = buckets.before(ends, f"{path}/kept", key, epoch, kept_schema)
+            known = kept.select(F.col(key).alias("_k"), "kept")
+            met = ends.join(known, F.col(key) == F.col("_k"))
             crossing = met.where(F.col("kept") != F.col(f"head.{value}")).select(
                 key, *[F.col(f"head.{c}").alias(c) for c in order_by], F.col("kept").alias("old_value"),
                 F.col(f"head.{value}").alias("new_value"),
             )
-            inside = audit_from_log(seen, key, order_by, value)
-            inside.unionByName(crossing).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
-            after = met.select(
-                F.coalesce(key, "_k").alias(key),
-                F.when(F.col("tail").isNotNull(), F.col(f"tail.{value}")).otherwise(F.col("kept")).alias("kept"),
-            )
-            after.write.mode("overwrite").parquet(f"{path}/kept/slot={epoch % 2}")
+            with working.dropped_after(spark):
+                inside = audit_from_log(seen, key, order_by, value)
+                inside.unionByName(crossing).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+            buckets.merge(ends.select(key, F.col(f"tail.{value}").alias("kept")), kept, f"{path}/kept", key, epoch)
+            ends.unpersist()
         finally:
             seen.unpersist()
 

@@ -1,5 +1,7 @@
 """Streaming jobs over several small batches against their batch forms."""
 
+import os
+
 import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from callboard.plans import reports as R
 from callboard.plans.queries_quality import event_rules
 from callboard.sources import sinks
 from callboard.sources.tables import DRIVER_SCHEMAS, load
-from callboard.streaming import jobs
+from callboard.streaming import buckets, jobs
 
 
 @pytest.fixture
@@ -55,9 +57,8 @@ def test_running_summary_equals_the_batch_report(spark, feed, tmp_path):
         B.activity({"events": stream}), "username", measures, out, str(tmp_path / "ckpt")
     ).awaitTermination()
     batch = B.activity({"events": events}).groupBy("username").agg(*[m.alias(n) for n, m in measures.items()])
-    latest = jobs.latest_summary(spark, out, "username")
+    latest = jobs.latest_summary(spark, out)
     assert rows(latest, *batch.columns) == rows(batch)
-    assert spark.read.parquet(out).select("epoch").distinct().count() == 5
 
 
 def test_change_audit_equals_the_batch_audit(spark, feed, tmp_path):
@@ -77,3 +78,20 @@ def test_change_audit_goes_on_after_a_restart(spark, feed, tmp_path):
         stream = jobs.read_files(spark, folder, DRIVER_SCHEMAS["events"])
         jobs.change_audit(stream, *args, out, ckpt).awaitTermination()
     assert rows(jobs.read_changes(spark, out)) == rows(C.audit_from_log(events, *args))
+
+
+def _files(folder):
+    return sum(len([n for n in names if n.endswith(".parquet")]) for _, _, names in os.walk(folder))
+
+
+def test_kept_tables_follow_the_keys_and_not_the_history(spark, tmp_path):
+    path, schema, sizes = str(tmp_path / "kept"), "k bigint, v bigint", []
+    for epoch in range(12):
+        rows_ = spark.createDataFrame([(k, epoch) for k in range(epoch % 3, epoch % 3 + 2)], schema)
+        buckets.merge(rows_, buckets.before(rows_, path, "k", epoch, schema), path, "k", epoch)
+        sizes.append(_files(path))
+    assert rows(buckets.newest(spark, path)) == [(0, 9), (1, 10), (2, 11), (3, 11)]
+    assert max(sizes[6:]) <= 8  # four keys, each bucket once as it is and once as it was
+    again = spark.createDataFrame([(2, 11), (3, 11)], schema)  # the last batch is repeated
+    buckets.merge(again, buckets.before(again, path, "k", 11, schema), path, "k", 11)
+    assert rows(buckets.newest(spark, path)) == [(0, 9), (1, 10), (2, 11), (3, 11)]
