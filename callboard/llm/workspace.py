@@ -1,67 +1,36 @@
-"""Working tables and files in the folder that all executors share."""
+"""Working files of the text operators; tables come from ``sources.working``."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from callboard.sources import working
+from callboard.sources.working import drop, folder, release, written
 
-from callboard import session
-
-_FOLDERS: dict[str, list[str]] = {}
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder of its own under ``spark.checkpoint.dir`` (see ``session.shared_folder``)."""
-    path = f"{session.shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def _path(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+__all__ = ["drop", "folder", "made", "named", "put", "release", "uri", "written"]
 
 
 def uri(spark: SparkSession, path: str) -> str:
     """The full address of a path, with its scheme, as tasks need it."""
-    hadoop, system = _path(spark, path)
+    hadoop, system = working.resolve(spark, path)
     return system.makeQualified(hadoop).toString()
 
 
 def made(spark: SparkSession, path: str) -> str:
     """Make a folder that task code writes files into; returns its full address."""
-    hadoop, system = _path(spark, path)
+    hadoop, system = working.resolve(spark, path)
     system.mkdirs(hadoop)
     return system.makeQualified(hadoop).toString()
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    hadoop, system = _path(spark, path)
-    system.delete(hadoop, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every working folder of this application; call it once results are written."""
-    for path in _FOLDERS.pop(spark.sparkContext.applicationId, []):
-        drop(spark, path)
-
-
-def written(frame: DataFrame, path: str) -> DataFrame:
-    """The frame as a Parquet table at ``path``: later steps read it and recompute nothing."""
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def named(spark: SparkSession, path: str, ending: str, name) -> list[str]:
     """Give the files below ``path`` with this ending the paths name(0), name(1), ...; returns their full addresses."""
-    hadoop, system = _path(spark, path)
-    found, out = system.listFiles(hadoop, True), []
-    places = []
+    hadoop, system = working.resolve(spark, path)
+    found, places, out = system.listFiles(hadoop, True), [], []
     while found.hasNext():
         places.append(found.next().getPath())
     for place in sorted((p for p in places if p.getName().endswith(ending)), key=lambda p: p.toString()):
-        target = spark._jvm.org.apache.hadoop.fs.Path(name(len(out)))
+        target = working.resolve(spark, name(len(out)))[0]
         system.rename(place, target)
         out.append(system.makeQualified(target).toString())
     return out
@@ -69,7 +38,7 @@ def named(spark: SparkSession, path: str, ending: str, name) -> list[str]:
 
 def put(spark: SparkSession, path: str, data: bytes) -> str:
     """Write one small file into the shared folder; returns its full address."""
-    hadoop, system = _path(spark, path)
+    hadoop, system = working.resolve(spark, path)
     out = system.create(hadoop, True)
     try:
         out.write(bytearray(data))
