@@ -69,7 +69,7 @@ def film_basic(t: Tables, key=None, limit: int | None = None) -> DataFrame:
         "film_id", "title", "release_date", "budget", "duration", "language", "rating",
         "production_status", "director_name", "created_date",
     )
-    return rows if limit is None else rows.orderBy(F.asc_nulls_first("film_id"))
+    return rows if limit is None else A.top_n(rows, limit, F.asc_nulls_first("film_id"))
 
 
 def film_profitability(t: Tables, key=None, ordered: bool = True) -> DataFrame:

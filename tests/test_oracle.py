@@ -5,8 +5,9 @@ import pytest
 from conftest import ORACLE_FOLDER, SMALL
 
 import __spark_entry__ as contract
+from callboard.plans import catalog
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def db():
 
 def test_every_query_has_reference_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
