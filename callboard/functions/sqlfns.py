@@ -7,6 +7,7 @@ so that a column of the same name cannot take their place.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,14 +89,20 @@ _FUNCTIONS = {
 
 
 def register(
-    spark: SparkSession, tables: Mapping[str, DataFrame], profit_type: str = "DECIMAL(26,4)"
+    spark: SparkSession, tables: Mapping[str, DataFrame], profit_type: str = "DECIMAL(26,4)", prefix: str = ""
 ) -> list[str]:
-    """Create the functions whose tables are given, over temp views of those tables."""
+    """Create the functions whose tables are given, over temp views of those tables.
+
+    Views and functions live in the session. With a ``prefix`` both bear it, so that callers
+    over different tables don't replace each other's.
+    """
     for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
+        frame.createOrReplaceTempView(f"{prefix}{name}")
     made = []
     for name, (needs, body) in _FUNCTIONS.items():
         if set(needs) <= set(tables):
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body.format(profit=profit_type)}")
-            made.append(name)
+            body = re.sub(r"\bfn_", f"{prefix}fn_", body.format(profit=profit_type))
+            body = re.sub(r"\bFROM (\w+) ", rf"FROM {prefix}\1 ", body)
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}{body}")
+            made.append(f"{prefix}{name}")
     return made

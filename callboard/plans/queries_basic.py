@@ -12,7 +12,7 @@ from callboard.operators import aggregates as A
 from callboard.operators import changes as C
 from callboard.operators import joins as J
 from callboard.plans import bindings as B
-from callboard.plans.bindings import sql_roi, with_
+from callboard.plans.bindings import sql_ratio, sql_roi, with_
 from callboard.plans.registry import query
 from callboard.plans.views import VIEWS
 from callboard.sources import tables
@@ -259,3 +259,47 @@ def _(d):
         """SELECT production_status, count(*) AS films, sum(profit) AS profit
              FROM view_film_profitability GROUP BY production_status"""
     )
+
+
+@query(
+    "sql_udf_lookups",
+    with_("actor")
+    + f""", k AS (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderstatus = 'P'),
+line AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS minutes, count(*) AS scenes,
+  CAST({sql_ratio("sum(CAST(l_extendedprice AS DECIMAL(14,2)))", "count(l_extendedprice)", 2, 18, 6)} AS DECIMAL(14,2)) AS salary
+  FROM lineitem GROUP BY l_orderkey),
+own AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS minutes FROM lineitem
+  WHERE l_partkey = l_orderkey GROUP BY l_orderkey),
+owner AS (SELECT o_custkey, count(*) AS films, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS money
+  FROM orders GROUP BY o_custkey),
+part_ AS (SELECT p_partkey, p_brand FROM part),
+login AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 1 ELSE -3 END AS state FROM customer)
+SELECT k, CAST(coalesce(2024 - year(dob), 0) AS INTEGER) AS age, coalesce(films, 0) AS films,
+  CAST(coalesce(money, 0) AS DECIMAL(25,2)) AS investment, coalesce(line.minutes, 0) AS crew_minutes,
+  coalesce(p_brand, 'Unknown') AS availability, coalesce(own.minutes, 0) AS screen_time, coalesce(scenes, 0) AS scenes,
+  CAST(coalesce(salary, 0) AS DECIMAL(14,2)) AS salary, CAST(coalesce(state, -1) AS INTEGER) AS login
+FROM k LEFT JOIN actor ON actor_id = k LEFT JOIN owner ON o_custkey = k LEFT JOIN line ON line.l_orderkey = k
+LEFT JOIN own ON own.l_orderkey = k LEFT JOIN part_ ON p_partkey = k LEFT JOIN login ON c_custkey = k""",
+)
+def _(d):
+    lines = d["lineitem"]
+    tables = {
+        "actor": B.actor(d),
+        "film": B.film_plain(d).withColumn("boxoffice_collection", F.lit(0)),
+        "produced_by": d["orders"].select(F.col("o_custkey").alias("producer_id"), B.dec("o_totalprice", 15, 2).alias("investment")),
+        "scene_filming": lines.select(F.col("l_orderkey").alias("film_id"), F.col("l_quantity").cast("int").alias("duration_minutes")),
+        "scene": lines.select(F.col("l_orderkey").alias("film_id")),
+        "equipment": B.equipment(d),
+        "role": B.line_role(d),
+        "user_metadata": B.account(d),
+    }
+    sqlfns.register(d.spark, tables, prefix="lookups_")
+    orders = d["orders"]
+    keys = orders.select(F.col("o_orderkey").alias("k")).unionAll(orders.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("k")))
+    return keys.selectExpr(
+        "k", "lookups_fn_get_actor_age(k, DATE'2024-12-31') AS age", "lookups_fn_director_film_count(k) AS films",
+        "lookups_fn_producer_total_investment(k) AS investment", "lookups_fn_film_total_crew_hours(k) AS crew_minutes",
+        "lookups_fn_equipment_available(k) AS availability", "lookups_fn_actor_screen_time(k, k) AS screen_time",
+        "lookups_fn_film_total_scenes(k) AS scenes", "lookups_fn_film_avg_actor_salary(k) AS salary",
+        "lookups_fn_authenticate_user(CAST(k AS STRING)) AS login",
+    )

@@ -10,7 +10,7 @@ from callboard.operators import aggregates as A
 from callboard.plans import bindings as B
 from callboard.plans import reports as R
 from callboard.plans.bindings import sql_ratio, with_
-from callboard.plans.registry import query
+from callboard.plans.registry import ORACLE, query
 
 AS_OF = dt.date(2024, 12, 31)
 
@@ -467,3 +467,23 @@ def _(d):
 )
 def _(d):
     return R.user_kpis({"user_metadata": B.account(d)})
+
+
+@query("actor_details_preview", f"SELECT * FROM ({ORACLE['actor_details']}) ORDER BY actor_id LIMIT 10")
+def _(d):
+    return R.actor_details({"actor": B.actor(d), "role": B.casting(d)}, AS_OF, limit=10)
+
+
+@query("actor_details_by_name", ORACLE["actor_details"])
+def _(d):
+    return R.actor_details({"actor": B.actor(d), "role": B.casting(d)}, AS_OF, ordered=True)
+
+
+@query("equipment_status_preview", f"SELECT * FROM ({ORACLE['equipment_status']}) ORDER BY equipment_id LIMIT 10")
+def _(d):
+    return R.equipment_status({"equipment": B.equipment(d), "film_crew_equipment": B.booking(d)}, limit=10)
+
+
+@query("user_activity_by_time", ORACLE["user_activity_summary"])
+def _(d):
+    return R.user_activity_summary({"user_metadata": B.account(d), "user_activity_log": B.activity(d)}, ordered=True)

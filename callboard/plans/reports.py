@@ -37,6 +37,11 @@ def _newest(column: str, *ties: str):
     return [F.desc_nulls_last(column), *[F.asc_nulls_first(t) for t in ties]]
 
 
+def _in_order(ordered: bool, rows: DataFrame, key, *order) -> DataFrame:
+    """The report's total order, or the rows as they are for bulk readers and views, two shuffles less."""
+    return A.sort_rows(rows, key, *order) if ordered else rows
+
+
 def _with_director(film: DataFrame, director: DataFrame, name: str) -> DataFrame:
     named = director.select("director_id", F.col("name").alias(name))
     return lookup(film, named, {"fk_director_id": "director_id"}, [name])
@@ -80,15 +85,15 @@ def film_profitability(t: Tables, key=None, ordered: bool = True) -> DataFrame:
         "film_id", "title", "budget", "boxoffice_collection", "profit", "roi_percentage", "director",
         "production_status",
     )
-    return A.sort_rows(rows, ["film_id"], *_newest("profit", "film_id")) if ordered else rows
+    return _in_order(ordered, rows, ["film_id"], *_newest("profit", "film_id"))
 
 
-def film_listing(t: Tables) -> DataFrame:
+def film_listing(t: Tables, ordered: bool = True) -> DataFrame:
     """All films with director, newest release first."""
     rows = _with_director(t["film"], t["director"], "director").select(
         "film_id", "title", "release_date", "budget", "boxoffice_collection", "rating", "production_status", "director"
     )
-    return A.sort_rows(rows, ["film_id"], *_newest("release_date", "film_id"))
+    return _in_order(ordered, rows, ["film_id"], *_newest("release_date", "film_id"))
 
 
 def top_grossing(t: Tables, n: int = 5) -> DataFrame:
@@ -138,7 +143,7 @@ def production_summary(t: Tables, key=None) -> DataFrame:
     )
 
 
-def boxoffice_analysis(t: Tables) -> DataFrame:
+def boxoffice_analysis(t: Tables, ordered: bool = True) -> DataFrame:
     """Money figures and cast size of films that have earned anything, highest first."""
     earning = t["film"].where(F.col("boxoffice_collection") > 0)
     rows = _with_director(_with_money(earning), t["director"], "director")
@@ -149,21 +154,26 @@ def boxoffice_analysis(t: Tables) -> DataFrame:
         "film_id", "title", "release_date", "budget", "boxoffice_collection", "profit", "roi_percentage",
         "director", "cast_size",
     )
-    return A.sort_rows(rows, ["film_id"], *_newest("boxoffice_collection", "film_id"))
+    return _in_order(ordered, rows, ["film_id"], *_newest("boxoffice_collection", "film_id"))
 
 
 # People ----------------------------------------------------------------------------
 
 
-def actor_details(t: Tables, as_of: dt.date, key=None) -> DataFrame:
+def actor_details(t: Tables, as_of: dt.date, key=None, limit: int | None = None, ordered: bool = False) -> DataFrame:
+    """Actors with age and number of films; ``limit`` is the preview by id, ``ordered`` the page by name."""
+    actors, roles = _only(t["actor"], "actor_id", key), t["role"]
+    if limit is not None:
+        actors = A.top_n(actors, limit, F.asc_nulls_first("actor_id"))
+        roles = having_match(roles, actors, {"actor_id": "actor_id"})
     rows = attach(
-        _only(t["actor"], "actor_id", key),
-        t["role"],
+        actors,
+        roles,
         {"actor_id": "actor_id"},
         {"total_films": F.count_distinct("film_id")},
         {"total_films": 0},
     )
-    return rows.select(
+    rows = rows.select(
         "actor_id",
         S.full_name("first_name", "last_name").alias("full_name"),
         "stage_name",
@@ -173,9 +183,12 @@ def actor_details(t: Tables, as_of: dt.date, key=None) -> DataFrame:
         "nationality",
         "total_films",
     )
+    if limit is not None:
+        return A.top_n(rows, limit, F.asc_nulls_first("actor_id"))
+    return _in_order(ordered, rows, ["actor_id"], F.asc_nulls_first("full_name"), "actor_id")
 
 
-def actor_filmography(t: Tables, key=None) -> DataFrame:
+def actor_filmography(t: Tables, key=None, ordered: bool = True) -> DataFrame:
     """Every casting with its film and director, newest release first per actor."""
     films = _with_director(t["film"], t["director"], "director_name").select(
         "film_id", "title", "release_date", "duration", "language", "director_name"
@@ -186,17 +199,17 @@ def actor_filmography(t: Tables, key=None) -> DataFrame:
         "screen_time", "importance", "salary", "director_name",
     )
     order = ["actor_id", *_newest("release_date", "film_id", "character_name")]
-    return A.sort_rows(rows, ["actor_id", "film_id", "character_name"], *order)
+    return _in_order(ordered, rows, ["actor_id", "film_id", "character_name"], *order)
 
 
-def award_history(t: Tables, key=None) -> DataFrame:
+def award_history(t: Tables, key=None, ordered: bool = True) -> DataFrame:
     """Every award with the actor's number of rows; 1 for an actor without any award."""
     actors = _only(t["actor"], "actor_id", key).select("actor_id", "first_name", "last_name", "nationality")
     rows = details_with_count(
         actors, t["actor_award"], {"actor_id": "actor_id"}, ["award_name", "award_year"], "total_awards"
     )
     order = ["actor_id", *_newest("award_year", "award_name")]
-    return A.sort_rows(rows, ["actor_id", "award_year", "award_name"], *order)
+    return _in_order(ordered, rows, ["actor_id", "award_year", "award_name"], *order)
 
 
 def director_filmography(t: Tables, key=None) -> DataFrame:
@@ -215,7 +228,7 @@ def director_filmography(t: Tables, key=None) -> DataFrame:
     )
 
 
-def director_portfolio(t: Tables) -> DataFrame:
+def director_portfolio(t: Tables, ordered: bool = True) -> DataFrame:
     directors = t["director"].select("director_id", "name", "nationality", "dob")
     rows = attach(
         directors,
@@ -228,30 +241,30 @@ def director_portfolio(t: Tables) -> DataFrame:
         },
         {"films": 0},
     )
-    return A.sort_rows(rows, ["director_id"], F.asc_nulls_first("name"), "director_id")
+    return _in_order(ordered, rows, ["director_id"], F.asc_nulls_first("name"), "director_id")
 
 
-def director_films_with_profit(t: Tables, key=None) -> DataFrame:
+def director_films_with_profit(t: Tables, key=None, ordered: bool = True) -> DataFrame:
     """Films of one director, or of all, with profit and ROI, newest first."""
     films = _only(t["film"], "fk_director_id", key).where(F.col("fk_director_id").isNotNull())
     rows = _with_money(films).select(
         F.col("fk_director_id").alias("director_id"), "film_id", "title", "release_date", "budget",
         "boxoffice_collection", "profit", "roi_percentage", "rating", "production_status",
     )
-    return A.sort_rows(rows, ["film_id"], "director_id", *_newest("release_date", "film_id"))
+    return _in_order(ordered, rows, ["film_id"], "director_id", *_newest("release_date", "film_id"))
 
 
-def directors_by_specialty(t: Tables) -> DataFrame:
+def directors_by_specialty(t: Tables, ordered: bool = True) -> DataFrame:
     rows = t["director_specialization"].join(t["director"].select("director_id", "name"), "director_id")
     rows = rows.select("specialization", "name", "years_experience", "director_id")
     order = [F.asc_nulls_first("specialization"), F.asc_nulls_first("name"), "director_id"]
-    return A.sort_rows(rows, ["director_id", "specialization"], *order)
+    return _in_order(ordered, rows, ["director_id", "specialization"], *order)
 
 
-def director_awards(t: Tables) -> DataFrame:
+def director_awards(t: Tables, ordered: bool = True) -> DataFrame:
     rows = t["director_award"].join(t["director"].select("director_id", "name"), "director_id")
     rows = rows.select("name", "award_name", "award_year")
-    return A.sort_rows(rows, rows.columns, *_newest("award_year", "name", "award_name"))
+    return _in_order(ordered, rows, rows.columns, *_newest("award_year", "name", "award_name"))
 
 
 def crew_listing(t: Tables) -> DataFrame:
@@ -328,10 +341,10 @@ def producer_investment(t: Tables, key=None, ordered: bool = True) -> DataFrame:
         },
         {"portfolio_films": 0},
     )
-    return A.sort_rows(rows, ["producer_id"], *_newest("total_investment", "producer_id")) if ordered else rows
+    return _in_order(ordered, rows, ["producer_id"], *_newest("total_investment", "producer_id"))
 
 
-def distributor_performance(t: Tables) -> DataFrame:
+def distributor_performance(t: Tables, ordered: bool = True) -> DataFrame:
     """Films, fees and average box office per distributor, one box office per contract.
 
     Contracts take their film's box office first, in a join whose hot films AQE can split,
@@ -354,16 +367,22 @@ def distributor_performance(t: Tables) -> DataFrame:
         },
         {"films_distributed": 0},
     )
-    return A.sort_rows(rows, ["distributor_id"], *_newest("total_fees", "distributor_id"))
+    return _in_order(ordered, rows, ["distributor_id"], *_newest("total_fees", "distributor_id"))
 
 
 # Equipment, scenes, places ---------------------------------------------------------
 
 
-def equipment_status(t: Tables) -> DataFrame:
-    return attach(
-        t["equipment"].select("equipment_id", "name", "type", "cost", "availability", "condition"),
-        t["film_crew_equipment"],
+def equipment_status(t: Tables, limit: int | None = None) -> DataFrame:
+    """Equipment with its films and efficiency; ``limit`` gives the first rows by id as a preview."""
+    items = t["equipment"].select("equipment_id", "name", "type", "cost", "availability", "condition")
+    uses = t["film_crew_equipment"]
+    if limit is not None:
+        items = A.top_n(items, limit, F.asc_nulls_first("equipment_id"))
+        uses = having_match(uses, items, {"equipment_id": "equipment_id"})
+    rows = attach(
+        items,
+        uses,
         {"equipment_id": "equipment_id"},
         {
             "films_used": F.count_distinct("film_id"),
@@ -371,6 +390,7 @@ def equipment_status(t: Tables) -> DataFrame:
         },
         {"films_used": 0},
     )
+    return rows if limit is None else A.top_n(rows, limit, F.asc_nulls_first("equipment_id"))
 
 
 def availability_counts(t: Tables) -> DataFrame:
@@ -433,7 +453,7 @@ def award_counts(t: Tables) -> DataFrame:
     return A.totals(*[(t[table], [F.count(F.lit(1)).alias(name)]) for name, table in branches.items()])
 
 
-def recent_awards(t: Tables) -> DataFrame:
+def recent_awards(t: Tables, ordered: bool = True) -> DataFrame:
     """Awards of all people, newest first; equal (type, name, award, year) rows collapse."""
 
     def branch(kind: str, awards: str, people: str, key: str, name: str) -> DataFrame:
@@ -446,7 +466,7 @@ def recent_awards(t: Tables) -> DataFrame:
         .unionByName(branch("Crew", "crew_award", "crew", "crew_id", "name"))
         .distinct()
     )
-    return A.sort_rows(rows, rows.columns, *_newest("award_year", "type", "name", "award_name"))
+    return _in_order(ordered, rows, rows.columns, *_newest("award_year", "type", "name", "award_name"))
 
 
 # Logs and users --------------------------------------------------------------------
@@ -474,7 +494,7 @@ def user_activity_summary(t: Tables, ordered: bool = False) -> DataFrame:
     rows = attach(
         users, t["user_activity_log"], {"username": "username"}, activity_measures(), activity_defaults()
     )
-    return A.sort_rows(rows, ["username"], *_newest("last_activity", "username")) if ordered else rows
+    return _in_order(ordered, rows, ["username"], *_newest("last_activity", "username"))
 
 
 def activity_measures(success: str = "LOGIN_SUCCESS", failure: str = "LOGIN_FAILED") -> dict:
