@@ -417,26 +417,27 @@ def _(d):
 
 @query(
     "recent_role_audit",
-    """WITH r AS (SELECT o_orderkey AS role_id, o_custkey AS actor_id, o_orderstatus AS s,
-  CAST(o_totalprice AS DECIMAL(14,2)) AS salary, o_orderdate AS moment FROM orders)
-SELECT role_id, actor_id, salary, CASE s WHEN 'P' THEN 'INSERT' ELSE 'DELETE' END AS action, moment AS "timestamp"
-FROM r WHERE s IN ('P', 'F') ORDER BY moment DESC, role_id LIMIT 50""",
+    """WITH r AS (SELECT o_custkey AS actor_id, o_orderkey AS film_id, o_orderpriority AS character_name,
+  o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(14,2)) AS salary, o_orderdate AS moment FROM orders),
+a AS (SELECT CAST(row_number() OVER (ORDER BY film_id) AS INTEGER) AS audit_id, actor_id, film_id, character_name, salary,
+  CASE s WHEN 'P' THEN 'INSERT' ELSE 'DELETE' END AS action, moment AS "timestamp" FROM r WHERE s IN ('P', 'F'))
+SELECT * FROM a ORDER BY "timestamp" DESC, audit_id LIMIT 50""",
 )
 def _(d):
     roles = d["orders"].select(
-        F.col("o_orderkey").alias("role_id"),
         F.col("o_custkey").alias("actor_id"),
+        F.col("o_orderkey").alias("film_id"),
+        F.col("o_orderpriority").alias("character_name"),
         F.col("o_orderstatus").alias("s"),
         B.dec("o_totalprice", 14, 2).alias("salary"),
         F.col("o_orderdate").alias("at"),
     )
-    carried = ["actor_id", "salary", "at"]
-    log = C.audit_changes(roles.where("s <> 'P'"), roles.where("s <> 'F'"), ["role_id"], {}, carried)
-    log = log.select(
-        "role_id", *[F.coalesce(f"new_{c}", f"old_{c}").alias(c) for c in carried[:2]], "action",
-        F.coalesce("new_at", "old_at").alias("timestamp"),
-    )
-    return R.recent_audit(log, "role_id")
+    carried = ["actor_id", "character_name", "salary", "at"]
+    found = C.audit_changes(roles.where("s <> 'P'"), roles.where("s <> 'F'"), ["film_id"], {}, carried)
+    found = found.select("film_id", *[F.coalesce(f"new_{c}", f"old_{c}").alias(c) for c in carried], "action")
+    log = d.spark.createDataFrame([], TABLES["role_audit"].schema())
+    log = C.append_audit(log, found.withColumnRenamed("at", "timestamp"), TABLES["role_audit"], ["film_id"], NOW)
+    return R.recent_audit(log, "audit_id")
 
 
 @query(
