@@ -17,7 +17,7 @@ RUNTIME_DEFAULTS = {
     # exchange: one extra shuffle is cheaper than one task holding a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Rows can be whole documents: Python workers get them in batches of a bounded size.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
