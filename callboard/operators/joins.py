@@ -51,6 +51,8 @@ def _hashes(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> tuple[Col
         elif all(isinstance(k, (*_WHOLE, T.DecimalType)) for k in kinds):
             scale = max(getattr(k, "scale", 0) for k in kinds)
             shaped = lambda c, scale=scale: c.cast(f"decimal(38,{scale})")
+        elif all(isinstance(k, (*_WHOLE, T.StringType)) for k in kinds) and kinds[0] != kinds[1]:
+            shaped = lambda c: c.try_cast("bigint")  # noqa: E731  as the comparison reads the text
         elif kinds[0] == kinds[1]:
             shaped = lambda c: c
         else:

@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from callboard import session  # noqa: E402
+from callboard.sources import working  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 ORACLE_FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
@@ -18,6 +19,7 @@ def spark():
     spark = session.build("callboard-tests", 8)
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="callboard-tests-"))
     yield spark
+    working.release(spark)
     spark.stop()
 
 

@@ -8,7 +8,7 @@ from conftest import SMALL
 from callboard.plans.catalog import QUERIES
 
 # Numbering joins the offsets of partitions, one row each.
-NUMBERED = {n for n in QUERIES if "ids" in n or "ingest" in n} | {"status_flow_audit", "equipment_status_update"}
+NUMBERED = {n for n in QUERIES if "ids" in n or "ingest" in n} | {"status_flow_audit", "equipment_status_update", "recent_role_audit"}
 EAGER = {n for n in QUERIES if n.startswith("stream_")}
 
 

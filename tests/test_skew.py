@@ -116,9 +116,15 @@ def test_spread_joins_agree_across_key_types(spark):
     for how in ("left_semi", "left_anti", "inner", "left"):
         plain = J.join_on(left, right, {"k": "r"}, how)
         assert rows(J.join_on(left, right, {"k": "r"}, how, spread=True)) == rows(plain)
-    # Types without a common hash fall back to the plain join.
     text = spark.createDataFrame([("1",)], "r string")
     assert rows(J.join_on(left, text, {"k": "r"}, "inner", spread=True)) == [(1, "a")]
+    money = spark.sql("SELECT CAST(1 AS DECIMAL(5,2)) AS r UNION ALL SELECT CAST(2.5 AS DECIMAL(5,2))")
+    assert rows(J.join_on(left, money, {"k": "r"}, "inner", spread=True)) == [(1, "a")]
+    zero, minus = (spark.sql(f"SELECT CAST({x} AS DOUBLE) AS r") for x in ("0.0", "-0.0"))
+    assert J.join_on(zero, minus, {"r": "r"}, "inner", spread=True).count() == 1
+    # Types without a common hash are refused, so a hot key is never left whole unseen.
+    with pytest.raises(ValueError):
+        J.join_on(left, spark.sql("SELECT DATE'2024-01-01' AS r"), {"k": "r"}, "inner", spread=True)
 
 
 def test_log_audit_spreads_a_hot_key_over_tasks(spark, fact):
