@@ -86,7 +86,10 @@ def split_list(text, sep: str = ",", collation: str | None = None) -> Column:
 
 
 def join_list(values, sep: str = ", ", default: str | None = None) -> Column:
-    """Aggregate: the distinct values in order, as one delimited text."""
+    """Aggregate: the distinct values in order, as one delimited text.
+
+    The text is one value of one row, so a group's distinct values must fit into memory.
+    """
     joined = F.array_join(F.sort_array(F.collect_set(_col(values))), sep)
     return joined if default is None else F.when(joined == "", F.lit(default)).otherwise(joined)
 

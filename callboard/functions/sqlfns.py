@@ -12,7 +12,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Tables each function reads from, under the names of the production catalogue.
+# Tables each function reads from, under the names of the production catalogue. Fixed
+# values: the functions' names, and the texts and codes they return where nothing is found.
 _FUNCTIONS = {
     "fn_calculate_film_profit": (
         ("film",),

@@ -343,6 +343,7 @@ def status_update(
     audit = hit.select(
         key, "film_title", "old_status", "new_status", F.explode(F.array_compact(F.array(*entries))).alias("_e")
     )
+    # Fixed value: the message text.
     text = S.message("Film status updated from {} to {}", "old_status", "new_status")
     return after, audit.select(
         key, "film_title", "old_status", "new_status", "_e.old_budget", "_e.new_budget", "_e.action",

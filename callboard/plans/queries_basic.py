@@ -178,6 +178,7 @@ def _(d):
 FROM orders""",
 )
 def _(d):
+    # Fixed value: the message text.
     text = S.message("Film status updated from {} to {}", "o_orderstatus", "o_orderpriority")
     return d["orders"].select("o_orderkey", text.alias("message"))
 
