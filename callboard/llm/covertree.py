@@ -7,9 +7,9 @@ the tree, with the radius each centre covers. A centre's vectors are dealt into
 bounded size, however many it has. Pairs of centres, and then of blocks, that are further
 apart than both covering radii plus the link radius are skipped.
 
-For a pair of blocks that is left, a task builds a cover tree over each: nested levels whose
-radii halve, every node a vector of the block, its children within the level's radius. The
-trees are walked together. A pair of nodes is pruned where the distance of their vectors
+Every block carries a cover tree, built once: nested levels whose radii halve, every node a
+vector of the block, its children within the level's radius. For a pair of blocks that is
+left, a task walks the two trees together. A pair of nodes is pruned where the distance of their vectors
 exceeds both covering radii plus the link radius, else their children are paired; leaves are
 compared exactly in double precision. A task reports how many vectors each vector links to
 and a spanning forest of the links, never all pairs of a dense group.
@@ -32,7 +32,7 @@ from callboard.operators import joins
 CENTRES = 256
 CENTRE_BYTES = 8 << 20
 #: Vectors of a block, about.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 #: Nodes with so few vectors are compared whole.
 LEAF = 64
 _SLACK = 1e-9
@@ -45,37 +45,79 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-class Node:
-    """A vector, the vectors it covers (itself too), how far they are away, and its children."""
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
-    __slots__ = ("centre", "members", "radius", "children")
 
-    def __init__(self, points: np.ndarray, centre: int, members: np.ndarray, level: float):
-        self.centre, self.members = centre, members
-        away = _distance(points[centre][None, :], points[members])[0]
-        self.radius = float(away.max()) if len(members) > 1 else 0.0
-        self.children: list[Node] = []
-        if len(members) <= LEAF or self.radius <= 1e-6:
-            return
-        while level >= self.radius and level > 1e-6:
-            level /= 2
-        # The node itself is its first child; each next one is a vector that no child covers yet.
-        rest, seat = members, centre
-        while len(rest):
-            near = _distance(points[seat][None, :], points[rest])[0] <= level
-            near[rest == seat] = True
-            self.children.append(Node(points, seat, rest[near], level / 2))
-            rest = rest[~near]
-            if len(rest):
-                seat = int(rest[0])
+class Tree:
+    """A cover tree over the rows of a block, as arrays.
 
+    Node i has its vector ``centre[i]``, covers ``order[low[i]:high[i]]`` (itself too), the
+    furthest of them ``radius[i]`` away, and has ``count[i]`` children from ``first[i]`` on.
+    Node 0 is the root. Children lie within their parent's level, levels halve.
+    """
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+    FIELDS = (("centre", np.int32), ("low", np.int32), ("high", np.int32), ("first", np.int32), ("count", np.int32), ("radius", np.float64))
 
+    def __init__(self, order: np.ndarray, **arrays: np.ndarray):
+        self.order = order
+        for name, _ in self.FIELDS:
+            setattr(self, name, arrays[name])
 
-def tree(points: np.ndarray) -> Node:
-    return Node(points, 0, np.arange(len(points)), 2.0)
+    @classmethod
+    def over(cls, points: np.ndarray) -> Tree:
+        order = np.arange(len(points), dtype=np.int32)
+        centre, low, high, first, count, radius = [0], [0], [len(points)], [0], [0], [0.0]
+        pending = [(0, 2.0)]
+        while pending:
+            node, level = pending.pop()
+            start, stop = low[node], high[node]
+            if stop - start > 1:
+                away = _distance(points[centre[node]][None, :], points[order[start:stop]])[0]
+                radius[node] = float(away.max())
+            if stop - start <= LEAF or radius[node] <= 1e-6:
+                continue
+            while level >= radius[node] and level > 1e-6:
+                level /= 2
+            # The node itself is its first child; each next one is a vector no child covers yet.
+            rest, seat, place = order[start:stop].copy(), centre[node], start
+            first[node] = len(centre)
+            while len(rest):
+                near = _distance(points[seat][None, :], points[rest])[0] <= level
+                near[rest == seat] = True
+                mine = rest[near]
+                order[place : place + len(mine)] = mine
+                for column, value in ((centre, seat), (low, place), (high, place + len(mine)), (first, 0), (count, 0), (radius, 0.0)):
+                    column.append(value)
+                pending.append((len(centre) - 1, level / 2))
+                place += len(mine)
+                rest = rest[~near]
+                if len(rest):
+                    seat = int(rest[0])
+            count[node] = len(centre) - first[node]
+        values = {"centre": centre, "low": low, "high": high, "first": first, "count": count, "radius": radius}
+        return cls(order, **{name: np.array(values[name], kind) for name, kind in cls.FIELDS})
+
+    def packed(self) -> bytes:
+        head = np.array([len(self.order), len(self.centre)], np.int64).tobytes()
+        return head + self.order.tobytes() + b"".join(getattr(self, name).tobytes() for name, _ in self.FIELDS)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        rows, nodes = np.frombuffer(data, np.int64, 2)
+        order, at = np.frombuffer(data, np.int32, rows, 16), 16 + 4 * int(rows)
+        arrays = {}
+        for name, kind in cls.FIELDS:
+            arrays[name] = np.frombuffer(data[at : at + int(nodes) * np.dtype(kind).itemsize], kind)
+            at += arrays[name].nbytes
+        return cls(order, **arrays)
+
+    def members(self, node: int) -> np.ndarray:
+        return self.order[self.low[node] : self.high[node]]
+
+    def below(self, node: int) -> np.ndarray:
+        """The node's children, or the node where it has none."""
+        return np.arange(self.first[node], self.first[node] + self.count[node]) if self.count[node] else np.array([node])
 
 
 class Links:
@@ -88,11 +130,13 @@ class Links:
         self.group = np.arange(len(b))
         self.edges: list[tuple[int, int]] = []
         self.reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
+        self.rough_a = a.astype(np.float32)
+        self.rough_b = self.rough_a if same else b.astype(np.float32)
 
-    def _leaves(self, mine: np.ndarray, theirs: np.ndarray, mirrored: bool) -> None:
-        """Compare all of ``mine`` with all of ``theirs``; ``mirrored``: both ways in one block."""
+    def _leaves(self, mine: np.ndarray, theirs: np.ndarray, within: bool) -> None:
+        """Compare all of ``mine`` with all of ``theirs``; ``within``: both are one leaf."""
         close = self.a[mine] @ self.b[theirs].T >= self.threshold
-        if self.same and not mirrored:
+        if within:
             close &= mine[:, None] < theirs[None, :]
         if not close.any():
             return
@@ -102,49 +146,58 @@ class Links:
             hits = theirs[close[i]]
             if self.same:
                 hits = np.r_[mine[i], hits]
-            met, first = np.unique(self.group[hits], return_index=True)
+            met, seat = np.unique(self.group[hits], return_index=True)
             if self.same and len(met) == 1:
                 continue
-            self.edges += [(int(mine[i]), int(hits[j])) for j in first if not self.same or hits[j] != mine[i]]
+            self.edges += [(int(mine[i]), int(hits[j])) for j in seat if not self.same or hits[j] != mine[i]]
             if len(met) > 1:
                 self.group[np.isin(self.group, met)] = met[0]
 
-    def walk(self, left: Node, right: Node) -> None:
-        pending = [(left, right)]
+    def walk(self, left: Tree, right: Tree) -> None:
+        """Pair nodes from the roots down; pairs out of reach are pruned with all below them."""
+        pending = [(0, 0)]
         while pending:
             x, y = pending.pop()
-            if x is y:
-                if not x.children:
-                    self._leaves(x.members, x.members, False)
-                    continue
-                nodes = x.children
-                near = self._near(nodes, nodes)
-                pending += [(nodes[i], nodes[j]) for i, j in zip(*np.nonzero(near)) if i <= j]
+            itself = self.same and x == y
+            if not left.count[x] and not right.count[y]:
+                self._leaves(left.members(x), right.members(y), itself)
                 continue
-            if not x.children and not y.children:
-                self._leaves(x.members, y.members, self.same)
+            # Descend on the wider node, or on both where both are of like width.
+            wide_x, wide_y = left.radius[x], right.radius[y]
+            mine = left.below(x) if itself or not right.count[y] or wide_x >= wide_y / 2 else np.array([x])
+            theirs = right.below(y) if itself or not left.count[x] or wide_y >= wide_x / 2 else np.array([y])
+            for i, near in self._near(left, right, mine, theirs, itself):
+                leaf = right.count[near] == 0 if not left.count[i] else np.zeros(len(near), bool)
+                if self.same:
+                    leaf &= near != i
+                if leaf.any():  # one leaf against all its near ones at once
+                    self._leaves(left.members(i), np.concatenate([right.members(j) for j in near[leaf]]), False)
+                pending += [(int(i), int(j)) for j in near[~leaf]]
+
+    def _near(self, left: Tree, right: Tree, mine: np.ndarray, theirs: np.ndarray, upper: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """For every node of ``mine`` those of ``theirs`` within reach; ``upper``: each pair once.
+
+        Single precision with room for its error decides what is pruned; two unit vectors are
+        within r of each other where their cosine is at least 1 - r * r / 2.
+        """
+        ours = self.rough_b[right.centre[theirs]]
+        wide = right.radius[theirs]
+        step = max(1, (1 << 21) // len(theirs))
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            reach = left.radius[part].max() + wide.max() + self.reach
+            cosines = self.rough_a[left.centre[part]] @ ours.T
+            rows, columns = np.nonzero(cosines >= 1 - reach * reach / 2 - 1e-5)
+            if not len(rows):
                 continue
-            # Descend on the wider node, or on both where both have children of like width.
-            mine = x.children if x.children and (not y.children or x.radius >= y.radius / 2) else [x]
-            theirs = y.children if y.children and (not x.children or y.radius >= x.radius / 2) else [y]
-            near = self._near(mine, theirs)
-            small_x = np.array([len(n.members) <= LEAF and not n.children for n in mine])
-            small_y = np.array([len(n.members) <= LEAF and not n.children for n in theirs])
-            single = near & small_x[:, None] & small_y[None, :]
-            # Many small leaves are compared together, as far as each leaf has a near one.
-            rows, columns = single.any(axis=1), single.any(axis=0)
-            if rows.any():
-                if single[np.ix_(rows, columns)].all() or single.sum() < 64:
-                    pending += [(mine[i], theirs[j]) for i, j in zip(*np.nonzero(single))]
-                else:
-                    for i in np.flatnonzero(rows):
-                        self._leaves(mine[i].members, np.concatenate([theirs[j].members for j in np.flatnonzero(single[i])]), self.same)
-            pending += [(mine[i], theirs[j]) for i, j in zip(*np.nonzero(near & ~single))]
-
-    def _near(self, mine: list[Node], theirs: list[Node]) -> np.ndarray:
-        away = _distance(self.a[[n.centre for n in mine]], self.b[[n.centre for n in theirs]])
-        reach = np.array([n.radius for n in mine])[:, None] + np.array([n.radius for n in theirs])[None, :]
-        return away <= reach + self.reach
+            exact = left.radius[part[rows]] + wide[columns] + self.reach
+            good = cosines[rows, columns] >= 1 - exact * exact / 2 - 1e-5
+            if upper:
+                good &= part[rows] <= theirs[columns]
+            rows, columns = rows[good], columns[good]
+            cuts = np.flatnonzero(np.r_[True, np.diff(rows) > 0, True]) if len(rows) else [0]
+            for low, high in zip(cuts, cuts[1:]):
+                yield int(part[rows[low]]), theirs[columns[low:high]]
 
 
 def _assign(centres: np.ndarray):
@@ -170,12 +223,13 @@ def _blocks(table: pa.Table) -> pa.Table:
         "ids": pa.array([np.asarray(table.column("id"), np.int64).tobytes()], pa.binary()),
         "weights": pa.array([np.asarray(table.column("n"), np.int64).tobytes()], pa.binary()),
         "values": pa.array([values.tobytes()], pa.binary()),
+        "tree": pa.array([Tree.over(_unit(table.column("v").combine_chunks())).packed()], pa.binary()),
         "away": pa.array([float(np.max(np.asarray(table.column("away"))))], pa.float64()),
     }
     return pa.table(columns)
 
 
-_BLOCK_DDL = "centre int, part int, rows int, ids binary, weights binary, values binary, away double"
+_BLOCK_DDL = "centre int, part int, rows int, ids binary, weights binary, values binary, tree binary, away double"
 
 
 def _compare(threshold: float):
@@ -190,7 +244,7 @@ def _compare(threshold: float):
                     values = read(f"values_{s}", np.float32).astype(np.float64).reshape(len(ids), -1)
                     values = values / np.abs(values).max(axis=1, keepdims=True)
                     points = values / np.linalg.norm(values, axis=1, keepdims=True)
-                    side[s] = ids, read(f"weights_{s}", np.int64), points, tree(points)
+                    side[s] = ids, read(f"weights_{s}", np.int64), points, Tree.unpacked(batch.column(f"tree_{s}")[row].as_py())
                 (ids_a, weight_a, a, left), (ids_b, weight_b, b, right) = side["a"], side.get("b", side["a"])
                 links = Links(a, b, weight_a, weight_b, same, threshold)
                 links.walk(left, right)
@@ -202,10 +256,13 @@ def _compare(threshold: float):
     return run
 
 
-def _links(distinct: DataFrame, size: int, threshold: float, base: str) -> DataFrame:
+_PARTS = ("ids", "weights", "values", "tree")
+
+
+def _links(distinct: DataFrame, size: int, rows: int, threshold: float, base: str) -> DataFrame:
     """(a, b, n) over distinct vectors of one dimension: forest edges, and counts where b is null."""
     spark = distinct.sparkSession
-    most = max(1, min(CENTRES, CENTRE_BYTES // (8 * size)))
+    most = max(1, min(CENTRES, CENTRE_BYTES // (8 * size), rows // BLOCK_ROWS + 1))
     picked = distinct.orderBy(F.xxhash64("v"), "id").limit(most).select("v").toArrow()["v"].combine_chunks()
     centres = _unit(picked)
     placed = distinct.mapInArrow(_assign(centres), "id bigint, v array<float>, n bigint, centre int, away double")
@@ -227,10 +284,10 @@ def _links(distinct: DataFrame, size: int, threshold: float, base: str) -> DataF
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = pairs.repartition(count, "centre_a", "part_a", "centre_b", "part_b")
     for s in "ab":
-        full = blocks.select("centre", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "weights", "values")])
-        pairs = joins.join_on(pairs, full, {f"centre_{s}": "centre", f"part_{s}": "part"}, "inner", [f"{c}_{s}" for c in ("ids", "weights", "values")], spread=True)
+        full = blocks.select("centre", "part", *[F.col(c).alias(f"{c}_{s}") for c in _PARTS])
+        pairs = joins.join_on(pairs, full, {f"centre_{s}": "centre", f"part_{s}": "part"}, "inner", [f"{c}_{s}" for c in _PARTS], spread=True)
     same = (F.col("centre_a") == F.col("centre_b")) & (F.col("part_a") == F.col("part_b"))
-    named = [f"{c}_{s}" for s in "ab" for c in ("ids", "weights", "values")]
+    named = [f"{c}_{s}" for s in "ab" for c in _PARTS]
     return pairs.select(same.alias("same"), *named).mapInArrow(_compare(threshold), "a bigint, b bigint, n bigint")
 
 
@@ -256,9 +313,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = classes.select("h", "v", "least", "n", F.monotonically_increasing_id().alias("id"))
     classes = workspace.written(classes, f"{base}/classes")
     found = None
-    for row in classes.select(F.size("v").alias("size")).distinct().orderBy("size").collect():  # one row per dimension
+    for row in classes.groupBy(F.size("v").alias("size")).count().orderBy("size").collect():  # one row per dimension
         distinct = classes.where(F.size("v") == row["size"]).select("id", "v", "n")
-        part = _links(distinct, row["size"], threshold, f"{base}/{row['size']}")
+        part = _links(distinct, row["size"], row["count"], threshold, f"{base}/{row['size']}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "a bigint, b bigint, n bigint")

@@ -62,19 +62,22 @@ def test_nodes_cover_their_members_and_walks_find_every_link(spread):
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     left, right = points[:250], points[250:]
 
-    def check(node, points):
-        away = np.linalg.norm(points[node.members] - points[node.centre], axis=1)
-        assert away.max() <= node.radius + 1e-7 and node.centre in node.members
-        if node.children:
-            assert sorted(np.concatenate([c.members for c in node.children])) == sorted(node.members)
-            assert node.children[0].centre == node.centre
-        for child in node.children:
-            check(child, points)
+    def check(tree, points):
+        assert sorted(tree.order) == list(range(len(points)))
+        for node in range(len(tree.centre)):
+            members, centre = tree.members(node), tree.centre[node]
+            away = np.linalg.norm(points[members] - points[centre], axis=1)
+            assert away.max() <= tree.radius[node] + 1e-7 and centre in members
+            if tree.count[node]:
+                kids = tree.below(node)
+                assert tree.centre[kids[0]] == centre and tree.low[kids[0]] == tree.low[node]
+                assert (tree.high[kids[:-1]] == tree.low[kids[1:]]).all() and tree.high[kids[-1]] == tree.high[node]
 
     for a, b, same in ((left, right, False), (left, left, True)):
-        x, y = covertree.tree(a), covertree.tree(b)
+        x = covertree.Tree.over(a)
+        y = x if same else covertree.Tree.unpacked(covertree.Tree.over(b).packed())
         check(x, a)
-        y = x if same else y
+        check(y, b)
         one = np.ones(1000, np.int64)
         links = covertree.Links(a, b, one[: len(a)], one[: len(b)], same, 0.95)
         links.walk(x, y)
