@@ -54,7 +54,7 @@ class Tree:
 
     Node i has its vector ``centre[i]``, covers ``order[low[i]:high[i]]`` (itself too), the
     furthest of them ``radius[i]`` away, and has ``count[i]`` children from ``first[i]`` on.
-    Node 0 is the root. Children lie within their parent's level, levels halve.
+    Node 0 is the root. A level is a power of two and at most half its parent node's radius.
     """
 
     FIELDS = (("centre", np.int32), ("low", np.int32), ("high", np.int32), ("first", np.int32), ("count", np.int32), ("radius", np.float64))
@@ -77,7 +77,7 @@ class Tree:
                 radius[node] = float(away.max())
             if stop - start <= LEAF or radius[node] <= 1e-6:
                 continue
-            while level >= radius[node] and level > 1e-6:
+            while level > radius[node] / 2:
                 level /= 2
             # The node itself is its first child; each next one is a vector no child covers yet.
             rest, seat, place = order[start:stop].copy(), centre[node], start
@@ -180,16 +180,23 @@ class Links:
         Single precision with room for its error decides what is pruned; two unit vectors are
         within r of each other where their cosine is at least 1 - r * r / 2.
         """
+        # Single vectors, most of a scattered block, are apart from wider nodes: their reach is short.
+        for some in _by_width(left, mine):
+            for others in _by_width(right, theirs):
+                yield from self._close(left, right, some, others, upper)
+
+    def _close(self, left: Tree, right: Tree, mine: np.ndarray, theirs: np.ndarray, upper: bool) -> Iterator[tuple[int, np.ndarray]]:
         ours = self.rough_b[right.centre[theirs]]
         wide = right.radius[theirs]
-        step = max(1, (1 << 21) // len(theirs))
+        step = max(1, (1 << 20) // len(theirs))
         for at in range(0, len(mine), step):
             part = mine[at : at + step]
             reach = left.radius[part].max() + wide.max() + self.reach
             cosines = self.rough_a[left.centre[part]] @ ours.T
-            rows, columns = np.nonzero(cosines >= 1 - reach * reach / 2 - 1e-5)
-            if not len(rows):
+            close = cosines >= np.float32(1 - reach * reach / 2 - 1e-5)
+            if not close.any():
                 continue
+            rows, columns = np.nonzero(close)
             exact = left.radius[part[rows]] + wide[columns] + self.reach
             good = cosines[rows, columns] >= 1 - exact * exact / 2 - 1e-5
             if upper:
@@ -200,6 +207,11 @@ class Links:
                 yield int(part[rows[low]]), theirs[columns[low:high]]
 
 
+def _by_width(tree: Tree, nodes: np.ndarray) -> list[np.ndarray]:
+    single = tree.radius[nodes] == 0
+    return [part for part in (nodes[single], nodes[~single]) if len(part)]
+
+
 def _assign(centres: np.ndarray):
     """To each vector its nearest centre and the distance to it."""
 
