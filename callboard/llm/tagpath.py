@@ -89,24 +89,26 @@ class _Block:
         return " ".join((html.unescape(whole) if "&" in whole else whole).split())
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """A suffix for the path from class and id, and whether the element is furniture or hidden."""
-    suffix, furniture = "", False
+def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
+    """A suffix for the path from class and id; whether the element is furniture or hidden, a header, the main part."""
+    suffix, furniture, header, main = "", False, False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             suffix += ("." if name == "class" else "#") + " ".join(sorted(value.split()))
             words = {w.lower() for w in _WORDS.findall(value)}
             furniture |= not words.isdisjoint(_FURNITURE_WORDS)
+            header |= "header" in words
         elif name == "role":
             furniture |= value.lower() in _FURNITURE_ROLES
+            main |= value.lower() == "main"
         elif name == "style":
             furniture |= bool(_HIDDEN.search(value))
         elif name == "hidden":
             furniture = True
         else:
             furniture |= value.lower() == "true"
-    return suffix, furniture
+    return suffix, furniture, header, main
 
 
 def blocks(page: str) -> list[_Block]:
@@ -192,10 +194,10 @@ def blocks(page: str) -> list[_Block]:
             at = size if end is None or stop < 0 else stop + 1
             continue
         parent = stack[-1]
-        suffix, furniture = _marks(attributes) if attributes.strip() else ("", False)
-        content = parent.content or tag in _CONTENT
+        suffix, furniture, header, main = _marks(attributes) if attributes.strip() else ("", False, False, False)
+        content = parent.content or main or tag in _CONTENT
         furniture = furniture and tag not in ("html", "body", *_CONTENT) or tag in _FURNITURE_TAGS
-        furniture |= tag == "header" and not parent.content
+        furniture |= (header or tag == "header") and not content  # an article's own head stays
         path, container = parent.path, parent.container
         if tag not in _INLINE:
             path, container = paths.setdefault((path, tag + suffix), len(paths)), path

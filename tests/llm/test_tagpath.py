@@ -27,6 +27,8 @@ def test_furniture_goes_and_short_blocks_stay():
     assert tagpath.main_text(page) == "Head\nLong text with, several. sentences in it! And more words to read here.\nShort."
     page = "<main><header><h1>T</h1></header><p>foo<b>bar</b> x<br>y</p><div class=comments><p>hi</p></div><table><tr><td>a<td>b</table></main><p>out</p>"
     assert tagpath.main_text(page) == "T\nfoobar x y\na\nb"
+    page = "<div class='site-header'>Some site, of course.</div><div role=main><div class='entry-header'>T</div><p>x</p></div><p>no, no.</p>"
+    assert tagpath.main_text(page) == "T\nx"
     assert tagpath.main_text('<p hidden>no</p><p style="display: none">no</p><p>yes</p>') == "yes"
 
 
