@@ -185,7 +185,14 @@ def apply_updates(
     base is ever multiplied. A NULL in the update is set as NULL, an update without a key
     matches nothing. ``touched`` is set to ``now`` on the rows where a value really changed.
     """
-    updates = one_per_key(updates, key, columns, order_by).select(*key, F.struct(*columns).alias("_new"))
+    return _with_updates(base, one_per_key(updates, key, columns, order_by), key, columns, touched, now)
+
+
+def _with_updates(
+    base: DataFrame, updates: DataFrame, key: Sequence[str], columns: Sequence[str], touched: str | None, now: Column | dt.datetime | None
+) -> DataFrame:
+    """``apply_updates`` with one update per key."""
+    updates = updates.select(*key, F.struct(*columns).alias("_new"))
     arriving = updates.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_new")
     joined = base.join(arriving, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)], "left")
     hit = F.col("_new").isNotNull()
@@ -328,7 +335,7 @@ def status_update(
     ``include_procedure_row`` also one STATUS_UPDATE row per update, without budgets.
     """
     updates = one_per_key(updates, [key], [status], order_by)
-    after = apply_updates(base, updates, [key], [status], touched, now)
+    after = _with_updates(base, updates, [key], [status], touched, now)
     asked = updates.select(F.col(key).alias("_k"), F.col(status).alias("new_status"))
     before = base.select(key, F.col(title).alias("film_title"), F.col(status).alias("old_status"), F.col(budget).alias("_b"))
     hit = before.join(asked, F.col(key) == F.col("_k"))

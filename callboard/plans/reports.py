@@ -110,20 +110,18 @@ def status_distribution(t: Tables) -> DataFrame:
     return A.count_by(t["film"], "production_status")
 
 
-def kpi_totals(t: Tables) -> DataFrame:
-    """One row: films, actors, budget and box office; sums over nothing show 0."""
-    zero_if_none = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return A.totals(
-        (
-            t["film"],
-            [
-                F.count(F.lit(1)).alias("total_films"),
-                zero_if_none("budget").alias("total_budget"),
-                zero_if_none("boxoffice_collection").alias("total_boxoffice"),
-            ],
-        ),
-        (t["actor"], [F.count(F.lit(1)).alias("total_actors")]),
-    ).select("total_films", "total_actors", "total_budget", "total_boxoffice")
+def kpi_totals(t: Tables, receipts: DataFrame | None = None) -> DataFrame:
+    """One row: films, actors, budget and box office; sums over nothing show 0.
+
+    ``receipts`` may hold the single amounts (``boxoffice_collection``) that make up the
+    films' box office; the total then needs no sum per film first.
+    """
+    zero_if_none = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    films = [F.count(F.lit(1)).alias("total_films"), zero_if_none("budget", "total_budget")]
+    takings = zero_if_none("boxoffice_collection", "total_boxoffice")
+    parts = [(t["film"], films), (receipts, [takings])] if receipts is not None else [(t["film"], [*films, takings])]
+    found = A.totals(*parts, (t["actor"], [F.count(F.lit(1)).alias("total_actors")]))
+    return found.select("total_films", "total_actors", "total_budget", "total_boxoffice")
 
 
 def production_summary(t: Tables, key=None) -> DataFrame:
@@ -351,15 +349,17 @@ def producer_investment(t: Tables, key=None, ordered: bool = True) -> DataFrame:
 def distributor_performance(t: Tables, ordered: bool = True) -> DataFrame:
     """Films, fees and average box office per distributor, one box office per contract.
 
-    Contracts take their film's box office first, in a join whose hot films AQE can split,
-    and are then brought down to one row per distributor and film; what follows is plain sums.
+    Contracts are first brought down to one row per distributor and film. That takes the
+    shuffle a distinct count of films would need anyway, and what follows is plain sums.
+    (Joining films before that saves two shuffles but sends every contract through a join
+    that a hot film needs split, and measured slower: 6.6 against 3.5 s at sf0.1.)
     """
-    deals = lookup(t["distributes"], t["film"], {"film_id": "film_id"}, ["boxoffice_collection"], spread=True)
     deals = per_parent(
-        deals,
-        ["distributor_id", "film_id", "boxoffice_collection"],
+        t["distributes"],
+        ["distributor_id", "film_id"],
         {"fees": F.sum("distribution_fee"), "contracts": F.count(F.lit(1))},
     )
+    deals = lookup(deals, t["film"], {"film_id": "film_id"}, ["boxoffice_collection"], spread=True)
     rows = attach(
         t["distributor"].select("distributor_id", "name", "region", "market_share"),
         deals,
