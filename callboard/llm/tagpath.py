@@ -8,8 +8,13 @@ path gets ratios: characters, sentence punctuation and unlinked characters per l
 score is smoothed with those of the paths that come before and after it in the page, then
 fused with its siblings under one container, weighted by their text, so that a short heading
 or one-word paragraph stands or falls with the text around it. Paths below ``THRESHOLD`` of
-the best score are dropped; inside ``article`` or ``main`` elements, where a page has any,
-the container speaks for itself and only furniture goes.
+the best score are dropped.
+
+``article`` and ``main`` elements enter the score alone. Their paths are fused once more over
+the whole element, so lists and linked headings of an article stand with its paragraphs, and
+gain by the square of the odds between the largest such element and the text outside all of
+them. An article that holds most of a page thus outdoes the rest, a teaser beside a body in
+plain ``div`` elements gains nothing.
 
 One page is one row and its work is linear in its length; nothing is shuffled.
 """
@@ -32,6 +37,8 @@ from pyspark.sql import types as T
 THRESHOLD = 0.25
 #: Weights of the path before, the path itself and the path after it when scores are smoothed.
 SMOOTH = (0.15, 0.7, 0.15)
+#: Characters that an ``article`` or ``main`` element counts beside its own: on tiny pages the tag decides.
+TAG_CHARS = 80
 
 # Element kinds of HTML and words of furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,7 +79,7 @@ class _Open:
     path: int
     container: int
     furniture: bool
-    content: bool
+    content: int  # the outermost article or main element around, -1 outside
     link: bool
 
 
@@ -80,7 +87,7 @@ class _Open:
 class _Block:
     path: int
     container: int
-    content: bool
+    content: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -115,10 +122,10 @@ def blocks(page: str) -> list[_Block]:
     """The page's blocks of text outside furniture, in page order."""
     found: list[_Block] = []
     paths: dict[tuple[int, str], int] = {}
-    stack = [_Open("", -1, -1, False, False, False)]
+    stack = [_Open("", -1, -1, False, -1, False)]
     opened: Counter = Counter()
     current: _Block | None = None
-    at, size = 0, len(page)
+    at, size, elements = 0, len(page), 0
 
     def text(piece: str) -> None:
         nonlocal current
@@ -195,9 +202,11 @@ def blocks(page: str) -> list[_Block]:
             continue
         parent = stack[-1]
         suffix, furniture, header, main = _marks(attributes) if attributes.strip() else ("", False, False, False)
-        content = parent.content or main or tag in _CONTENT
+        content = parent.content
+        if content < 0 and (main or tag in _CONTENT):
+            content, elements = elements, elements + 1
         furniture = furniture and tag not in ("html", "body", *_CONTENT) or tag in _FURNITURE_TAGS
-        furniture |= (header or tag == "header") and not content  # an article's own head stays
+        furniture |= (header or tag == "header") and content < 0  # an article's own head stays
         path, container = parent.path, parent.container
         if tag not in _INLINE:
             path, container = paths.setdefault((path, tag + suffix), len(paths)), path
@@ -206,19 +215,29 @@ def blocks(page: str) -> list[_Block]:
     return found
 
 
+def _fused(group: dict[int, int], sums: dict[int, list[float]], score: dict[int, float]) -> dict[int, float]:
+    """The mean score of each group's paths, weighted by their characters."""
+    weight: dict[int, float] = {}
+    total: dict[int, float] = {}
+    for path, g in group.items():
+        weight[g] = weight.get(g, 0) + sums[path][1]
+        total[g] = total.get(g, 0) + sums[path][1] * score[path]
+    return {g: total[g] / weight[g] for g in total}
+
+
 def select(found: list[_Block]) -> list[str]:
     """The texts of the blocks whose paths carry content, in page order."""
     texts = [b.text() for b in found]
-    if any(b.content and t for b, t in zip(found, texts)):
-        return [t for b, t in zip(found, texts) if b.content and t]
     sums: dict[int, list[float]] = {}
     container: dict[int, int] = {}
+    element: dict[int, int] = {}
     for block, text in zip(found, texts):
         if text:
             total = sums.setdefault(block.path, [0, 0, 0, 0])
             for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), min(block.linked, len(text)))):
                 total[k] += v
             container[block.path] = block.container
+            element[block.path] = block.content
     if not sums:
         return []
     score = {p: math.log1p(chars / n) * (1 + punctuation / n) * (1 - linked / chars) for p, (n, chars, punctuation, linked) in sums.items()}
@@ -227,12 +246,18 @@ def select(found: list[_Block]) -> list[str]:
     for i, path in enumerate(order):
         near = [score[order[i + d]] if 0 <= i + d < len(order) else score[path] for d in (-1, 0, 1)]
         smooth[path] = sum(w * x for w, x in zip(SMOOTH, near))
-    weight: dict[int, float] = {}
-    fused: dict[int, float] = {}
-    for path, (_, chars, _, _) in sums.items():
-        weight[container[path]] = weight.get(container[path], 0) + chars
-        fused[container[path]] = fused.get(container[path], 0) + chars * smooth[path]
-    final = {p: fused[container[p]] / weight[container[p]] * (1 - sums[p][3] / sums[p][1]) for p in order}
+    fused = _fused(container, sums, smooth)
+    final = {p: fused[container[p]] * (1 - sums[p][3] / sums[p][1]) for p in order}
+    within = [p for p in order if element[p] >= 0]
+    if within:
+        whole = _fused({p: element[p] for p in within}, sums, smooth)
+        held: Counter = Counter()
+        for path in order:
+            held[element[path]] += sums[path][1]
+        outside = held.pop(-1, 0)
+        odds = (max(held.values()) + TAG_CHARS) / max(1, outside)
+        for path in within:
+            final[path] = (final[path] + whole[element[path]]) / 2 * (1 + odds * odds)
     least = THRESHOLD * max(final.values())
     return [t for b, t in zip(found, texts) if t and final[b.path] > 0 and final[b.path] >= least]
 

@@ -49,3 +49,25 @@ def test_other_columns_and_empty_tables(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1, 'u', 'x')", "(1, 'u', 'x')", "(None, None, '')"]
     assert tagpath.extract(frame.limit(0)).count() == 0
+
+
+def test_a_teaser_article_does_not_replace_the_body():
+    body = [f"Paragraph {k} of the body has, as texts do, several words. It ends here." for k in range(8)]
+    inside = "".join(f"<p>{x}</p>" for x in body)
+    for tag in ("article", "main"):
+        teaser = f"<{tag}><h3><a href=/x>More</a></h3><p>Another story, in short. Read on.</p></{tag}>"
+        assert tagpath.main_text(f"<div><h1>Head</h1>{inside}</div>{teaser}").split("\n")[:9] == ["Head", *body]
+    teasers = "".join(f"<article><p>Another story {k}, in short, of some length. Read on.</p></article>" for k in range(12))
+    assert set(body) <= set(tagpath.main_text(f"<div>{inside}</div>{teasers}").split("\n"))
+
+
+def test_an_article_of_most_of_the_page_stands_whole_and_alone():
+    body = [f"Paragraph {k} of the body has, as texts do, several words. It ends here." for k in range(8)]
+    page = "<div><p>Some other text, unmarked. And more.</p></div><article><header><h1><a href=/>Head</a></h1></header>{}<ul><li>one<li>two</ul></article>"
+    assert tagpath.main_text(page.format("".join(f"<p>{x}</p>" for x in body))).split("\n") == ["Head", *body, "one", "two"]
+
+
+def test_driver_pages_come_out_whole_without_article_and_main_tags(spark):
+    for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", row["html"])
+        assert "<article" not in plain and tagpath.main_text(plain) == tagpath.main_text(row["html"])
