@@ -22,6 +22,12 @@ class: digits, capitals, small letters). A value therefore always gets the same
 wherever it stands, two values never share one, and the result is valid again. 400 Gregorian
 years have 146,097 = 189 x 773 days, so dates need no walking back into range.
 
+Cards and IBANs (compact or in groups of four) are validated before the text is cut: all
+candidates of every length at every place, however they overlap, and only the valid ones then
+stand in the pattern that cuts. So a number that fails its check digits never hides a neighbour.
+A card doesn't reach over a whole phone number, day, address or ssn after a space; digits in
+one run go before groups, longer values before shorter ones.
+
 Every step works on one row: nothing is shuffled, and a hot source costs nothing extra.
 """
 
@@ -34,18 +40,38 @@ ROUNDS = 8
 
 # The formats, in the order in which they are tried.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_CENTURY, _LEAP = "(?:1[89]|2[01])", "(?:(?:1[89]|2[01])(?:0[48]|[2468][048]|[13579][26])|2000)"
+_MONTHS = (
+    ("(?:0[13578]|1[02])", "(?:0[1-9]|[12][0-9]|3[01])", _CENTURY + "[0-9]{2}"),
+    ("(?:0[469]|11)", "(?:0[1-9]|[12][0-9]|30)", _CENTURY + "[0-9]{2}"),
+    ("02", "(?:0[1-9]|1[0-9]|2[0-8])", _CENTURY + "[0-9]{2}"),
+    ("02", "29", _LEAP),
+)
+_DATE = "(?:" + "|".join(f"{y}-{m}-{d}|{d}/{m}/{y}|{d}[.]{m}[.]{y}" for m, d, y in _MONTHS) + ")"
+_SSN = "(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
-    "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "date": r"(?<![0-9])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:1[89]|2[01])[0-9]{2}"
-    r"|[0-9]{2}\.[0-9]{2}\.(?:1[89]|2[01])[0-9]{2})(?![0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "ipv4": rf"(?<![0-9.]){_IPV4}(?![0-9]|\.[0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "date": rf"(?<![0-9]){_DATE}(?![0-9])",
+    "ssn": rf"(?<![0-9-]){_SSN}(?![0-9-])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
     "secret": r"(?i:token|key|secret|password|passwd)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[0-9a-fA-F]{16,256}(?![0-9A-Za-z])",
 }
-ANY = "|".join(FORMATS.values())
+# What a card doesn't swallow at its start or after a space, unless a hyphen ties it to more digits.
+_OTHER = rf"(?!(?:[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}|{_SSN}|{_DATE}|{_IPV4})(?![A-Za-z0-9]|[.-][0-9]))"
+_CARDS = [rf"(?<![A-Za-z0-9]){_OTHER}(?=([0-9](?:(?:-| {_OTHER})?[0-9]){{{n - 1}}})(?![A-Za-z0-9]))" for n in range(13, 20)]
+_IBANS = [r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9]))"] + [
+    rf"(?<![A-Za-z0-9])(?=([A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''})(?![A-Za-z0-9]))"
+    for n in range(15, 35)
+]
+_BEFORE = "|".join(FORMATS[k] for k in ("email", "ipv4", "date", "ssn"))
+_AFTER = "|".join(FORMATS[k] for k in ("phone", "secret"))
+_CHECKED = rf"{FORMATS['card']}|[A-Z]{{2}}[0-9]{{2}}[ A-Z0-9]{{11}}"
+#: Characters that neither stand in a format nor decide about one beside them.
+_BREAK = r"(?<=[\n\r,;!?<>{}|])"
 _DAYS_A, _DAYS_B = 189, 773
 _FIRST_DAY = "DATE'1800-01-01'"
 
@@ -111,18 +137,33 @@ def _mod97(text: str) -> str:
     )
 
 
-def _same_shape(pattern: str, digits: str) -> str:
-    """``pattern`` with its digits replaced, in turn, by those of ``digits``."""
+def _same_shape(pattern: str, digits: str, which: str = "c BETWEEN '0' AND '9'") -> str:
+    """``pattern`` with its digits (or what ``which`` says of c) replaced, in turn, by those of ``digits``."""
     return (
-        f"aggregate(split({pattern}, ''), named_struct('t', '', 'n', 1), (s, c) -> if(c BETWEEN '0' AND '9', "
+        f"aggregate(split({pattern}, ''), named_struct('t', '', 'n', 1), (s, c) -> if({which}, "
         f"named_struct('t', concat(s.t, substr({digits}, s.n, 1)), 'n', s.n + 1), named_struct('t', concat(s.t, c), 'n', s.n)), s -> s.t)"
     )
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
+
+
+def _card_ok(m: str) -> str:
+    return f"{_luhn(_digits(m))} % 10 = 0"
+
+
+def _iban_ok(m: str) -> str:
+    return _let(f"replace({m}, ' ', '')", "w", f"{_mod97('concat(substr(w, 5), substr(w, 1, 4))')} = 1")
+
+
 def _parts(k: _Keyed, m: str) -> dict[str, tuple[str, str]]:
     """Per kind: SQL that says whether match ``m`` is valid, and its pseudonym."""
-    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    let, digits, compact = _let, _digits(m), f"replace({m}, ' ', '')"
     octet = lambda i: f"CAST(split({m}, '[.]')[{i}] AS BIGINT)"
     address = "concat_ws('.', s.x div 256, s.x % 256, s.y div 256, s.y % 256)"
     day = f"coalesce(try_to_date({m}, 'yyyy-MM-dd'), try_to_date({m}, 'dd/MM/yyyy'), try_to_date({m}, 'dd.MM.yyyy'))"
@@ -136,8 +177,9 @@ def _parts(k: _Keyed, m: str) -> dict[str, tuple[str, str]]:
     )
     body = k.string("card", f"substr({digits}, 1, length({digits}) - 1)")
     card = let(body, "p", let(f"concat(p, CAST((10 - {_luhn("concat(p, '0')")} % 10) % 10 AS STRING))", "q", _same_shape(m, "q")))
-    account = k.string("iban", f"substr({m}, 5)")
+    account = k.string("iban", f"substr({compact}, 5)")
     iban = let(account, "p", f"concat(substr({m}, 1, 2), lpad(CAST(98 - {_mod97(f"concat(p, substr({m}, 1, 2), '00')")} AS STRING), 2, '0'), p)")
+    iban = let(iban, "q", _same_shape(m, "q", "c <> ' '"))
     country = f"regexp_extract({m}, '^([+][0-9]{{1,3}}[ .-]?)?', 0)"
     phone = f"concat({country}, {let(k.string('phone', f"regexp_replace(substr({m}, length({country}) + 1), '[^0-9]', '')"), 'p', _same_shape(f'substr({m}, length({country}) + 1)', 'p'))})"
     hexes = f"regexp_extract({m}, '[0-9a-fA-F]{{16,}}$', 0)"
@@ -146,10 +188,10 @@ def _parts(k: _Keyed, m: str) -> dict[str, tuple[str, str]]:
     return {
         "email": ("true", f"concat({k.string('email', local)}, substr({m}, length({local}) + 1))"),
         "ipv4": ("true", k.numbers("ipv4", f"{octet(0)} * 256 + {octet(1)}", 65536, f"{octet(2)} * 256 + {octet(3)}", 65536, address)),
-        "iban": (f"{_mod97(f'concat(substr({m}, 5), substr({m}, 1, 4))')} = 1", iban),
+        "iban": (_iban_ok(m), iban),
         "date": (f"{day} IS NOT NULL", let(day, "d", new_day("d"))),
         "ssn": ("true", ssn),
-        "card": (f"{_luhn(digits)} % 10 = 0", card),
+        "card": (_card_ok(m), card),
         "phone": ("true", phone),
         "secret": ("true", secret),
     }
@@ -167,6 +209,16 @@ def pseudonym(match: str, key: str) -> str:
     return f"CASE {cases} ELSE named_struct('kind', CAST(NULL AS STRING), 'text', {match}) END"
 
 
+def _pattern(text: str) -> str:
+    """SQL: the pattern that cuts a text, with its valid cards and IBANs spelt out."""
+    every = lambda patterns: f"concat({', '.join(f'regexp_extract_all({text}, {_sql(p)}, 1)' for p in patterns)})"
+    valid = f"array_distinct(concat(filter({every(_CARDS)}, m -> {_card_ok('m')}), filter({every(_IBANS)}, m -> {_iban_ok('m')})))"
+    ranked = f"transform(sort_array(transform({valid}, m -> named_struct('gaps', m RLIKE '[ -]', 'size', -length(m), 'm', m))), o -> o.m)"
+    spelt = f"concat({_sql(_BEFORE + '|(?<![A-Za-z0-9])(?:')}, array_join(v, '|'), {_sql(')(?![A-Za-z0-9])|' + _AFTER)})"
+    none = _sql(f"{_BEFORE}|{_AFTER}")
+    return f"if({text} RLIKE {_sql(_CHECKED)}, {_let(ranked, 'v', f'if(size(v) = 0, {none}, {spelt})')}, {none})"
+
+
 def replace(docs: DataFrame, key: str, text: str = "text", kinds: str | None = None, found: str | None = None) -> DataFrame:
     """All rows and columns, with every valid value in ``text`` replaced by its pseudonym.
 
@@ -175,14 +227,15 @@ def replace(docs: DataFrame, key: str, text: str = "text", kinds: str | None = N
     equal rows stay equal; an empty table stays empty. The key is part of the plan: take it
     from a secret store and don't publish query plans.
     """
-    cuts = f"transform(regexp_extract_all(_text_, {_sql(ANY)}, 0), m -> {pseudonym('m', key)})"
     some = F.col("_text_").rlike("[0-9@]")
     picked = docs.withColumn("_text_", F.col(text).cast("string"))
-    picked = picked.withColumn("_new_", F.when(some, F.expr(cuts)))
-    gaps = f"split(_text_, {_sql(ANY)}, -1)"
-    merged = f"array_join(zip_with({gaps}, _new_, (g, n) -> concat(g, coalesce(n.text, ''))), '')"
-    put = F.when(F.expr("size(_new_) > 0"), F.expr(merged)).otherwise(F.col("_text_"))
-    listed = F.expr("coalesce(filter(transform(_new_, n -> n.kind), x -> x IS NOT NULL), array())").cast("array<string>")
+    pieces = f"if(_text_ RLIKE {_sql(_CHECKED)}, split(_text_, {_sql(_BREAK)}, -1), array(_text_))"
+    new = f"transform(regexp_extract_all(piece, cut, 0), m -> {pseudonym('m', key)})"
+    merged = "array_join(zip_with(split(piece, cut, -1), new, (g, n) -> concat(g, coalesce(n.text, ''))), '')"
+    done = _let(new, "new", f"named_struct('text', if(size(new) > 0, {merged}, piece), 'kinds', transform(new, n -> n.kind))")
+    picked = picked.withColumn("_new_", F.when(some, F.expr(f"transform({pieces}, piece -> {_let(_pattern('piece'), 'cut', done)})")))
+    put = F.when(F.expr("exists(_new_, n -> size(n.kinds) > 0)"), F.expr("array_join(transform(_new_, n -> n.text), '')")).otherwise(F.col("_text_"))
+    listed = F.expr("coalesce(filter(flatten(transform(_new_, n -> n.kinds)), x -> x IS NOT NULL), array())").cast("array<string>")
     extra = ([listed.alias(kinds)] if kinds else []) + ([F.size(listed).cast("bigint").alias(found)] if found else [])
     kept = [put.alias(c) if c == text else F.col(c) for c in docs.columns if c not in (kinds, found)]
     return picked.select(*kept, *extra)

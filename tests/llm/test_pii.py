@@ -79,3 +79,33 @@ def test_native_plan_and_empty_table(spark):
     frame = queries.QUERIES["op5_feistel_pseudonyms"](spark, TINY)
     assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
     assert frame.count() == spark.read.parquet(f"{TINY}/documents.parquet").count() and frame.limit(0).count() == 0
+
+
+def test_neighbouring_numbers_are_all_found(changed):
+    phone, card, iban = "555-123-4567", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"{phone} 555-123-4568": ["phone", "phone"],
+        f"{phone} {card}": ["phone", "card"],
+        f"4111111111111111 {phone}": ["card", "phone"],
+        f"{card} 212 555 7713": ["card", "phone"],
+        "212-555-7713 2024": ["phone"],
+        f"{phone} 90210": ["phone"],
+        f"2025 {card} 12": ["card"],
+        f"123-45-6789 {card} 10.0.0.1": ["ssn", "card", "ipv4"],
+        f"{card} 1999-12-31": ["card", "date"],
+        f"{iban} 4111111111111111": ["iban", "card"],
+        f"pay {iban}, or call {phone}": ["iban", "phone"],
+        f"411-111-1111-111111 {phone}": ["card", "phone"],
+        "1999-99-99 99999": [],
+    }
+    for (old, kinds), row in zip(cases.items(), changed(list(cases))):
+        assert row["kinds"] == kinds, (old, row)
+        assert ("ipv4" in kinds or len(row["text"]) == len(old)) and (not kinds or row["text"] != old)
+        assert phone not in row["text"] and card not in row["text"] and iban not in row["text"]
+    whole = changed([iban, iban.replace(" ", "")])
+    assert whole[0]["text"].replace(" ", "") == whole[1]["text"] and mod97(whole[1]["text"]) == 1
+
+
+def test_long_lines_of_numbers_end(changed):
+    got = changed(["\n".join(f"{k}, {k * 7} {k * 13} 555-123-4567" for k in range(2000))])
+    assert got[0]["n"] >= 2000 and "555-123-4567" not in got[0]["text"]
