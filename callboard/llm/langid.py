@@ -201,11 +201,12 @@ def sample(labelled: DataFrame, lang: str, text: str, docs_per_language: int = D
     """(lang, text) of at most about ``docs_per_language`` distinct texts per language.
 
     Which documents are taken depends on their text alone, so the sample is the same however
-    the table is cut; a text that many rows share counts once.
+    the table is cut; a text that many rows share counts once, also in the rate.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    texts = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not sizes:
         return rows.limit(0)
     steps = 1 << 40
@@ -307,6 +308,11 @@ def identified(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str
 
 
 def keep_identified(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents whose language could be told, with all their columns; ``und`` ones go."""
+    """The documents whose language could be told, with all their columns; ``und`` ones go.
+
+    Those are the texts without a letter, and only those go where no language could be learned.
+    """
     model = fit(docs.where(~held_out(key)), pieces_path, lang, text)
+    if not model.languages:
+        return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
     return identify(docs, model, text, "_lang_", "_score_", keep_text=True).where(F.col("_lang_") != UNKNOWN).select(*docs.columns)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_frames import docs  # noqa: F401
 
@@ -77,3 +78,18 @@ def test_the_filter_keeps_columns_and_drops_undetermined(spark, docs):
     frame = docs([(1, "the and of"), (2, None), (3, "7"), (4, "l'été")]).withColumnRenamed("found", "lang")
     kept = langid.keep_identified(frame, PATH)
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    texts = [f"the word {k} and others" for k in range(100)]
+    rows = [("en", "a text that all share")] * 2900 + [("en", t) for t in texts] + [("fr", f"le mot {k % 50} et d'autres") for k in range(50_000)]
+    taken = langid.sample(spark.createDataFrame(rows, "lang string, text string"), "lang", "text").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in taken} == {"en": 101, "fr": 50}
+    many = spark.range(20_000).selectExpr("'en' AS lang", "CAST(id % 5000 AS STRING) AS text")
+    assert 300 < langid.sample(many, "lang", "text").count() < 500
+
+
+def test_without_a_model_only_letterless_texts_go(spark, docs):
+    frame = docs([(1, "the and of"), (2, None), (3, "7 !"), (4, "日本語"), (5, "")]).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_identified(frame, PATH)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
