@@ -55,16 +55,17 @@ def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
     return run
 
 
-def with_fingerprints(docs: DataFrame, key: str, text: str, width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): the key of every row and its fingerprint as a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, key: str, text: str, width: int = 3, seed: int = 42, digest: str | None = None) -> DataFrame:
+    """(id, fp): the key of every row and its fingerprint as a signed 64-bit number; also the column ``digest``."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _fingerprints(width, seed), f"id {kind}, fp bigint"
+    more = [digest] if digest else []
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), *more).mapInArrow(
+        _fingerprints(width, seed), f"id {kind}, fp bigint" + "".join(f", {c} bigint" for c in more)
     )
 
 
@@ -168,24 +169,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     text share a class; a null key is never the smallest unless its class has no other;
     repeated keys give repeated rows; an empty table gives no rows.
     """
+    out = _components(docs, key, text, width, radius)
+    return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, key: str, text: str, width: int, radius: int, digest: str | None = None) -> DataFrame:
+    """What ``with_fingerprints`` gives, with ``component_id``."""
     spark = docs.sparkSession
     base = workspace.folder(spark, "simhash")
-    marked = workspace.written(with_fingerprints(docs, key, text, width), f"{base}/marked")
+    marked = workspace.written(with_fingerprints(docs, key, text, width, digest=digest), f"{base}/marked")
     distinct = workspace.written(marked.groupBy("fp").agg(F.min("id").alias("least")), f"{base}/distinct")
     hung = components.connected(links(distinct, radius), "a", "b")
     rooted = joins.lookup(distinct, hung, {"fp": "node"}, ["root"]).withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joins.lookup(rooted, smallest, {"root": "root"}, ["component_id"], spread=True)
-    out = joins.lookup(marked, named, {"fp": "fp"}, ["component_id"], spread=True)
-    return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joins.lookup(marked, named, {"fp": "fp"}, ["component_id"], spread=True)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """The documents that bear their component's smallest key; all columns stay.
 
-    Rows that repeat the kept key stay only where they bear the kept text's component, so
-    each group keeps its smallest key (and its repeats, if the key itself repeats).
+    Rows go by key and text, so of rows that share a key those with other texts are judged
+    by their own components; rows that repeat the kept key stay with it.
     """
-    found = near_duplicates(docs, key, text, width, radius)
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return joins.without_match(docs, gone, {key: "_gone"}, spread=True)
+    hashed = docs.withColumn("_digest_", F.xxhash64(F.col(text).cast("string")))
+    found = _components(hashed, key, text, width, radius, "_digest_")
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone"), F.col("_digest_").alias("_text_")).distinct()
+    return joins.without_match(hashed, gone, {key: "_gone", "_digest_": "_text_"}, spread=True).select(*docs.columns)

@@ -91,3 +91,9 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r["node"]: r["root"] for r in components.connected(frame, "a", "b").collect()}
     assert got == {i: 0 for i in range(1, 41)} | {k: 1000 for k in range(1001, 1200)} | {301: 300}
     assert components.connected(frame.limit(0), "a", "b").count() == 0
+
+
+def test_a_repeated_key_loses_only_the_copied_text(docs):
+    a, b = "one two three four five six seven eight", "red green blue cyan pink grey black white"
+    kept = simhash.keep_one(docs([(3, a), (5, a), (5, b), (7, b)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (5, b)]
