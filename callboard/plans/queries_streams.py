@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callboard.operators.joins import lookup
+from callboard.operators.quality import Unique
 from callboard.plans import bindings as B
 from callboard.plans import reports as R
 from callboard.plans.queries_quality import EVENT_VIOLATIONS, event_rules
@@ -35,13 +36,31 @@ def _(d):
     return bad.select("event_id", F.explode("violations").alias("v")).select("event_id", "v.rule_id", "v.message")
 
 
+@query(
+    "stream_unique",
+    """SELECT event_id, user_id, event_type, 'event_once' AS rule_id, 'Event of this kind already recorded' AS message
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(value AS INTEGER) ORDER BY ts, event_id) AS n FROM events)
+WHERE n > 1 AND user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL""",
+)
+def _(d):
+    """Key rule on arrival: of equal keys the first in time stays, later ones are quarantined."""
+    path, progress = _folders(d)
+    rule = Unique("event_once", "Event of this kind already recorded", ("user_id", "event_type", "amount"))
+    rows = _events(d).withColumn("amount", F.bround("value").cast("int"))
+    jobs.quarantine(rows, [rule], path, progress, order_by=["ts", "event_id"]).awaitTermination()
+    _, bad = sinks.read_split(d.spark, path)
+    return bad.select("event_id", "user_id", "event_type", F.explode("violations").alias("v")).select(
+        "event_id", "user_id", "event_type", "v.rule_id", "v.message"
+    )
+
+
 @query("stream_activity_summary")
 def _(d):
     path, progress = _folders(d)
     log = B.activity({"events": _events(d)})
     jobs.running_summary(log, "username", R.activity_measures(), path, progress).awaitTermination()
     users = B.account(d).select("username", "full_name", "role")
-    latest = jobs.latest_summary(d.spark, path)
+    latest = jobs.latest_summary(d.spark, path, "username")
     return lookup(users, latest, {"username": "username"}, list(R.activity_measures()), R.activity_defaults())
 
 

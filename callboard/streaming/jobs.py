@@ -3,41 +3,90 @@
 The reference flows are event-driven: rows are validated as they arrive, every change
 leaves an audit row, every action counts in a running summary. Each job reads any
 streaming DataFrame and keeps its progress in ``checkpoint``, a folder that all
-executors share.
+executors share. What a job remembers is Structured Streaming's own keyed state, in RocksDB.
+
+Keyed jobs handle the rows that one batch brings for a key in one task. ``read_files`` bounds
+a batch by its bytes, so a hot key's share of a batch is bounded too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from callboard.operators.changes import audit_from_log
-from callboard.operators.quality import AnyRule, Unique, check
-from callboard.sources import working
-from callboard.streaming import buckets
+from callboard.operators.quality import VIOLATION, AnyRule, Unique, check
 
 AVAILABLE = {"availableNow": True}
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
+#: Bytes of files in one batch unless a stream says otherwise.
+BATCH_BYTES = 512 << 20
+
+
 def off_heap_state(spark: SparkSession) -> None:
     """Keep streaming state in RocksDB unless the session names a store: state outgrows the heap."""
     if _STORE not in spark.conf.getAll:
         spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream; a limit makes small batches of it, oldest files first.
+def read_files(
+    spark: SparkSession, path: str, schema, files_per_batch: int | None = None, bytes_per_batch: int = BATCH_BYTES
+) -> DataFrame:
+    """Parquet files as a stream in batches of bounded bytes or of a number of files, oldest files first.
 
-    ``path`` is a folder, or a glob, which may also match single files.
+    A file that is larger alone makes a batch of its own. ``path`` is a folder, or a glob,
+    which may also match single files.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
+
+
+def _file_sink(rows: DataFrame, path: str, checkpoint: str, trigger: Mapping, by: Sequence[str] = ()) -> StreamingQuery:
+    """An exactly-once Parquet sink."""
+    writer = rows.writeStream.format("parquet").partitionBy(*by) if by else rows.writeStream.format("parquet")
+    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+class _LaterCopies(StatefulProcessor):
+    """Marks all rows of a key but the first; whether a key was seen is the state.
+
+    The order within a batch decides, and only the row that leads so far is held back.
+    """
+
+    def __init__(self, rule: Unique, order_by: Sequence[str]):
+        self.rule, self.order = rule, list(order_by)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def _place(self, row: Row) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in self.order)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        broken = [Row(rule_id=self.rule.rule_id, message=self.rule.message)]
+        free, lead = any(k is None for k in key), None
+        known = free or self.seen.exists()
+        for row in rows:
+            if not known and (lead is None or self._place(row) < self._place(lead)):
+                row, lead = lead, row
+            if row is not None:
+                yield Row(**{**row.asDict(False), "_copy": [] if free else broken})
+        if lead is not None:
+            yield Row(**{**lead.asDict(False), "_copy": []})
+        if not known:
+            self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
 
 
 def quarantine(
@@ -47,24 +96,27 @@ def quarantine(
     checkpoint: str,
     refs: Mapping[str, DataFrame] | None = None,
     trigger: Mapping = AVAILABLE,
+    order_by: Sequence[str] = (),
 ) -> StreamingQuery:
     """Mark rows on arrival and file them under ``is_valid=true`` or ``is_valid=false``.
 
-    Stateless: one projection, one pass, both sides in one exactly-once file sink that
-    ``sinks.read_split`` reads.
-    Reference rules join the stream to a static parent table.
+    Row rules are one projection. Reference rules join the stream to a static parent table.
+    One key rule may be among the rules: the first row of a key in the order of ``order_by``
+    stays, later ones break the rule, where batches arrive in that order; a key that holds a
+    NULL is never a copy. Which keys were seen is state, one entry per key. Both sides go into one
+    exactly-once file sink that ``sinks.read_split`` reads.
     """
-    if any(isinstance(rule, Unique) for rule in rules):
-        raise ValueError("a key rule needs the whole table; check it in batch")
-    return (
-        check(rows, rules, refs)
-        .writeStream.format("parquet")
-        .partitionBy("is_valid")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    keys = [rule for rule in rules if isinstance(rule, Unique)]
+    if len(keys) > 1 or keys and not order_by:
+        raise ValueError("a stream takes one key rule, with the order that says which row is first")
+    checked = check(rows, [rule for rule in rules if rule not in keys], refs)
+    if keys:
+        off_heap_state(rows.sparkSession)
+        marked = T.StructType([*checked.schema.fields, T.StructField("_copy", T.ArrayType(T.StructType.fromDDL("rule_id string, message string")))])
+        checked = checked.groupBy(*keys[0].key).transformWithState(_LaterCopies(keys[0], order_by), marked, "Append", "None")
+        broken = F.concat("violations", F.col("_copy").cast(f"array<{VIOLATION}>"))
+        checked = checked.withColumn("violations", broken).withColumn("is_valid", F.size("violations") == 0).drop("_copy")
+    return _file_sink(checked, path, checkpoint, trigger, ["is_valid"])
 
 
 def running_summary(
@@ -77,19 +129,17 @@ def running_summary(
 ) -> StreamingQuery:
     """Per-key aggregates over all of history, kept up to date.
 
-    There is no watermark, because the summary covers every row ever seen; the state is
-    one row per key. Each batch rewrites the buckets of the keys it touched and what they
-    replace is deleted (see ``buckets``). ``latest_summary`` reads the result.
+    The totals are the state of a streaming aggregation: one row per key, without a watermark,
+    because the summary covers every row ever seen. A batch writes the new totals of the keys
+    it changed and nothing else, under its own number; a batch repeated after a failure overwrites its own
+    rows. ``latest_summary`` reads the newest row per key.
     """
     off_heap_state(rows.sparkSession)
     grouped = rows.groupBy(key).agg(*[m.alias(n) for n, m in measures.items()])
 
     def store(batch: DataFrame, epoch: int) -> None:
-        seen = batch.persist()
-        try:
-            buckets.merge(seen, buckets.before(seen, path, key, epoch, batch.schema), path, key, epoch)
-        finally:
-            seen.unpersist()
+        # One column holds the row, so that no name meets that of the folder.
+        batch.select(F.struct("*").alias("totals")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
         grouped.writeStream.outputMode("update")
@@ -100,9 +150,35 @@ def running_summary(
     )
 
 
-def latest_summary(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row per key of a running summary."""
-    return buckets.newest(spark, path)
+def latest_summary(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest row per key of a running summary: one aggregate over the rows that batches have written."""
+    written = spark.read.parquet(path)
+    newest = written.groupBy(F.col(f"totals.{key}").alias("_key")).agg(F.max_by("totals", "epoch").alias("totals"))
+    return newest.select("totals.*")
+
+
+class _Changes(StatefulProcessor):
+    """Value changes of one key; its last value is the state."""
+
+    def __init__(self, order_by: Sequence[str], kept: T.StructType):
+        self.order, self.kept = list(order_by), kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.kept)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
+        known, value = batch["known"].to_numpy(bool), batch["new_value"].to_numpy(object)
+        was, old = self.last.get() if self.last.exists() else (False, None)
+        known_before, before = np.r_[bool(was), known[:-1]], np.r_[np.array([old], object), value[:-1]]
+        both = known & known_before
+        changed = both.copy()
+        changed[both] = before[both] != value[both]
+        self.last.update((bool(known[-1]), value[-1] if known[-1] else None))
+        yield batch[changed].assign(old_value=before[changed])[[*batch.columns[:-2], "old_value", "new_value"]]
+
+    def close(self) -> None:
+        pass
 
 
 def change_audit(
@@ -114,49 +190,25 @@ def change_audit(
     checkpoint: str,
     trigger: Mapping = AVAILABLE,
 ) -> StreamingQuery:
-    """Value changes per key as they arrive, across batch boundaries.
+    """Value changes per key as they arrive, across batch boundaries, in one exactly-once file sink.
 
-    Batches must arrive in time order; rows within a batch may come in any order.
-
-    Changes inside a batch come from the batch audit, which spreads a hot key over many
-    tasks. Those between batches come from comparing each key's first row with the last
-    value kept for it. The kept values are a table in buckets (see ``buckets``): a batch
-    reads and rewrites those of its own keys.
+    Batches must arrive in time order; rows within a batch may come in any order and are
+    sorted per key. A key's last value is Structured Streaming's own state: one entry per key.
+    A null value changes nothing, before or after. ``read_changes`` reads the result.
     """
+    off_heap_state(rows.sparkSession)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    kept_schema = f"{key} {kinds[key].simpleString()}, kept {kinds[value].simpleString()}"
-    unused = [c for c in rows.columns if c not in (key, *order_by, value)]
-
-    def audit(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.drop(*unused).where(F.col(key).isNotNull()).persist()
-        try:
-            moment = F.struct(*order_by)
-            ends = seen.groupBy(key).agg(
-                F.min_by(F.struct(*order_by, value), moment).alias("head"),
-                F.max_by(F.struct(value), moment).alias("tail"),
-            )
-            ends = ends.persist()
-            kept = buckets.before(ends, f"{path}/kept", key, epoch, kept_schema)
-            known = kept.select(F.col(key).alias("_k"), "kept")
-            met = ends.join(known, F.col(key) == F.col("_k"))
-            crossing = met.where(F.col("kept") != F.col(f"head.{value}")).select(
-                key, *[F.col(f"head.{c}").alias(c) for c in order_by], F.col("kept").alias("old_value"),
-                F.col(f"head.{value}").alias("new_value"),
-            )
-            with working.dropped_after(spark):
-                inside = audit_from_log(seen, key, order_by, value)
-                inside.unionByName(crossing).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
-            buckets.merge(ends.select(key, F.col(f"tail.{value}").alias("kept")), kept, f"{path}/kept", key, epoch)
-            ends.unpersist()
-        finally:
-            seen.unpersist()
-
-    return (
-        rows.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    # Whole numbers with nulls would become floats in pandas; ``known`` tells nulls apart instead.
+    whole = isinstance(kinds[value], T.IntegralType)
+    shown = F.coalesce(F.col(value), F.lit(0).cast(kinds[value])) if whole else F.col(value)
+    picked = rows.where(F.col(key).isNotNull()).select(key, *order_by, F.col(value).isNotNull().alias("known"), shown.alias("new_value"))
+    named = [T.StructField(c, kinds[c]) for c in (key, *order_by)]
+    out = T.StructType([*named, T.StructField("old_value", kinds[value]), T.StructField("new_value", kinds[value])])
+    kept = T.StructType([T.StructField("known", T.BooleanType()), T.StructField("kept", kinds[value])])
+    changes = picked.groupBy(key).transformWithStateInPandas(_Changes(order_by, kept), out, "Append", "None")
+    return _file_sink(changes, path, checkpoint, trigger)
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     """All changes that a change audit has found so far."""
-    return spark.read.parquet(f"{path}/changes").drop("epoch")
+    return spark.read.parquet(path)
