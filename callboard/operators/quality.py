@@ -11,6 +11,7 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,3 +254,21 @@ def violations(
 def broken_rows(df: DataFrame, rule: Rule, key: Sequence[str]) -> DataFrame:
     """Rows that break one row rule, as a plain filter the scan can push down."""
     return df.where(rule.broken()).select(*key, F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.message).alias("message"))
+
+
+def reconcile(df: DataFrame, key: Sequence[str], expected: Mapping[str, Column]) -> DataFrame:
+    """Rows whose stored values differ from what they follow from.
+
+    ``expected`` maps stored columns to expressions over the row. A row that differs in any of them
+    gives the key, and per column the stored value, ``expected_*`` and ``*_difference`` (stored
+    minus expected). The comparison is exact in the type of the stored column, after rounding
+    the expectation to its scale, and NULL-safe: a value on one side only,
+    or an expectation that the type can't hold, differs, with no difference to tell.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    wanted = {c: e.try_cast(kinds[c]) for c, e in expected.items()}
+    differs = [~F.col(c).eqNullSafe(e) for c, e in wanted.items()]
+    shown = []
+    for c, e in wanted.items():
+        shown += [F.col(c), e.alias(f"expected_{c}"), (F.col(c) - e).alias(f"{c}_difference")]
+    return df.where(reduce(Column.__or__, differs)).select(*key, *shown)

@@ -390,6 +390,32 @@ def _(d):
     return R.availability_counts({"equipment": d["orders"].select(F.col("o_orderstatus").alias("availability"))})
 
 
+@query(
+    "cost_reconciliation",
+    """WITH s AS (SELECT l_orderkey AS film_id, l_suppkey AS location_id, CAST(l_quantity AS INTEGER) AS days,
+  CAST(s_acctbal AS DECIMAL(12,2)) AS cost_per_day, l_returnflag, CAST(l_extendedprice AS DECIMAL(15,2)) AS price
+  FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey),
+c AS (SELECT *, CAST(days * cost_per_day AS DECIMAL(15,2)) AS expected_cost,
+  CASE l_returnflag WHEN 'A' THEN CAST(days * 1000 AS DECIMAL(15,2)) WHEN 'N' THEN price END AS total_cost FROM s)
+SELECT film_id, location_id, days, cost_per_day, total_cost, expected_cost,
+  CAST(total_cost - expected_cost AS DECIMAL(16,2)) AS difference
+FROM c WHERE total_cost IS DISTINCT FROM expected_cost""",
+)
+def _(d):
+    start = F.to_date("l_shipdate")
+    shootings = d["lineitem"].select(
+        F.col("l_orderkey").alias("film_id"),
+        F.col("l_suppkey").alias("location_id"),
+        start.alias("shooting_start"),
+        F.date_add(start, F.col("l_quantity").cast("int") - 1).alias("shooting_end"),
+        F.when(F.col("l_returnflag") == "A", (F.col("l_quantity").cast("int") * 1000).cast("decimal(15,2)"))
+        .when(F.col("l_returnflag") == "N", B.dec("l_extendedprice", 15, 2))
+        .alias("total_cost"),
+    )
+    places = d["supplier"].select(F.col("s_suppkey").alias("location_id"), B.dec("s_acctbal", 12, 2).alias("cost_per_day"))
+    return R.cost_reconciliation({"shot_at": shootings, "shooting_location": places})
+
+
 @query(
     "location_listing",
     with_("place") + "SELECT location_id, name, city, state, country, cost_per_day, area FROM place",

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from callboard.functions import scalars as S
 from callboard.operators import aggregates as A
+from callboard.operators import quality as Q
 from callboard.operators.joins import attach, details_with_count, having_match, lookup, per_parent
 
 Tables = Mapping[str, DataFrame]
@@ -443,6 +444,15 @@ def equipment_usage(t: Tables, film_id=ALL) -> DataFrame:
     )
 
 
+def cost_reconciliation(t: Tables, key=None) -> DataFrame:
+    """Shootings whose stored cost isn't days times the location's rate, with both and their difference."""
+    places = t["shooting_location"].select("location_id", "cost_per_day")
+    rows = lookup(_only(t["shot_at"], "film_id", key), places, {"location_id": "location_id"}, ["cost_per_day"], spread=True)
+    rows = rows.withColumn("days", S.inclusive_days("shooting_start", "shooting_end"))
+    found = Q.reconcile(rows, ["film_id", "location_id", "days", "cost_per_day"], {"total_cost": F.col("days") * F.col("cost_per_day")})
+    return found.withColumnRenamed("total_cost_difference", "difference").withColumnRenamed("expected_total_cost", "expected_cost")
+
+
 def location_listing(t: Tables) -> DataFrame:
     return t["shooting_location"].select(
         "location_id", "name", "city", "state", "country", "cost_per_day", "area"

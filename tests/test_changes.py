@@ -237,3 +237,54 @@ def test_account_log(make):
         ("a", "USER_ROLE_CHANGE", "User a role changed from viewer to admin"),
         ("a", "USER_STATUS_CHANGE", "User a status changed to INACTIVE"),
         ("c", "USER_CREATED", "User c created with role manager")]
+
+
+def _plain(old, new, **kw):
+    args = (["k"], {"v": "UPDATE", "w": "CHANGE"})
+    return rows(C.audit_changes(old, new, *args, **kw))
+
+
+@pytest.mark.parametrize("kind", ["bigint", "date", "string"])
+def test_pruned_audit_equals_the_whole_audit(spark, kind):
+    shown = {"bigint": "id * 7 - 900", "date": "date_add(DATE'1960-01-01', CAST(id AS INT) * 3)", "string": "concat('k', id)"}[kind]
+    base = spark.range(3000).selectExpr(f"{shown} AS k", "id % 5 AS v", "CAST(if(id % 3 = 0, NULL, id) AS STRING) AS w", "id")
+    moved = F.col("id").between(700, 720) | (F.col("id") == 2999)
+    old = base.where("id NOT IN (5, 1234)").drop("id")
+    new = base.where("id <> 1500").withColumn("v", F.when(moved, F.col("v") + 1).otherwise(F.col("v")))
+    new = new.withColumn("w", F.when(F.col("id") == 6, "now").when(F.col("id") == 7, F.lit(None)).otherwise(F.col("w"))).drop("id")
+    whole = _plain(old, new)
+    assert len(whole) == 3 + 22 and _plain(old, new, skip_equal=100) == whole == _plain(old, new, skip_equal=1)
+    assert _plain(old, old, skip_equal=50) == [] == _plain(old.limit(0), old.limit(0), skip_equal=50)
+    assert len(_plain(old.limit(0), new, skip_equal=50)) == new.count()
+
+
+def test_pruned_audit_at_the_ends_of_the_key_and_with_nulls(spark):
+    edge = [(-(2**63), 1, "a"), (2**63 - 1, 1, "a"), (0, 1, None), (None, 1, "a")]
+    old = spark.createDataFrame(edge, "k bigint, v bigint, w string")
+    new = spark.createDataFrame([(k, v + (k == 2**63 - 1), "a" if k == 0 else w) for k, v, w in edge], old.schema)
+    assert _plain(old, new, skip_equal=10) == _plain(old, new) and len(_plain(old, new)) == 3
+    swapped = spark.createDataFrame([(1, None, "a"), (2, 5, None)], old.schema), spark.createDataFrame([(1, 5, "a"), (2, None, None)], old.schema)
+    assert C.unequal_ranges(*swapped, ["k"], ["v"], 1) is not None and _plain(*swapped, skip_equal=1) == _plain(*swapped)
+
+
+def test_pruned_audit_reads_few_ranges_of_a_clustered_snapshot(spark, tmp_path):
+    base = spark.range(20_000).selectExpr("id AS k", "id % 5 AS v", "'x' AS w")
+    changed = base.withColumn("v", F.when(F.col("k").between(9_000, 9_040), 9).otherwise(F.col("v")))
+    paths = [str(tmp_path / n) for n in ("old", "new")]
+    for frame, path in zip((base, changed), paths):
+        frame.repartitionByRange(4, "k").sortWithinPartitions("k").write.parquet(path)
+    old, new = (spark.read.parquet(p) for p in paths)
+    audit = C.audit_changes(old, new, ["k"], {"v": "UPDATE"}, skip_equal=1000)
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(k,9000)") == 2 and plan.count("LessThanOrEqual(k,9059)") == 2
+    # k % 5 makes none of them 9 before
+    assert audit.count() == 41 == C.audit_changes(old, new, ["k"], {"v": "UPDATE"}).count()
+
+
+def test_requests_of_one_name_are_turned_down_row_by_row(spark):
+    accounts = spark.createDataFrame([("ann", "user")], "username string, role string")
+    asked = [("bob", "user")] * 4 + [("bob", "admin"), ("ann", "x"), ("ann", "x"), (None, "y"), ("cy", None), ("cy", None)]
+    after, rejected = C.create_accounts(accounts, spark.createDataFrame(asked, accounts.schema))
+    assert rows(after) == [("ann", "user"), ("bob", "admin"), ("cy", None)]
+    assert rows(rejected) == sorted([("bob", "user")] * 4 + [("ann", "x")] * 2 + [(None, "y"), ("cy", None)], key=repr)
+    assert "Generate" not in rejected._jdf.queryExecution().executedPlan().toString()

@@ -182,3 +182,11 @@ def test_preview_is_capped_and_the_view_is_not(seed):
 
 def test_every_report_is_in_the_catalogue():
     assert len(R.REPORTS) == 34 and R.REPORTS["kpi_totals"] is R.kpi_totals
+
+
+def test_stored_shooting_costs_are_reconciled(seed):
+    found = {(r["film_id"], r["location_id"]): r for r in R.cost_reconciliation(seed).collect()}
+    assert set(found) == {(1, 1), (1, 2), (4, 2), (4, 3)}
+    first = found[1, 1]
+    assert (first["days"], str(first["total_cost"]), str(first["expected_cost"]), str(first["difference"])) == (17, "200000.00", "42500.00", "157500.00")
+    assert R.cost_reconciliation(seed, key=4).count() == 2

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from callboard.operators import quality as Q
 from callboard.sources.model import TABLES, references
@@ -100,3 +101,10 @@ def test_model_has_all_tables_keys_and_references():
     assert sum(len(t.unique) for t in TABLES.values()) == 4
     order = list(dict.fromkeys(c for c, _ in refs))
     assert order.index("scene") < order.index("scene_filming")
+
+
+def test_reconcile_is_exact_and_null_safe(make):
+    stored = make([(1, "10.00"), (2, "10.01"), (3, None), (4, "0.00"), (5, None)], "id int, cost decimal(6,2)")
+    wanted = F.when(F.col("id") < 3, F.lit(10)).when(F.col("id") == 3, F.lit(7)).when(F.col("id") == 4, F.lit(10**7))
+    found = rows(Q.reconcile(stored, ["id"], {"cost": wanted}))
+    assert found == [(2, "10.01", "10.00", "0.01"), (3, None, "7.00", None), (4, "0.00", None, None)]
