@@ -7,19 +7,20 @@ ones, which ``sources.sinks.write_snapshot`` stores as a new version.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callboard.functions import scalars as S
 from callboard.operators.aggregates import first_by
 from callboard.operators.joins import having_match, join_on, without_match
-from callboard.sources import working
+from callboard.sources import sinks, working
 from callboard.sources.model import NO_DEFAULT, NOW, Ref, Table
 
 # Inserts ---------------------------------------------------------------------------
@@ -268,6 +269,51 @@ def audit_changes(
         if c not in key and c != "_e"])
 
 
+def rewrite_partitions(
+    spark: SparkSession, root: str, by: Sequence[str], keys: DataFrame, change: Callable[[DataFrame], DataFrame]
+) -> list[str]:
+    """Change the rows of some keys in a partitioned table by rewriting only the partitions they are in or move to.
+
+    ``keys`` holds the key columns. ``change`` gets rows of the table and gives the rows they
+    become; it leaves rows of other keys as they are. Finding the partitions reads the key
+    columns alone. Returns the folders that were rewritten or emptied. A crash leaves the
+    table as it was or in a state that the next call, or ``sinks.recover_partitions``, completes.
+    """
+    sinks.recover_partitions(spark, root)
+    base = spark.read.parquet(root)
+    on = {k: k for k in keys.columns}
+    # A file's folders name its partition, in the escaped form that Spark gives them.
+    folder = F.slice(F.split(F.col("_metadata.file_path"), "/"), -len(by) - 1, len(by))
+    placed = base.withColumn("_folder", F.array_join(folder, "/"))
+    hit = working.table(having_match(placed, keys, on, spread=True), "hit")
+    before = hit.select("_folder", *by).distinct()
+    after = change(hit.drop("_folder")).select(*by).distinct()
+    old, new = before.collect(), after.collect()  # partitions of the table at most
+    values = {tuple(r[b] for b in by) for r in [*old, *new]}
+    if not values:
+        return []
+    chosen = reduce(Column.__or__, [reduce(Column.__and__, [F.col(b).eqNullSafe(F.lit(x)) for b, x in zip(by, v)]) for v in sorted(values, key=repr)])
+    folders = [unquote(r["_folder"]) for r in old]
+    # Rows of a partition that only receives rows aren't touched by ``change``, but stand beside those that arrive.
+    sinks.replace_partitions(change(base.where(chosen)), root, by, folders)
+    return folders
+
+
+def update_partitions(
+    spark: SparkSession, root: str, by: Sequence[str], updates: DataFrame, key: Sequence[str], columns: Sequence[str],
+    touched: str | None = None, now: Column | dt.datetime | None = None, order_by: Sequence[str] = (),
+) -> list[str]:
+    """``apply_updates`` on a partitioned table; a row whose partition column changes moves."""
+    last = working.table(one_per_key(updates.dropna(subset=list(key)), key, columns, order_by), "updates")
+    return rewrite_partitions(spark, root, by, last.select(*key), lambda df: _with_updates(df, last, key, columns, touched, now))
+
+
+def delete_from_partitions(spark: SparkSession, root: str, by: Sequence[str], keys: DataFrame) -> list[str]:
+    """Rows of these keys leave a partitioned table; a partition without rows goes."""
+    kept = working.table(keys.dropna().distinct(), "keys")
+    return rewrite_partitions(spark, root, by, kept, lambda df: without_match(df, kept, {k: k for k in keys.columns}))
+
+
 #: Conditions at most that a pruned audit filters its scans by; nearby ranges are put together beyond it.
 SCAN_RANGES = 64
 

@@ -18,6 +18,7 @@ from callboard.plans import bindings as B
 from callboard.plans import reports as R
 from callboard.plans.bindings import with_
 from callboard.plans.registry import Data, query
+from callboard.sources import sinks, working
 from callboard.sources.model import TABLES, Ref
 
 AS_OF = dt.date(2024, 12, 31)
@@ -513,6 +514,25 @@ def _(d):
     return C.apply_updates(base, updates, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], "o_orderdate", now)
 
 
+@query(
+    "update_partitions",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END
+  AS o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'F')""",
+)
+def _(d):
+    """A table partitioned by status: some rows move to another partition, others are deleted; the rest isn't rewritten."""
+    orders = d["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    root = working.folder(d.spark, "partitioned") + "/orders"
+    sinks.write_partitioned(orders, root, ["o_orderstatus"])
+    urgent = d["orders"].where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
+    updates = urgent.select("o_orderkey", F.lit("F").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    C.update_partitions(d.spark, root, ["o_orderstatus"], updates, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
+    gone = d["orders"].where("o_orderpriority = '5-LOW' AND o_orderstatus = 'F'").select("o_orderkey")
+    C.delete_from_partitions(d.spark, root, ["o_orderstatus"], gone)
+    return d.spark.read.schema(orders.schema).parquet(root)
+
+
 @query(
     "keyed_update_repeated",
     """SELECT o_orderkey, coalesce(s, o_orderstatus) AS o_orderstatus FROM orders

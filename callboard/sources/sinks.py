@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callboard.sources import working
 
@@ -91,6 +94,50 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(path)
 
 
+# A partitioned table is a plain folder of Parquet partitions. Replacing some of them goes in three
+# steps: the new rows are staged in a hidden folder; one small file decides the switch; Spark's
+# dynamic partition overwrite carries it out. Whatever fails, the table is as before the file or can be brought to
+# the state after it.
+
+
+def write_partitioned(df: DataFrame, root: str, by: Sequence[str]) -> None:
+    """Store a table in one folder per value of the ``by`` columns."""
+    df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("errorifexists").partitionBy(*by).parquet(root)
+
+
+def replace_partitions(df: DataFrame, root: str, by: Sequence[str], folders: Sequence[str]) -> None:
+    """Put the rows of ``df`` in place of all rows in its partitions; of ``folders``, those that it leaves empty go.
+
+    ``folders`` are paths below the root such as ``status=F``. Other partitions' files aren't
+    touched. A reader may see some partitions before and others after; use snapshots where
+    that matters. One writer at a time.
+    """
+    spark = df.sparkSession
+    recover_partitions(spark, root)
+    staged = f"_staged-{uuid.uuid4().hex}"
+    df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy(*by).parquet(f"{root}/{staged}")
+    emptied = [f for f in folders if not working.exists(spark, f"{root}/{staged}/{f}")]
+    decided = {"staged": staged, "by": list(by), "emptied": emptied, "schema": df.schema.jsonValue()}
+    working.put(spark, f"{root}/_switch", json.dumps(decided).encode())
+    recover_partitions(spark, root)
+
+
+def recover_partitions(spark: SparkSession, root: str) -> None:
+    """Finish a decided switch and remove what an undecided one has staged."""
+    text = working.get(spark, f"{root}/_switch")
+    if text is not None:
+        decided = json.loads(text)
+        staged = spark.read.schema(T.StructType.fromJson(decided["schema"])).parquet(f"{root}/{decided['staged']}")
+        switched = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        switched.partitionBy(*decided["by"]).parquet(root)
+        for folder in decided["emptied"]:
+            working.drop(spark, f"{root}/{folder}")
+        working.drop(spark, f"{root}/_switch")
+    for name in working.children(spark, root):
+        if name.startswith("_staged-"):
+            working.drop(spark, f"{root}/{name}")
+
+
 def write_split(checked: DataFrame, path: str, flag: str = "is_valid") -> None:
     """Write valid and quarantined rows in one pass, as two folders of one table."""
     checked.write.mode("errorifexists").partitionBy(flag).parquet(path)

@@ -74,3 +74,32 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder; none if it isn't there."""
     hadoop, system = resolve(spark, path)
     return sorted(s.getPath().getName() for s in system.listStatus(hadoop)) if system.exists(hadoop) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, system = resolve(spark, path)
+    return system.exists(hadoop)
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file under another name and then give it its own, so that it is there whole or not at all."""
+    part, system = resolve(spark, f"{path}.part")
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if not system.rename(part, resolve(spark, path)[0]):
+        raise FileExistsError(path)
+
+
+def get(spark: SparkSession, path: str) -> bytes | None:
+    """The content of a small file; None if it isn't there."""
+    hadoop, system = resolve(spark, path)
+    if not system.exists(hadoop):
+        return None
+    source = system.open(hadoop)
+    try:
+        return bytes(source.readAllBytes())
+    finally:
+        source.close()
