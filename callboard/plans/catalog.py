@@ -6,6 +6,7 @@ from callboard.plans import (  # noqa: F401
     queries_lookups,
     queries_quality,
     queries_reports,
+    queries_sets,
     queries_streams,
 )
 from callboard.plans.registry import ORACLE, QUERIES

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callboard.operators import aggregates as A
 from callboard.plans import bindings as B
 from callboard.plans import reports as R
 from callboard.plans.bindings import sql_ratio, with_
-from callboard.plans.registry import ORACLE, query
+from callboard.plans.registry import ORACLE, Data, query
 
 AS_OF = dt.date(2024, 12, 31)
 
@@ -19,6 +20,37 @@ _FILM_BASIC = """SELECT film_id, title, release_date, budget, duration, language
 FROM film_plain LEFT JOIN director d ON d.director_id = fk_director_id"""
 
 
+# Tables of reports that several queries run.
+
+
+def scene_tables(d: Data) -> dict[str, DataFrame]:
+    scene = d["orders"].select(
+        F.col("o_orderkey").alias("scene_id"),
+        F.col("o_custkey").alias("film_id"),
+        F.col("o_orderpriority").alias("location"),
+        F.col("o_orderstatus").alias("description"),
+        F.dayofyear("o_orderdate").alias("duration"),
+    )
+    film = d["customer"].select(F.col("c_custkey").alias("film_id"), F.col("c_name").alias("title"))
+    return {"scene": scene, "film": film, "scene_filming": B.shoot(d)}
+
+
+def production_tables(d: Data) -> dict[str, DataFrame]:
+    lines = d["lineitem"]
+    by_film = F.col("l_orderkey").alias("film_id")
+    return {
+        "film": B.film_plain(d),
+        "director": B.director(d),
+        "role": B.line_role(d),
+        "scene": lines.select(by_film, F.col("l_linenumber").alias("scene_id")),
+        "works_on": lines.select(by_film, F.col("l_suppkey").alias("crew_id")),
+        "shot_at": lines.select(by_film, F.col("l_suppkey").alias("location_id")),
+        "shooting_location": d["supplier"]
+        .where("s_acctbal >= 5000")
+        .select(F.col("s_suppkey").alias("location_id")),
+    }
+
+
 @query("film_basic", with_("film_plain", "director") + _FILM_BASIC)
 def _(d):
     return R.film_basic({"film": B.film_plain(d), "director": B.director(d)})
@@ -147,15 +179,7 @@ FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_order
 GROUP BY o_orderkey, c_custkey, c_name, o_orderpriority, o_orderstatus, o_orderdate""",
 )
 def _(d):
-    scene = d["orders"].select(
-        F.col("o_orderkey").alias("scene_id"),
-        F.col("o_custkey").alias("film_id"),
-        F.col("o_orderpriority").alias("location"),
-        F.col("o_orderstatus").alias("description"),
-        F.dayofyear("o_orderdate").alias("duration"),
-    )
-    film = d["customer"].select(F.col("c_custkey").alias("film_id"), F.col("c_name").alias("title"))
-    return R.scene_filming_summary({"scene": scene, "film": film, "scene_filming": B.shoot(d)})
+    return R.scene_filming_summary(scene_tables(d))
 
 
 @query(
@@ -196,21 +220,7 @@ SELECT film_id, title, production_status, budget, duration, d.name AS director,
 FROM film_plain LEFT JOIN director d ON d.director_id = fk_director_id LEFT JOIN a ON l_orderkey = film_id""",
 )
 def _(d):
-    lines = d["lineitem"]
-    by_film = F.col("l_orderkey").alias("film_id")
-    return R.production_summary(
-        {
-            "film": B.film_plain(d),
-            "director": B.director(d),
-            "role": B.line_role(d),
-            "scene": lines.select(by_film, F.col("l_linenumber").alias("scene_id")),
-            "works_on": lines.select(by_film, F.col("l_suppkey").alias("crew_id")),
-            "shot_at": lines.select(by_film, F.col("l_suppkey").alias("location_id")),
-            "shooting_location": d["supplier"]
-            .where("s_acctbal >= 5000")
-            .select(F.col("s_suppkey").alias("location_id")),
-        }
-    )
+    return R.production_summary(production_tables(d))
 
 
 @query(

@@ -125,10 +125,21 @@ def kpi_totals(t: Tables, receipts: DataFrame | None = None) -> DataFrame:
     return found.select("total_films", "total_actors", "total_budget", "total_boxoffice")
 
 
-def production_summary(t: Tables, key=None) -> DataFrame:
+def _with_distinct(parents: DataFrame, child: DataFrame, on: Mapping[str, str], member: str, name: str, bitmaps: bool) -> DataFrame:
+    """A child's number of distinct members per parent, 0 without any; by bitmaps where its ids are dense numbers."""
+    if not bitmaps:
+        return attach(parents, child, on, {name: F.count_distinct(member)}, {name: 0})
+    keys = list(on.values())
+    counted = A.sketched_counts(A.distinct_sketch(child, keys, member), keys, name)
+    return lookup(parents, counted, on, [name], {name: 0})
+
+
+def production_summary(t: Tables, key=None, bitmaps: bool = False) -> DataFrame:
     """Distinct actors, scenes, crew and locations per film.
 
-    Four children are aggregated separately; a raw star join would multiply them.
+    Four children are aggregated separately; a raw star join would multiply them. With
+    ``bitmaps`` a film's ids travel as bitmaps (``aggregates.distinct_sketch``), which pays
+    where films have very many rows.
     """
     films = _with_director(_only(t["film"], "film_id", key), t["director"], "director")
     known_places = having_match(t["shot_at"], t["shooting_location"], {"location_id": "location_id"})
@@ -139,7 +150,7 @@ def production_summary(t: Tables, key=None) -> DataFrame:
         ("total_locations", known_places, "location_id"),
     ]
     for name, child, member in children:
-        films = attach(films, child, {"film_id": "film_id"}, {name: F.count_distinct(member)}, {name: 0})
+        films = _with_distinct(films, child, {"film_id": "film_id"}, member, name, bitmaps)
     return films.select(
         "film_id", "title", "production_status", "budget", "duration", "director",
         *[name for name, _, _ in children],
@@ -402,14 +413,14 @@ def availability_counts(t: Tables) -> DataFrame:
     return A.value_counts(t["equipment"], "availability")
 
 
-def scene_filming_summary(t: Tables) -> DataFrame:
+def scene_filming_summary(t: Tables, bitmaps: bool = False) -> DataFrame:
     scenes = t["scene"].join(t["film"].select("film_id", F.col("title").alias("film_title")), "film_id")
     scenes = scenes.select("scene_id", "film_id", "film_title", "location", "description", "duration")
     counts = {"crew_involved": "crew_id", "equipment_used": "equipment_id", "filming_sessions": "filming_id"}
     # One aggregate per count reads two columns each. Several distinct counts in one
     # aggregate would instead copy every row once per count before combining.
     for name, member in counts.items():
-        scenes = attach(scenes, t["scene_filming"], {"scene_id": "scene_id"}, {name: F.count_distinct(member)}, {name: 0})
+        scenes = _with_distinct(scenes, t["scene_filming"], {"scene_id": "scene_id"}, member, name, bitmaps)
     return scenes
 
 

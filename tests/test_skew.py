@@ -139,3 +139,11 @@ def test_counts_per_hot_key_combine_before_the_shuffle(limits, fact):
     expected = Counter(r.k for r in fact.select("k").collect())
     assert rows(per_key) == sorted([(k, n, n) for k, n in expected.items()], key=repr)
     assert "partial_count" in per_key._jdf.queryExecution().toString()
+
+
+def test_hot_collated_key_is_split(spark, limits):
+    word = "CASE WHEN id % 3 = 0 THEN if(id % 2 = 0, 'Hot', 'hOT') ELSE concat('key', id % 500) END"
+    left = spark.range(ROWS, numPartitions=16).selectExpr(f"collate({word}, 'UTF8_LCASE') AS k", "id", "sha1(CAST(id AS STRING)) AS pad")
+    right = spark.range(0, 400, numPartitions=4).selectExpr("collate(if(id = 0, 'HOT', concat('KEY', id)), 'UTF8_LCASE') AS k")
+    got, split = split_and_collected(Q.orphans(left, ["k"], right, ["k"]))
+    assert split and {r.id for r in got} == {i for i in range(ROWS) if i % 3 and (i % 500 == 0 or i % 500 >= 400)}
