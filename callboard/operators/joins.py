@@ -44,7 +44,13 @@ def _hashes(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> tuple[Col
     sides: tuple[list[Column], list[Column]] = ([], [])
     for left, right in on.items():
         kinds = df.schema[left].dataType, other.schema[right].dataType
-        if all(isinstance(k, _WHOLE) for k in kinds):
+        if any(isinstance(k, T.StringType) and k.collation != "UTF8_BINARY" for k in kinds):
+            if len({getattr(k, "collation", None) for k in kinds}) > 1:
+                raise ValueError(f"a spread join needs keys of one collation, not {left} {kinds[0]} and {right} {kinds[1]}")
+            # The hash functions read bytes, and equal keys of a collation may have other bytes. The key
+            # itself is dealt out by its collation; a constant beside it is enough to ask for a fresh shuffle.
+            shaped = lambda c: F.length(c) * 0
+        elif all(isinstance(k, _WHOLE) for k in kinds):
             shaped = lambda c: c.cast("bigint")
         elif all(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds):
             shaped = lambda c: c.cast("double") + F.lit(0.0)  # noqa: E731  -0.0 and 0.0 are one key
@@ -53,12 +59,6 @@ def _hashes(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> tuple[Col
             shaped = lambda c, scale=scale: c.cast(f"decimal(38,{scale})")
         elif all(isinstance(k, (*_WHOLE, T.StringType)) for k in kinds) and kinds[0] != kinds[1]:
             shaped = lambda c: c.try_cast("bigint")  # noqa: E731  as the comparison reads the text
-        elif any(isinstance(k, T.StringType) and k.collation != "UTF8_BINARY" for k in kinds):
-            if len({getattr(k, "collation", None) for k in kinds}) > 1:
-                raise ValueError(f"a spread join needs keys of one collation, not {left} {kinds[0]} and {right} {kinds[1]}")
-            # The hash functions read bytes, and equal keys of a collation may have other bytes. The key
-            # itself is dealt out by its collation; a constant beside it is enough to ask for a fresh shuffle.
-            shaped = lambda c: F.length(c) * 0
         elif kinds[0] == kinds[1]:
             shaped = lambda c: c
         else:
