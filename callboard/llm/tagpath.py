@@ -1,16 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into leaves: pieces of text with their root-to-leaf tag path (tags with the
-class and id words that matter), its block and whether it is inside a link. Leaves below
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers) are set aside by tag, role, class or id. Over the others, every distinct
-path gets ratios: characters, sentence punctuation and unlinked characters per leaf. A path's
-score is smoothed with those of the paths that come before and after it in the page, then
-fused with its siblings under one container, weighted by their text, so that a short heading
-or one-word paragraph stands or falls with the text around it. Paths below ``THRESHOLD`` of
-the best score are dropped.
-
-``article`` and ``main`` elements enter the score alone. Their paths are fused once more over
+A page is read into leaves: pieces of text with their root-to-leaf tag path (tags with their
+class and id), its block and whether it is inside a link. Only what is never text is left
+out at once: scripts, styles, hidden elements. Every distinct path gets ratios: characters
+and sentence ends per leaf make its density, up to what a full paragraph has, and linked
+characters lower it. Scores are smoothed with those of the paths that come before and after in
+the page, then fused with the siblings under one container, weighted by their text, so that
+a short heading or one-word paragraph stands or falls with the text around it; a list inside a
+container of dense text takes part in that container's score. Paths below ``THRESHOLD`` of
+the best score are dropped. So a list of links, a one-line notice or a line of copyright beside a
+body of paragraphs falls by its ratio, whatever its tag or class.
+
+Marks weigh in. Furniture by tag, role, or a container's class or id (menus, headers, footers,
+sidebars, notices, adverts, forms, comments of readers) multiplies a path's score by ``MARKED``;
+a class word on a text element (a paragraph, heading, list item) by ``TINGED`` only, so a paragraph of sentences
+called ``notice`` stays. A page on which nothing but furniture has text has no main text.
+
+``article`` and ``main`` elements enter the score too. Their paths are fused once more over
 the whole element, so lists and linked headings of an article stand with its paragraphs, and
 gain by the square of the odds between the largest such element and the text outside all of
 them. An article that holds most of a page thus outdoes the rest, a teaser beside a body in
@@ -25,7 +31,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -33,10 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callboard.llm.blocks import free_names
+
 #: Share of the best path's score that a path needs.
-THRESHOLD = 0.25
+THRESHOLD = 0.3
+#: Characters and sentence ends per leaf beyond which a path isn't any denser.
+FULL_CHARS, FULL_ENDS = 400, 4
+#: What is left of a path's score below furniture, and in a text element with a furniture word.
+MARKED, TINGED = 0.01, 0.5
+#: Share of the score of the container around that a path can take on.
+INHERITED = 0.5
 #: Weights of the path before, the path itself and the path after it when scores are smoothed.
-SMOOTH = (0.15, 0.7, 0.15)
+SMOOTH = (0.05, 0.9, 0.05)
 #: Characters that an ``article`` or ``main`` element counts beside its own: on tiny pages the tag decides.
 TAG_CHARS = 80
 
@@ -51,7 +65,7 @@ _CLOSES_P = frozenset(
 )
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("table ul ol dl select body html article main section div td th".split())
-_FURNITURE_TAGS = frozenset("head nav footer aside form button select option input menu dialog iframe object embed script style noscript template textarea title svg math".split())
+_FURNITURE_TAGS = frozenset("nav footer aside form button menu dialog".split())
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 _FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
@@ -61,6 +75,10 @@ _FURNITURE_WORDS = frozenset(
     "comment comments disqus respond replies reply".split()
 )
 _CONTENT = frozenset(("article", "main"))
+#: Elements that hold one piece of text; a class word on one of these is a hint and no more.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption address".split())
+#: Elements whose text is never shown as text of the page.
+_UNSEEN = frozenset("head script style noscript template textarea title svg math iframe object embed select option input".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -69,7 +87,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
+_ENDS = re.compile(r"[.,;:!?…](?=[\s\"'”»)]|$)|[、。，！？]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -78,7 +96,8 @@ class _Open:
     tag: str
     path: int
     container: int
-    furniture: bool
+    unseen: bool
+    mark: float  # what furniture around and hints leave of the score
     content: int  # the outermost article or main element around, -1 outside
     link: bool
 
@@ -87,6 +106,8 @@ class _Open:
 class _Block:
     path: int
     container: int
+    around: int
+    mark: float
     content: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -96,33 +117,35 @@ class _Block:
         return " ".join((html.unescape(whole) if "&" in whole else whole).split())
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
-    """A suffix for the path from class and id; whether the element is furniture or hidden, a header, the main part."""
-    suffix, furniture, header, main = "", False, False, False
+def _marks(attributes: str) -> tuple[str, bool, bool, bool, bool, bool]:
+    """A suffix for the path from class and id; whether these have a furniture word; whether the role is furniture's;
+    whether the element is hidden, a header, the main part."""
+    suffix, words_of, role, hidden, header, main = "", False, False, False, False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             suffix += ("." if name == "class" else "#") + " ".join(sorted(value.split()))
             words = {w.lower() for w in _WORDS.findall(value)}
-            furniture |= not words.isdisjoint(_FURNITURE_WORDS)
+            words_of |= not words.isdisjoint(_FURNITURE_WORDS)
             header |= "header" in words
         elif name == "role":
-            furniture |= value.lower() in _FURNITURE_ROLES
+            role |= value.lower() in _FURNITURE_ROLES
             main |= value.lower() == "main"
         elif name == "style":
-            furniture |= bool(_HIDDEN.search(value))
+            hidden |= bool(_HIDDEN.search(value))
         elif name == "hidden":
-            furniture = True
+            hidden = True
         else:
-            furniture |= value.lower() == "true"
-    return suffix, furniture, header, main
+            hidden |= value.lower() == "true"
+    return suffix, words_of, role, hidden, header, main
 
 
 def blocks(page: str) -> list[_Block]:
-    """The page's blocks of text outside furniture, in page order."""
+    """The page's blocks of text, in page order."""
     found: list[_Block] = []
     paths: dict[tuple[int, str], int] = {}
-    stack = [_Open("", -1, -1, False, -1, False)]
+    parents: dict[int, int] = {-1: -1}
+    stack = [_Open("", -1, -1, False, 1.0, -1, False)]
     opened: Counter = Counter()
     current: _Block | None = None
     at, size, elements = 0, len(page), 0
@@ -130,12 +153,12 @@ def blocks(page: str) -> list[_Block]:
     def text(piece: str) -> None:
         nonlocal current
         top = stack[-1]
-        if top.furniture or not piece:
+        if top.unseen or not piece:
             return
         if current is None:
             if piece.isspace():
                 return
-            current = _Block(top.path, top.container, top.content)
+            current = _Block(top.path, top.container, parents[top.container], top.mark, top.content)
             found.append(current)
         current.parts.append(piece)
         if top.link:
@@ -201,65 +224,77 @@ def blocks(page: str) -> list[_Block]:
             at = size if end is None or stop < 0 else stop + 1
             continue
         parent = stack[-1]
-        suffix, furniture, header, main = _marks(attributes) if attributes.strip() else ("", False, False, False)
+        suffix, word, role, hidden, header, main = _marks(attributes) if attributes.strip() else ("", *[False] * 5)
         content = parent.content
         if content < 0 and (main or tag in _CONTENT):
             content, elements = elements, elements + 1
-        furniture = furniture and tag not in ("html", "body", *_CONTENT) or tag in _FURNITURE_TAGS
-        furniture |= (header or tag == "header") and content < 0  # an article's own head stays
+        mark = parent.mark
+        furniture = tag in _FURNITURE_TAGS or (header or tag == "header") and content < 0  # an article's own head stays
+        if tag not in ("html", "body", *_CONTENT):
+            if furniture or role or word and tag not in _TEXT_TAGS and tag not in _INLINE:
+                mark = min(mark, MARKED)
+            elif word:
+                mark = min(mark, TINGED)
         path, container = parent.path, parent.container
         if tag not in _INLINE:
-            path, container = paths.setdefault((path, tag + suffix), len(paths)), path
-        stack.append(_Open(tag, path, container, parent.furniture or furniture, content, parent.link or tag == "a"))
+            # A path below furniture is another path than the same tags elsewhere.
+            path, container = paths.setdefault((path, f"{tag}{suffix}{mark}"), len(paths)), path
+            parents[path] = container
+        unseen = parent.unseen or tag in _UNSEEN or hidden and tag not in ("html", "body")
+        stack.append(_Open(tag, path, container, unseen, mark, content, parent.link or tag == "a"))
         opened[tag] += 1
     return found
 
 
-def _fused(group: dict[int, int], sums: dict[int, list[float]], score: dict[int, float]) -> dict[int, float]:
+def _fused(group: dict[int, Hashable], sums: dict[int, list[float]], score: dict[int, float]) -> dict[Hashable, float]:
     """The mean score of each group's paths, weighted by their characters."""
-    weight: dict[int, float] = {}
-    total: dict[int, float] = {}
+    weight: dict[Hashable, float] = {}
+    total: dict[Hashable, float] = {}
     for path, g in group.items():
         weight[g] = weight.get(g, 0) + sums[path][1]
         total[g] = total.get(g, 0) + sums[path][1] * score[path]
     return {g: total[g] / weight[g] for g in total}
 
 
-def select(found: list[_Block]) -> list[str]:
+def select(found: list[_Block], threshold: float | None = None) -> list[str]:
     """The texts of the blocks whose paths carry content, in page order."""
     texts = [b.text() for b in found]
     sums: dict[int, list[float]] = {}
-    container: dict[int, int] = {}
-    element: dict[int, int] = {}
+    first: dict[int, _Block] = {}
     for block, text in zip(found, texts):
         if text:
             total = sums.setdefault(block.path, [0, 0, 0, 0])
-            for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), min(block.linked, len(text)))):
+            for k, v in enumerate((1, len(text), len(_ENDS.findall(text)), min(block.linked, len(text)))):
                 total[k] += v
-            container[block.path] = block.container
-            element[block.path] = block.content
-    if not sums:
+            first.setdefault(block.path, block)
+    if not sums or max(b.mark for b in first.values()) <= MARKED:
         return []
-    score = {p: math.log1p(chars / n) * (1 + punctuation / n) * (1 - linked / chars) for p, (n, chars, punctuation, linked) in sums.items()}
+    unlinked = {p: 1 - 0.99 * linked / chars for p, (_, chars, _, linked) in sums.items()}
+    score = {p: min(chars / n, FULL_CHARS) * (1 + min(ends / n, FULL_ENDS)) * unlinked[p] for p, (n, chars, ends, _) in sums.items()}
     order = list(score)
     smooth = {}
     for i, path in enumerate(order):
-        near = [score[order[i + d]] if 0 <= i + d < len(order) else score[path] for d in (-1, 0, 1)]
-        smooth[path] = sum(w * x for w, x in zip(SMOOTH, near))
-    fused = _fused(container, sums, smooth)
-    final = {p: fused[container[p]] * (1 - sums[p][3] / sums[p][1]) for p in order}
-    within = [p for p in order if element[p] >= 0]
+        near = [order[i + d] if 0 <= i + d < len(order) else path for d in (-1, 0, 1)]
+        smooth[path] = sum(w * score[q] * (1 if q == path else first[q].mark) for w, q in zip(SMOOTH, near))
+    # Furniture is fused with furniture: its text says nothing about what stands beside it.
+    group = {p: (first[p].container, first[p].mark <= MARKED) for p in order}
+    fused = _fused(group, sums, smooth)
+    final = {}
+    for p in order:
+        inherited = INHERITED * fused.get((first[p].around, group[p][1]), 0)
+        final[p] = max(fused[group[p]], inherited) * first[p].mark * unlinked[p]
+    within = [p for p in order if first[p].content >= 0]
     if within:
-        whole = _fused({p: element[p] for p in within}, sums, smooth)
+        whole = _fused({p: first[p].content for p in within}, sums, smooth)
         held: Counter = Counter()
         for path in order:
-            held[element[path]] += sums[path][1]
+            held[first[path].content] += sums[path][1] * first[path].mark
         outside = held.pop(-1, 0)
         odds = (max(held.values()) + TAG_CHARS) / max(1, outside)
         for path in within:
-            final[path] = (final[path] + whole[element[path]]) / 2 * (1 + odds * odds)
-    least = THRESHOLD * max(final.values())
-    return [t for b, t in zip(found, texts) if t and final[b.path] > 0 and final[b.path] >= least]
+            final[path] = (final[path] + whole[first[path].content] * first[path].mark) / 2 * (1 + odds * odds)
+    least = (THRESHOLD if threshold is None else threshold) * max(final.values())
+    return [t for b, t in zip(found, texts) if t and final[b.path] >= least]
 
 
 def main_text(page: str | None) -> str:
@@ -274,7 +309,8 @@ def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFra
     whatever their length.
     """
     kept = [c for c in pages.columns if c not in (page, text)]
-    picked = pages.select(*kept, F.col(page).cast("string").alias("_page_"))
+    (whole,) = free_names(kept, "page_")
+    picked = pages.select(*kept, F.col(page).cast("string").alias(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

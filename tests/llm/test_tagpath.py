@@ -2,6 +2,9 @@
 
 import html
 import re
+from collections import Counter
+
+import pytest
 
 from callboard.llm import queries, tagpath
 
@@ -71,3 +74,77 @@ def test_driver_pages_come_out_whole_without_article_and_main_tags(spark):
     for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
         plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", row["html"])
         assert "<article" not in plain and tagpath.main_text(plain) == tagpath.main_text(row["html"])
+
+
+#: Changes that take marks off a page, one after another, as in real pages without them.
+BARE = {
+    "attributes": [(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "")],
+    "article": [(r"<(/?)(?:article|main)\b", r"<\1div")],
+    "furniture": [(r"<(/?)(?:nav|footer|aside|header|form)\b", r"<\1div")],
+}
+
+
+def bare(page, *what):
+    for name in what:
+        for pattern, put in BARE[name]:
+            page = re.sub(pattern, put, page)
+    return page
+
+
+def agreement(spark, *what, **kw):
+    """Pages whose text is that of the page as it stands, and word precision and recall over all pages."""
+    same = common = got = wanted = 0
+    for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        whole = tagpath.main_text(row["html"])
+        found = "\n".join(tagpath.select(tagpath.blocks(bare(row["html"], *what)), **kw))
+        same += found == whole
+        a, b = Counter(found.split()), Counter(whole.split())
+        common, got, wanted = common + (a & b).total(), got + a.total(), wanted + b.total()
+    return same, common / got, common / wanted
+
+
+@pytest.mark.parametrize(
+    "what", [("attributes",), ("article",), ("furniture", "attributes"), ("article", "attributes"), ("article", "furniture"),
+             ("article", "furniture", "attributes")],
+)
+def test_ratios_find_the_text_without_marks(spark, what):
+    same, precision, recall = agreement(spark, *what)
+    assert precision >= 0.98 and recall >= 0.98 and same >= 140
+
+
+def test_the_threshold_decides(spark):
+    """Without it the blocks around the articles of all pages come along, marked or not."""
+    assert agreement(spark, threshold=0)[0] == 0
+    assert agreement(spark, "article", "furniture", "attributes", threshold=0)[1] < 0.95
+
+
+BODY = [f"Paragraph {k} of the body has, as texts do, several words and a number of them. It ends here, at last." for k in range(6)]
+
+
+def test_a_class_word_alone_deletes_no_paragraph():
+    for word in ("share-price", "notice", "widget", "related"):
+        inside = "".join(f"<p{f' class={word}' if k == 3 else ''}>{x}</p>" for k, x in enumerate(BODY))
+        for tag in ("article", "div"):
+            assert tagpath.main_text(f"<nav><a href=/>Home</a></nav><{tag}>{inside}</{tag}>").split("\n") == BODY
+        apart = "".join(f"<div><p class={word}>{x}</p></div>" for x in BODY)
+        assert tagpath.main_text(apart).split("\n") == BODY
+
+
+def test_link_lists_and_one_line_notices_fall_by_their_ratio():
+    inside = "".join(f"<p>{x}</p>" for x in BODY)
+    links = "<div><ul>" + "".join(f"<li><a href=/{k}>word{k}</a></li>" for k in range(12)) + "</ul></div>"
+    for extra in (links, "<div>Buy now.</div>", "<div>© 2024 by us</div>", "<div><p>Now in shops.</p></div>"):
+        assert tagpath.main_text(f"{extra}<section>{inside}</section>").split("\n") == BODY, extra
+        assert tagpath.main_text(f"<section>{inside}</section>{extra}").split("\n") == BODY, extra
+
+
+def test_lists_of_plain_words_in_the_body_stay():
+    inside = "".join(f"<p>{x}</p>" for x in BODY)
+    page = f"<div>Ad.</div><section>{inside}<ul><li>one</li><li>two</li></ul></section>"
+    assert tagpath.main_text(page).split("\n") == [*BODY, "one", "two"]
+
+
+def test_pages_of_one_link_and_pages_of_furniture_only():
+    assert tagpath.main_text("<div><a href=/>All there is</a></div>") == "All there is"
+    assert tagpath.main_text("<nav><a href=/>Home</a></nav><footer>Some words, here.</footer>") == ""
+    assert tagpath.main_text("<article></article><div class='comments'><p>I say, no. No!</p></div>") == ""
