@@ -1,24 +1,21 @@
 """Format-preserving pseudonyms for personal data: keyed Feistel permutations, all in SQL functions.
 
-Found and validated:
-
-=======  =====================================================  ==============================
-kind     valid if                                               what is permuted
-=======  =====================================================  ==============================
-email    local part, ``@``, domain with a letter-only ending    characters of the local part
-ipv4     four numbers up to 255                                 the 32-bit address
-iban     remainder 1 of 97                                      the account; check digits renewed
-date     a day from 1800-01-01 to 2199-12-31 (ISO, d/m/y, d.m.y)  the day among 146,097
-ssn      area not 000, 666 or 9xx, group and serial not zero    the number among all valid ones
-card     13 to 19 digits with a right Luhn digit                digits before the check digit
-phone    country code, area, exchange, line                     digits after the country code
-secret   16 or more hex digits after token, key, secret ...     the hex digits
-=======  =====================================================  ==============================
+Found and validated, and what is permuted:
+
+* email: a local part, an at sign, a domain that ends in letters; the characters of the local part;
+* ipv4: four numbers up to 255; the 32-bit address;
+* iban: remainder 1 of 97; the account, after which the check digits are renewed;
+* date: a day of the years 1800 to 2199 in ISO, d/m/y or d.m.y form; the day among 146,097;
+* ssn: no area 000, 666 or 9xx, no group or serial of zeros; the number among all valid ones;
+* card: an issuer's first digits and length, a right Luhn digit; the digits from the fifth to the one before the last;
+* phone: area, exchange and line; the digits after the country code;
+* secret: 16 or more hex digits after token, key, secret and the like; the hex digits.
 
 Each format is a finite set and each map a permutation of it: a Feistel network over two
 halves, either numbers of sizes a and b (each round adds a keyed hash of one half to the
 other, modulo its size) or halves of a string (each round shifts every character within its
-class: digits, capitals, small letters). A value therefore always gets the same pseudonym,
+class). Classes are digits, capitals, small letters, and in addresses the ``SCRIPTS``: runs of
+letters without gaps; other characters stay. A value therefore always gets the same pseudonym,
 wherever it stands, two values never share one, and the result is valid again. 400 Gregorian
 years have 146,097 = 189 x 773 days, so dates need no walking back into range.
 
@@ -36,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callboard.llm.blocks import free_names
+
 ROUNDS = 8
 
 # The formats, in the order in which they are tried.
@@ -60,6 +59,21 @@ FORMATS = {
     "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
     "secret": r"(?i:token|key|secret|password|passwd)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[0-9a-fA-F]{16,256}(?![0-9A-Za-z])",
 }
+# Runs of letters of one script (and one case, where the script lists cases apart), without gaps.
+SCRIPTS = (
+    (0xC0, 0xD6), (0xD8, 0xDE), (0xE0, 0xF6), (0xF8, 0xFE),  # Latin-1 but for its two signs
+    (0x100, 0x17F), (0x180, 0x1BF), (0x1C4, 0x24F),  # Latin Extended
+    (0x391, 0x3A1), (0x3A3, 0x3AB), (0x3B1, 0x3CE), (0x400, 0x40F), (0x410, 0x42F), (0x430, 0x44F), (0x450, 0x45F), (0x460, 0x481),
+    (0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x671, 0x6D3), (0x904, 0x939), (0x985, 0x98C), (0x995, 0x9A8),
+    (0xE01, 0xE30), (0x10D0, 0x10FA), (0x1E00, 0x1EFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312F), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FEF), (0xAC00, 0xD7A3),
+)
+# First digits and lengths of card issuers. Four digits at most decide, and they stay.
+_ISSUED = (
+    "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}"
+    "|3[47][0-9]{13}|(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12,15}|(?:30[0-5]|3[689][0-9])[0-9]{11}"
+    "|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|62[0-9]{14,17}|(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15})$"
+)
 # What a card doesn't swallow at its start or after a space, unless a hyphen ties it to more digits.
 _OTHER = rf"(?!(?:[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}|{_SSN}|{_DATE}|{_IPV4})(?![A-Za-z0-9]|[.-][0-9]))"
 _CARDS = [rf"(?<![A-Za-z0-9]){_OTHER}(?=([0-9](?:(?:-| {_OTHER})?[0-9]){{{n - 1}}})(?![A-Za-z0-9]))" for n in range(13, 20)]
@@ -98,20 +112,28 @@ class _Keyed:
             f"named_struct('x', s.x, 'y', (s.y + {drawn('s.x')}) % {b}L)), s -> {then})"
         )
 
-    def string(self, kind: str, value: str, letters: int = 26) -> str:
-        """A Feistel network on the halves of a string; characters stay in their class.
+    def string(self, kind: str, value: str, letters: int = 26, scripts: bool = False) -> str:
+        """A Feistel network on the halves of a string; characters stay in their class, ones without a class as they are.
 
-        Letters beyond Latin-1 have no class of their own here and become small letters.
+        ``scripts`` adds the classes of ``SCRIPTS``.
         """
 
         def mixed(half: str, other: str) -> str:
-            draw = f"CAST(conv(substr({self._hash(kind, 'r', other)}, 1 + (2 * i) % 62, 3), 16, 10) AS INT)"
-            kept = lambda low, size: f"chr({low} + (ascii(c) - {low} + {draw}) % {size})"
+            def draw(digits: int) -> str:
+                return f"CAST(conv(substr({self._hash(kind, 'r', other)}, 1 + (2 * i) % {65 - digits}, {digits}), 16, 10) AS INT)"
+
+            kept = lambda low, size: f"chr({low} + (ascii(c) - {low} + {draw(3)}) % {size})"
+            wide, characters = "", f"split({half}, '')"
+            if scripts:
+                # By code points: splitting would cut those beyond 16 bits in two.
+                characters = f"if(length({half}) = 0, array(), transform(sequence(1, length({half})), j -> substr({half}, j, 1)))"
+                moved = lambda low, high: f"{low} + (ascii(c) - {low} + {draw(7)}) % {high - low + 1}"
+                cases = " ".join(f"WHEN ascii(c) BETWEEN {low} AND {high} THEN decode(unhex(lpad(hex({moved(low, high)}), 4, '0')), 'UTF-16BE')" for low, high in SCRIPTS)
+                wide = f"WHEN ascii(c) < 192 THEN c {cases} "
             return (
-                f"array_join(transform(split({half}, ''), (c, i) -> CASE "
+                f"array_join(transform({characters}, (c, i) -> CASE "
                 f"WHEN c BETWEEN '0' AND '9' THEN {kept(48, 10)} WHEN c BETWEEN 'A' AND 'Z' AND ascii(c) < {65 + letters} THEN {kept(65, letters)} "
-                f"WHEN c BETWEEN 'a' AND 'z' AND ascii(c) < {97 + letters} THEN {kept(97, letters)} "
-                f"WHEN ascii(c) BETWEEN 192 AND 255 THEN {kept(192, 64)} WHEN ascii(c) > 255 THEN chr(97 + {draw} % 26) ELSE c END), '')"
+                f"WHEN c BETWEEN 'a' AND 'z' AND ascii(c) < {97 + letters} THEN {kept(97, letters)} {wide}ELSE c END), '')"
             )
 
         return (
@@ -154,7 +176,7 @@ def _digits(m: str) -> str:
 
 
 def _card_ok(m: str) -> str:
-    return f"{_luhn(_digits(m))} % 10 = 0"
+    return f"({_digits(m)} RLIKE {_sql(_ISSUED)} AND {_luhn(_digits(m))} % 10 = 0)"
 
 
 def _iban_ok(m: str) -> str:
@@ -175,7 +197,7 @@ def _parts(k: _Keyed, m: str) -> dict[str, tuple[str, str]]:
         f"(CAST(substr({m}, 5, 2) AS INT) - 1) * 9999 + CAST(substr({m}, 8, 4) AS INT) - 1", 99 * 9999,
         "concat(lpad(CAST(s.x + if(s.x >= 665, 2, 1) AS STRING), 3, '0'), '-', lpad(CAST(s.y div 9999 + 1 AS STRING), 2, '0'), '-', lpad(CAST(s.y % 9999 + 1 AS STRING), 4, '0'))",
     )
-    body = k.string("card", f"substr({digits}, 1, length({digits}) - 1)")
+    body = f"concat(substr({digits}, 1, 4), {k.string('card', f'substr({digits}, 5, length({digits}) - 5)')})"
     card = let(body, "p", let(f"concat(p, CAST((10 - {_luhn("concat(p, '0')")} % 10) % 10 AS STRING))", "q", _same_shape(m, "q")))
     account = k.string("iban", f"substr({compact}, 5)")
     iban = let(account, "p", f"concat(substr({m}, 1, 2), lpad(CAST(98 - {_mod97(f"concat(p, substr({m}, 1, 2), '00')")} AS STRING), 2, '0'), p)")
@@ -186,7 +208,7 @@ def _parts(k: _Keyed, m: str) -> dict[str, tuple[str, str]]:
     secret = f"concat(substr({m}, 1, length({m}) - length({hexes})), {k.string('secret', hexes, 6)})"
     local = f"substring_index({m}, '@', 1)"
     return {
-        "email": ("true", f"concat({k.string('email', local)}, substr({m}, length({local}) + 1))"),
+        "email": ("true", f"concat({k.string('email', local, scripts=True)}, substr({m}, length({local}) + 1))"),
         "ipv4": ("true", k.numbers("ipv4", f"{octet(0)} * 256 + {octet(1)}", 65536, f"{octet(2)} * 256 + {octet(3)}", 65536, address)),
         "iban": (_iban_ok(m), iban),
         "date": (f"{day} IS NOT NULL", let(day, "d", new_day("d"))),
@@ -227,15 +249,16 @@ def replace(docs: DataFrame, key: str, text: str = "text", kinds: str | None = N
     equal rows stay equal; an empty table stays empty. The key is part of the plan: take it
     from a secret store and don't publish query plans.
     """
-    some = F.col("_text_").rlike("[0-9@]")
-    picked = docs.withColumn("_text_", F.col(text).cast("string"))
-    pieces = f"if(_text_ RLIKE {_sql(_CHECKED)}, split(_text_, {_sql(_BREAK)}, -1), array(_text_))"
+    source, result = free_names([*docs.columns, *filter(None, (kinds, found))], "text_", "new_")
+    some = F.col(source).rlike("[0-9@]")
+    picked = docs.withColumn(source, F.col(text).cast("string"))
+    pieces = f"if({source} RLIKE {_sql(_CHECKED)}, split({source}, {_sql(_BREAK)}, -1), array({source}))"
     new = f"transform(regexp_extract_all(piece, cut, 0), m -> {pseudonym('m', key)})"
     merged = "array_join(zip_with(split(piece, cut, -1), new, (g, n) -> concat(g, coalesce(n.text, ''))), '')"
     done = _let(new, "new", f"named_struct('text', if(size(new) > 0, {merged}, piece), 'kinds', transform(new, n -> n.kind))")
-    picked = picked.withColumn("_new_", F.when(some, F.expr(f"transform({pieces}, piece -> {_let(_pattern('piece'), 'cut', done)})")))
-    put = F.when(F.expr("exists(_new_, n -> size(n.kinds) > 0)"), F.expr("array_join(transform(_new_, n -> n.text), '')")).otherwise(F.col("_text_"))
-    listed = F.expr("coalesce(filter(flatten(transform(_new_, n -> n.kinds)), x -> x IS NOT NULL), array())").cast("array<string>")
+    picked = picked.withColumn(result, F.when(some, F.expr(f"transform({pieces}, piece -> {_let(_pattern('piece'), 'cut', done)})")))
+    put = F.when(F.expr(f"exists({result}, n -> size(n.kinds) > 0)"), F.expr(f"array_join(transform({result}, n -> n.text), '')")).otherwise(F.col(source))
+    listed = F.expr(f"coalesce(filter(flatten(transform({result}, n -> n.kinds)), x -> x IS NOT NULL), array())").cast("array<string>")
     extra = ([listed.alias(kinds)] if kinds else []) + ([F.size(listed).cast("bigint").alias(found)] if found else [])
     kept = [put.alias(c) if c == text else F.col(c) for c in docs.columns if c not in (kinds, found)]
     return picked.select(*kept, *extra)

@@ -1,9 +1,12 @@
 """Pseudonyms: permutations of their formats, valid again, equal for equal values."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from callboard.llm import pii, queries
 
@@ -109,3 +112,50 @@ def test_neighbouring_numbers_are_all_found(changed):
 def test_long_lines_of_numbers_end(changed):
     got = changed(["\n".join(f"{k}, {k * 7} {k * 13} 555-123-4567" for k in range(2000))])
     assert got[0]["n"] >= 2000 and "555-123-4567" not in got[0]["text"]
+
+
+def test_addresses_of_four_scripts_are_permuted_and_stay_addresses(spark):
+    """100,000 distinct addresses: as many pseudonyms, all of them valid and of the same script."""
+    places = {"a": (97, 26), "б": (0x430, 32), "α": (0x3B1, 30), "é": (0xE0, 23)}
+    words = []
+    for low, size in places.values():
+        letters = [chr(low + k) for k in range(size)]
+        words += [a + b + c + str(n % 10) for n, (a, b, c) in enumerate((x, y, z) for x in letters for y in letters for z in letters)]
+    rng = random.Random(1)
+    words += ["".join(rng.choice("abc.бвαβéøÀÞ漢字한글カあกא𝐀") for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
+    frame = spark.createDataFrame([(w,) for w in sorted(set(words))], "w string").withColumn("text", F.concat("w", F.lit("@mail.example.com")))
+    assert frame.count() > 100_000
+    found = pii.replace(frame.repartition(8), "k", found="n").cache()
+    assert found.where("n <> 1").count() == 0
+    assert found.select("text").distinct().count() == frame.count()
+    valid = F.col("text").rlike("^(?:" + pii.FORMATS["email"] + ")$")
+    assert found.where(~valid | (F.length("text") != F.length("w") + 17)).count() == 0
+    assert found.where("text = concat(w, '@mail.example.com')").count() < 60  # what has no class, and chance
+    for low, size in places.values():
+        first = F.ascii("w").between(low, low + size - 1)
+        assert found.where(first & (F.length("w") == 4) & ~F.ascii("text").between(low, low + size - 1)).count() == 0
+
+
+def test_scripts_are_letters_without_gaps_or_overlap():
+    letter = regex.compile(r"\p{L}")
+    seen = set()
+    for low, high in pii.SCRIPTS:
+        points = set(range(low, high + 1))
+        assert not points & seen and all(letter.match(chr(p)) for p in points), hex(low)
+        seen |= points
+
+
+def test_cards_need_an_issuer_and_keep_it(changed):
+    good = ["4111111111111111", "4222222222222", "5555555555554444", "2223003122003222", "378282246310005", "6011111111111117", "30569309025904", "3530111333300000", "6200000000000005"]
+    bad = ["1234567812345670", "9999999999999995", "41111111111111", "0000000000000000"]
+    assert all(map(luhn, good))
+    rows = changed(good + bad)
+    assert [r["kinds"] for r in rows] == [["card"]] * len(good) + [[]] * len(bad)
+    for old, row in zip(good, rows):
+        assert row["text"][:4] == old[:4] and row["text"] != old and luhn(row["text"]) and len(row["text"]) == len(old)
+
+
+def test_columns_of_the_same_names_are_left_alone(spark):
+    frame = spark.createDataFrame([(1, "call t@b.com now", "call a@b.com now", "x", "y")], "doc_id int, text string, text_ string, new_ string, _text_ string")
+    row = pii.replace(frame, "k", kinds="kinds", found="n").first()
+    assert (row["text_"], row["new_"], row["_text_"], row["n"]) == ("call a@b.com now", "x", "y", 1) and "t@b.com" not in row["text"]
