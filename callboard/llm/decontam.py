@@ -7,13 +7,18 @@ between and after, so a window occurs exactly where its normalised bytes do.
 
 Windows are cut into blocks of a bounded size by their hash. Spark writes the blocks to the
 shared folder and hands them to the executors as files; a task holds the tables of one block
-at a time, so neither the driver nor a task ever holds a whole benchmark. For each block:
+at a time, so neither the driver nor a task ever holds a whole benchmark. Where there are several
+blocks, a task holds ``HELD`` bytes of text and takes each block past all of it. For each block:
 
 * windows of like length share a shift table, keyed by the hash of the ``BLOCK`` bytes that
   end at a position: how far the search may jump because no window can end sooner;
-* where the shift is 0, a bucket keyed by a hash of a longer suffix selects windows;
+* where the shift is 0, a bucket keyed by a hash of the suffix that all windows of the group
+  are long enough for, 64 bytes and more for most, selects lengths of windows, and a hash of that many bytes
+  the windows themselves: so thousands of windows that end alike cost a look-up each, not a comparison;
 * a direct comparison of all bytes confirms each occurrence.
 
+Hashes of any stretch of a buffer come from one running sum over it, modulo 2**64.
+
 A batch's texts stand in one buffer. It is cut into lanes whose positions jump together as
 numpy arrays; a lane reports the occurrences that end in it and may look back before it.
 """
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callboard.llm import workspace
+from callboard.llm.blocks import free_names
 
 #: Bytes of window text in one block of patterns at most, about.
 BLOCK_BYTES = 16 << 20
@@ -40,6 +46,8 @@ BLOCK = 4
 _BITS = 18
 #: Bytes of normalised text searched together.
 PART = 4 << 20
+#: Bytes of normalised text that wait for all blocks of patterns.
+HELD = 48 << 20
 _LANES = 2048
 
 _TABLE = bytes(
@@ -70,12 +78,35 @@ class Patterns:
     def search(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ends (exclusive) and pattern numbers of all occurrences in a buffer."""
         buffer = np.frombuffer(text, np.uint8)
-        found = [g.search(text, buffer) for g in self.groups]
+        sums = _Sums(buffer)
+        found = [g.search(text, buffer, sums) for g in self.groups]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Sums:
+    """Hashes of stretches of a buffer: the sum of byte * base**-place, moved to place 0."""
+
+    def __init__(self, buffer: np.ndarray):
+        factors = np.full(len(buffer), _INVERSE, np.uint64)
+        if len(factors):
+            factors[0] = 1
+        weights = np.cumprod(factors)
+        self.sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * weights, out=self.sums[1:])
+        factors[1:] = _BASE
+        self.back = np.cumprod(factors)
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * self.back[start]
+
+
 def _mixed(value: np.ndarray, bits: int) -> np.ndarray:
     return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -95,7 +126,6 @@ class _Group:
         self.windows, self.numbers = windows, numbers
         self.least = min(map(len, windows))
         self.block = min(BLOCK, self.least)
-        self.suffix = min(8, self.least)
         text = np.frombuffer(b"".join(windows), np.uint8)
         stops = np.cumsum([len(w) for w in windows])
         starts = stops - np.array([len(w) for w in windows])
@@ -105,15 +135,19 @@ class _Group:
         for back in range(widest - 1, -1, -1):
             slot = _mixed(_ending(text, stops - 1 - back, self.block), _BITS)
             self.shift[slot] = np.minimum(self.shift[slot], back)
-        ends = _ending(text, stops - 1, self.suffix)
-        order = np.argsort(ends, kind="stable")
-        self.suffixes, first = np.unique(ends[order], return_index=True)
-        self.bucket_at = np.r_[first, len(windows)]
-        self.bucket = order
         self.sizes = stops - starts
+        sums = _Sums(text)
+        tail, whole = sums.hashes(stops - self.least, stops), sums.hashes(starts, stops)
+        # Buckets by suffix hold the lengths of their windows; buckets by whole hash the windows.
+        pairs = np.unique(np.rec.fromarrays([tail, self.sizes], names="tail,size"))
+        self.suffixes, first = np.unique(pairs["tail"], return_index=True)
+        self.length_at, self.length = np.r_[first, len(pairs)], pairs["size"].astype(np.int64)
+        self.bucket = np.argsort(whole, kind="stable")
+        self.wholes, first = np.unique(whole[self.bucket], return_index=True)
+        self.bucket_at = np.r_[first, len(windows)]
 
-    def search(self, text: bytes, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = max(self.suffix, self.least) - 1
+    def search(self, text: bytes, buffer: np.ndarray, sums: _Sums) -> tuple[np.ndarray, np.ndarray]:
+        first = self.least - 1
         if len(buffer) <= first:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lanes = min(_LANES, max(1, (len(buffer) - first) // 64))
@@ -127,20 +161,30 @@ class _Group:
                 if not len(at):
                     break
             shift = self.shift[_mixed(_ending(buffer, at, self.block), _BITS)]
-            stand = at[shift == 0]
+            stand = at[shift == 0] + 1
             if len(stand):
-                ending = _ending(buffer, stand, self.suffix)
-                where = np.minimum(np.searchsorted(self.suffixes, ending), len(self.suffixes) - 1)
-                good = np.flatnonzero(self.suffixes[where] == ending)
-                for end, slot in zip((stand[good] + 1).tolist(), where[good].tolist()):
-                    for i in self.bucket[self.bucket_at[slot] : self.bucket_at[slot + 1]].tolist():
-                        if end >= self.sizes[i] and text.endswith(self.windows[i], 0, end):
-                            ends.append(end)
+                slot, good = _found(self.suffixes, sums.hashes(stand - self.least, stand))
+                stand, slot = stand[good], slot[good]
+                count = self.length_at[slot + 1] - self.length_at[slot]
+                end = np.repeat(stand, count)
+                size = self.length[np.arange(len(end)) + np.repeat(self.length_at[slot] - (np.cumsum(count) - count), count)]
+                end, size = end[end >= size], size[end >= size]
+                slot, good = _found(self.wholes, sums.hashes(end - size, end))
+                for e, k in zip(end[good].tolist(), slot[good].tolist()):
+                    for i in self.bucket[self.bucket_at[k] : self.bucket_at[k + 1]].tolist():
+                        if e >= self.sizes[i] and text.endswith(self.windows[i], 0, e):
+                            ends.append(e)
                             hits.append(int(self.numbers[i]))
             at = at + np.maximum(shift, 1)
         return np.array(ends, np.int64), np.array(hits, np.int64)
 
 
+def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked values among the known ascending ones, and which of them are there."""
+    place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return place, np.flatnonzero(known[place] == asked)
+
+
 @lru_cache(maxsize=1)
 def _block(name: str) -> Patterns:
     table = pq.read_table(SparkFiles.get(name))
@@ -173,7 +217,7 @@ def publish(items: DataFrame, key: str = "item_id", text: str = "text", width: i
     kept = workspace.written(
         found.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")), f"{base}/all"
     )
-    size = kept.agg(F.sum(F.octet_length("window"))).first()[0] or 0
+    size = kept.agg(F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", ",")))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
     dealt = kept.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
     dealt.repartition(blocks, "block").write.partitionBy("block").parquet(f"{base}/blocks")
@@ -184,26 +228,35 @@ def publish(items: DataFrame, key: str = "item_id", text: str = "text", width: i
     return [file.rsplit("/", 1)[1] for file in files]
 
 
-def _judged(texts: list[bytes], blocks: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """Per normalised text: its words, the spans of hit words, the items found."""
-    starts = np.cumsum([0, *map(len, texts)])
-    whole = b"".join(texts)
-    spaces = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
-    words = [max(0, t.count(b" ") - 1) for t in texts]
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for name in blocks:
-        patterns = _block(name)
-        ends, hits = patterns.search(whole)
-        rows = np.searchsorted(starts, ends - 1, side="right") - 1
+class _Part:
+    """Normalised texts in one buffer, with what was found in each so far."""
+
+    def __init__(self, texts: list[bytes]):
+        self.starts = np.cumsum([0, *map(len, texts)])
+        self.whole = b"".join(texts)
+        self.spaces = np.flatnonzero(np.frombuffer(self.whole, np.uint8) == 32)
+        self.words = [max(0, t.count(b" ") - 1) for t in texts]
+        self.spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def judge(self, patterns: Patterns) -> None:
+        ends, hits = patterns.search(self.whole)
+        rows = np.searchsorted(self.starts, ends - 1, side="right") - 1
         for end, hit, row in zip(ends.tolist(), hits.tolist(), rows.tolist()):
             begin = end - len(patterns.windows[hit])
-            if begin >= starts[row]:
-                zero = np.searchsorted(spaces, starts[row])
-                low, high = np.searchsorted(spaces, (begin, end - 1)) - zero
-                spans[row].append((int(low), int(high)))
-                items[row].update(patterns.items[hit])
-    return list(zip(words, (_union(s) for s in spans), items))
+            if begin >= self.starts[row]:
+                zero = np.searchsorted(self.spaces, self.starts[row])
+                low, high = np.searchsorted(self.spaces, (begin, end - 1)) - zero
+                self.spans[row].append((int(low), int(high)))
+                self.items[row].update(patterns.items[hit])
+
+    def found(self) -> list[dict]:
+        """Per text: its words, the spans of hit words and their number, the items found."""
+        out = []
+        for n, spans, items in zip(self.words, map(_union, self.spans), self.items):
+            shown = [{"start": a, "stop": b} for a, b in spans]
+            out.append({"n_words": n, "spans": shown, "n_hit": sum(b - a for a, b in spans), "items": sorted(items)})
+        return out
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -240,22 +293,37 @@ def occurrences(docs: DataFrame, blocks: list[str], text: str = "text", found: s
     shown = len(kept) + keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list[_Part]]] = []
+        waiting = 0
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            for name in blocks:
+                patterns = _block(name)
+                for _, parts in held:
+                    for part in parts:
+                        part.judge(patterns)
+            for batch, parts in held:
+                out = pa.array([row for part in parts for row in part.found()], _ARROW)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:shown], out], schema=pa.schema([*list(batch.schema)[:shown], pa.field(found, _ARROW)]))
+            held.clear()
+
         for batch in batches:
-            rows: list = []
-            part: list[bytes] = []
+            parts: list[_Part] = []
+            texts: list[bytes] = []
             size = 0
             for value in batch.column(batch.num_columns - 1):
-                part.append(normalised(value.as_py()))
-                size += len(part[-1])
+                texts.append(normalised(value.as_py()))
+                size += len(texts[-1])
                 if size > PART:
-                    rows += _judged(part, blocks)
-                    part, size = [], 0
-            rows += _judged(part, blocks)
-            out = [
-                {"n_words": n, "spans": [{"start": a, "stop": b} for a, b in spans], "n_hit": sum(b - a for a, b in spans), "items": sorted(items)}
-                for n, spans, items in rows
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:shown], pa.array(out, _ARROW)], schema=pa.schema([*list(batch.schema)[:shown], pa.field(found, _ARROW)]))
+                    parts.append(_Part(texts))
+                    waiting, texts, size = waiting + size, [], 0
+            parts.append(_Part(texts))
+            waiting += size
+            held.append((batch, parts))
+            if len(blocks) < 2 or waiting > HELD:
+                yield from judged()
+                waiting = 0
+        yield from judged()
 
     return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:shown], T.StructField(found, _FOUND)]))
 
@@ -267,8 +335,9 @@ def contaminated(found: str = "found") -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", width: int = 13) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    blocks = publish(items, key, width=width)
-    return occurrences(docs, blocks, text, "_found_", keep_text=True).where(~contaminated("_found_")).select(*docs.columns)
+    (found,) = free_names(docs.columns, "found_")
+    judged = occurrences(docs, publish(items, key, width=width), text, found, keep_text=True)
+    return judged.where(~contaminated(found)).select(*docs.columns)
 
 
 def items_digest(items: Column) -> Column:
