@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callboard.llm import transducer, workspace
+from callboard.llm.blocks import free_names
 
 #: Words in the lexicon at most; bounds the file, and what the driver sees of the corpus.
 LEXICON_WORDS = 1 << 15
@@ -459,7 +460,8 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", col
                 yield pa.RecordBatch.from_arrays([*kept, found], schema=pa.schema([*list(batch.schema)[:-1], pa.field(ids, pa.binary())]))
                 done += part
 
-    picked = docs.select(*columns, F.col(text).cast("string").alias("_text_"))
+    (whole,) = free_names(columns, "text_")
+    picked = docs.select(*columns, F.col(text).cast("string").alias(whole))
     return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], T.StructField(ids, T.BinaryType())]))
 
 

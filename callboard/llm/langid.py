@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callboard.llm.blocks import free_names
+
 PIECE_BYTES = 7
 #: Short enough that no product of probabilities underflows.
 WORD_BYTES = 40
@@ -315,4 +317,5 @@ def keep_identified(docs: DataFrame, pieces_path: str, key: str = "doc_id", text
     model = fit(docs.where(~held_out(key)), pieces_path, lang, text)
     if not model.languages:
         return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
-    return identify(docs, model, text, "_lang_", "_score_", keep_text=True).where(F.col("_lang_") != UNKNOWN).select(*docs.columns)
+    found, score = free_names(docs.columns, "lang_", "score_")
+    return identify(docs, model, text, found, score, keep_text=True).where(F.col(found) != UNKNOWN).select(*docs.columns)

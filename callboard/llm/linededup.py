@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callboard.llm import workspace
+from callboard.llm.blocks import free_names
 from callboard.operators import joins
 
 #: A line on more than this share of a site's pages is boilerplate ...
@@ -52,17 +53,18 @@ def without_boilerplate(
     """
     found = boilerplate(pages, site, text, ratio, least)
     found = workspace.written(found, workspace.folder(pages.sparkSession, "lines"))
-    marked = joins.lookup(pages, found, {site: "_site"}, ["_drop"], spread=True)
+    drop, kept_lines = free_names([*pages.columns, *filter(None, (n_lines, n_dropped))], "drop_", "stay_")
+    marked = joins.lookup(pages, found.withColumnRenamed("_drop", drop), {site: "_site"}, [drop], spread=True)
     lines = F.split(F.col(text), "\n")
-    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", _digest(x)), F.lit(False)))
-    some = F.col("_drop").isNotNull() & F.col(text).isNotNull()
-    marked = marked.withColumn("_stay", F.when(some, stay))
+    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(drop, _digest(x)), F.lit(False)))
+    some = F.col(drop).isNotNull() & F.col(text).isNotNull()
+    marked = marked.withColumn(kept_lines, F.when(some, stay))
     counts = {}
     if n_lines:
         counts[n_lines] = F.coalesce(F.size(lines), F.lit(0)).cast("bigint")
     if n_dropped:
-        counts[n_dropped] = F.when(some, F.size(lines) - F.size("_stay")).otherwise(0).cast("bigint")
-    kept = [F.when(F.col("_stay").isNotNull(), F.array_join("_stay", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in pages.columns if c not in counts]
+        counts[n_dropped] = F.when(some, F.size(lines) - F.size(kept_lines)).otherwise(0).cast("bigint")
+    kept = [F.when(F.col(kept_lines).isNotNull(), F.array_join(kept_lines, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in pages.columns if c not in counts]
     return marked.select(*kept, *[F.when(F.col(text).isNull(), 0).otherwise(v).cast("bigint").alias(c) for c, v in counts.items()])
 
 

@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callboard.llm.blocks import free_names
+
 #: Slots of the table, a prime: over 200 slots for each of 256 shards.
 SIZE = 65_537
 
@@ -81,10 +83,11 @@ def place(
     table stays empty.
     """
     kept = [F.col(c) for c in rows.columns if c not in (slot, shard)]
-    owners = table(rows.sparkSession, shards, size, weights).select(F.col("slot").alias("_slot_"), F.col("shard").alias("_shard_"))
+    place_, owner = free_names([*rows.columns, slot, shard], "slot_", "shard_")
+    owners = table(rows.sparkSession, shards, size, weights).select(F.col("slot").alias(place_), F.col("shard").alias(owner))
     placed = rows.select(*kept, slot_of(keys, size).alias(slot))
-    joined = placed.join(F.broadcast(owners), F.col(slot) == F.col("_slot_"))
-    return joined.select(*[c for c in placed.columns if c != slot], slot, F.col("_shard_").alias(shard))
+    joined = placed.join(F.broadcast(owners), F.col(slot) == F.col(place_))
+    return joined.select(*[c for c in placed.columns if c != slot], slot, F.col(owner).alias(shard))
 
 
 def write(placed: DataFrame, path: str, rows_per_file: int = 1_000_000, shard: str = "shard") -> None:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callboard.llm import components, workspace
+from callboard.llm.blocks import free_names
 from callboard.operators import joins
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -192,7 +193,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     Rows go by key and text, so of rows that share a key those with other texts are judged
     by their own components; rows that repeat the kept key stay with it.
     """
-    hashed = docs.withColumn("_digest_", F.xxhash64(F.col(text).cast("string")))
-    found = _components(hashed, key, text, width, radius, "_digest_")
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone"), F.col("_digest_").alias("_text_")).distinct()
-    return joins.without_match(hashed, gone, {key: "_gone", "_digest_": "_text_"}, spread=True).select(*docs.columns)
+    (digest,) = free_names([*docs.columns, "id", "fp", "component_id"], "digest_")
+    hashed = docs.withColumn(digest, F.xxhash64(F.col(text).cast("string")))
+    found = _components(hashed, key, text, width, radius, digest)
+    gone = found.where(F.col("id") != F.col("component_id")).select("id", digest).distinct()
+    return joins.without_match(hashed, gone, {key: "id", digest: digest}, spread=True).select(*docs.columns)
