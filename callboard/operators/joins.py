@@ -27,14 +27,16 @@ def join_on(
     The right key columns are renamed for the join and dropped after it, so tables may
     share column names.
     """
-    keys = [F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]
-    match = [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)]
-    helpers = [f"_k{i}" for i in range(len(on))]
+    prefix = "_k"
+    while any(c.lower().startswith(prefix) for c in [*df.columns, *columns]):
+        prefix = f"_{prefix}"
+    helpers = [f"{prefix}{i}" for i in range(len(on) + spread)]
+    keys = [F.col(r).alias(name) for r, name in zip(on.values(), helpers)]
+    match = [F.col(left) == F.col(name) for left, name in zip(on, helpers)]
     if spread:
         left_hash, right_hash = _hashes(df, other, on)
-        keys.append(right_hash.alias("_h"))
-        match.append(left_hash == F.col("_h"))
-        helpers.append("_h")
+        keys.append(right_hash.alias(helpers[-1]))
+        match.append(left_hash == F.col(helpers[-1]))
     joined = df.join(other.select(*keys, *columns), match, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*helpers)
 
