@@ -7,13 +7,15 @@ are pieces, so every text can be cut. A text's log-likelihood adds up its words,
 score is the language's posterior under equal priors.
 
 Words are lower-cased runs without ASCII digits, punctuation or white space, written with
-one space in front, as the vocabulary has them. A run of over ``WORD_BYTES`` bytes counts as
-several words. Pieces have at most ``PIECE_BYTES`` bytes, so each fits into one 64-bit key;
-the forward pass of all distinct words of a batch runs in step, grouped by length, for all
-languages at once.
+one space in front, as the vocabulary has them. All pieces of the vocabulary count, whatever
+their length, and words aren't cut short: up to eight bytes a piece's key is the piece, a longer one's key
+is a hash of it, and bytes are compared where a hash is found. The forward pass of
+the distinct words of a batch runs in step, grouped by length, for all languages at once; over
+words of more than ``STEP_BYTES`` it is rescaled every few bytes, and a few long words of one length go one by one.
 
 Learning is expectation-maximisation over the word counts of a bounded sample of labelled
-documents: Spark counts words, tasks compute expected piece counts, one aggregate sums them.
+documents: Spark counts words, tasks compute expected piece counts, one aggregate sums them in
+whole numbers, so the model doesn't depend on the order in which rows arrive.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +34,14 @@ from pyspark.sql import types as T
 
 from callboard.llm.blocks import free_names
 
-PIECE_BYTES = 7
-#: Short enough that no product of probabilities underflows.
-WORD_BYTES = 40
+#: Words of so many bytes, space included, need no rescaling: no product of probabilities underflows.
+STEP_BYTES = 41
+#: Bytes between rescalings.
+RESCALE = 16
+#: Words of like length from which on long ones go in step.
+TOGETHER = 128
+#: Expected counts are summed in units of 2**-20.
+UNIT = 1 << 20
 #: Labelled documents per language that a model is fitted on, in expectation and at most
 #: counting each text once; they are chosen by the hash of their text.
 DOCS_PER_LANGUAGE = 400
@@ -49,14 +56,19 @@ _TABLE = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The pieces of a rank file (base64 piece and rank per line) that are short enough, and all bytes."""
+    """The pieces of a rank file (base64 piece and rank per line), and all bytes."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return sorted({p for p in pieces if len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)})
+    return sorted(pieces | {bytes([b]) for b in range(256)})
 
 
-def _key(pieces: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(p, "big") | len(p) << 56 for p in pieces], np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _longer(value: np.ndarray, byte: np.ndarray, size: int) -> np.ndarray:
+    """The keys of stretches of ``size`` bytes from those without their first byte."""
+    byte = byte.astype(np.uint64)
+    return value | byte << np.uint64(8 * (size - 1)) if size <= 8 else value * _BASE + byte
 
 
 class _Places:
@@ -90,89 +102,194 @@ class _Places:
         return place
 
 
+class _Lookup:
+    """Finds pieces by length and key."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.none = len(pieces)
+        by_size: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by_size.setdefault(len(p), []).append(i)
+        self.longest = max(by_size)
+        self.tables = {}
+        for size, numbers in by_size.items():
+            text = np.frombuffer(b"".join(pieces[i] for i in numbers), np.uint8).reshape(-1, size)
+            keys = np.zeros(len(numbers), np.uint64)
+            for k in range(1, size + 1):
+                keys = _longer(keys, text[:, size - k], k)
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two pieces have one key")
+            self.tables[size] = _Places(keys), np.array([*numbers, self.none]), text
+
+    def find(self, size: int, keys: np.ndarray, stretch: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Numbers of the pieces with these keys, ``none`` where there is none; ``stretch`` gives the bytes of some rows."""
+        places, numbers, text = self.tables[size]
+        place = places.find(keys)
+        if size > 8:
+            hit = np.flatnonzero(place < len(text))
+            wrong = hit[(text[place[hit]] != stretch(hit)).any(axis=1)] if len(hit) else hit
+            place[wrong] = len(text)
+        return numbers[place]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text in bytes, without the space in front."""
-    found = (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
-    if any(len(w) > WORD_BYTES for w in found):
-        found = [w[i : i + WORD_BYTES] for w in found for i in range(0, len(w), WORD_BYTES)]
-    return found
+    return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
 
 
 @dataclass
 class Model:
-    """Languages, piece keys and a (pieces + 1) x languages table of probabilities; its last row is 0."""
+    """Languages, pieces and a (pieces + 1) x languages table of probabilities; its last row is 0."""
 
     languages: list[str]
-    keys: np.ndarray
+    pieces: list[bytes]
     table: np.ndarray
 
     def __post_init__(self):
-        self._places: _Places | None = None
+        self._lookup: _Lookup | None = None
 
     @property
-    def places(self) -> _Places:
-        if self._places is None:
-            self._places = _Places(self.keys)
-        return self._places
+    def lookup(self) -> _Lookup:
+        if self._lookup is None:
+            self._lookup = _Lookup(self.pieces)
+        return self._lookup
 
     def __getstate__(self):
-        return self.languages, self.keys, self.table
+        return self.languages, self.pieces, self.table
 
     def __setstate__(self, state):
-        self.languages, self.keys, self.table = state
-        self._places = None
-
-    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Numbers of words of one length, and their bytes with the space in front."""
-        if not words:
-            return
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.languages, self.pieces, self.table = state
+        self._lookup = None
+
+    def _at(self, text: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Length k and the pieces text[:, end - k : end], for all lengths that pieces have."""
+        keys = np.zeros(len(text), np.uint64)
+        for k in range(1, min(self.lookup.longest, end) + 1):
+            keys = _longer(keys, text[:, end - k], k)
+            if k in self.lookup.tables:
+                yield k, self.lookup.find(k, keys, lambda rows, k=k: text[rows, end - k : end])
+
+    def _forward(self, text: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Log-likelihoods of rows of bytes of one length, or of ``sizes`` bytes each, with rescaling."""
+        shape = len(text), len(self.languages)
+        alpha, scale, out = {0: np.ones(shape)}, np.zeros(shape), np.zeros(shape)
+        for end in range(1, text.shape[1] + 1):
+            total = np.zeros(shape)
+            for k, place in self._at(text, end):
+                hit = np.flatnonzero(place != self.lookup.none) if k > 4 else slice(None)
+                total[hit] += alpha[end - k][hit] * self.table[place[hit]]
+            alpha[end] = total
+            alpha.pop(end - self.lookup.longest, None)
+            if sizes is not None:
+                done = np.flatnonzero(sizes == end)
+                out[done] = np.log(total[done]) + scale[done]
+                if end % RESCALE == 0:
+                    scale += np.log(total)
+                    alpha = {e: a / total for e, a in alpha.items()}
+        return np.log(total) if sizes is None else out
+
+    def _pieces_in(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """End, length and number of all pieces in one row of bytes, by end; and where each end's begin."""
+        found = []
+        keys = np.zeros(len(text) + 1, np.uint64)
+        for k in range(1, min(self.lookup.longest, len(text)) + 1):
+            keys[k:] = _longer(keys[k:], text[: len(text) + 1 - k], k)
+            if k in self.lookup.tables:
+                windows = np.lib.stride_tricks.sliding_window_view(text, k)
+                place = self.lookup.find(k, keys[k:], lambda rows, w=windows: w[rows])
+                hit = np.flatnonzero(place != self.lookup.none)
+                found.append((hit + k, np.full(len(hit), k), place[hit]))
+        end, size, place = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(end, kind="stable")
+        end, size, place = end[order], size[order], place[order]
+        return end, size, place, np.searchsorted(end, np.arange(len(text) + 2))
+
+    def _forward_one(self, text: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of one row of bytes, rescaled on the way."""
+        _, size, place, at = self._pieces_in(text)
+        alpha, scale = np.zeros((len(text) + 1, len(self.languages))), np.zeros(len(self.languages))
+        alpha[0] = 1
+        for end, low, high in zip(range(1, len(text) + 1), at[1:].tolist(), at[2:].tolist()):
+            alpha[end] = (alpha[end - size[low:high]] * self.table[place[low:high]]).sum(axis=0)
+            if end % RESCALE == 0:
+                total = alpha[end].copy()
+                scale += np.log(total)
+                alpha[max(0, end - self.lookup.longest) : end + 1] /= total
+        return np.log(alpha[len(text)]) + scale
+
+    @staticmethod
+    def _groups(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """Numbers of words of one length each, ``most`` at most."""
         order = np.argsort(sizes, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(sizes[order]) > 0, True])
+        cuts = np.flatnonzero(np.r_[True, np.diff(sizes[order]) > 0, True]) if len(sizes) else []
         for low, high in zip(cuts, cuts[1:]):
-            for at in range(low, high, 20_000):
-                chosen = order[at : min(at + 20_000, high)]
-                text = b"".join(b" " + words[i] for i in chosen.tolist())
-                yield chosen, np.frombuffer(text, np.uint8).reshape(len(chosen), -1)
-
-    def _cut(self, text: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Place of the piece text[:, end - k : end] for every end and k."""
-        found = {}
-        for end in range(1, text.shape[1] + 1):
-            value = np.zeros(len(text), np.uint64)
-            for k in range(1, min(PIECE_BYTES, end) + 1):
-                value |= text[:, end - k].astype(np.uint64) << np.uint64(8 * (k - 1))
-                found[end, k] = self.places.find(value | np.uint64(k << 56))
-        return found
+            for at in range(low, high, most):
+                yield order[at : min(at + most, high)]
+
+    @staticmethod
+    def _bytes(words: list[bytes], chosen: np.ndarray, size: int) -> np.ndarray:
+        text = b"".join((b" " + words[i]).ljust(size, b"\0") for i in chosen.tolist())
+        return np.frombuffer(text, np.uint8).reshape(len(chosen), size)
 
     def likelihoods(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood of each word in each language, over all segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        for chosen, text in self._groups(words):
-            place = self._cut(text)
-            alpha = [np.ones((len(chosen), len(self.languages)))]
-            for end in range(1, text.shape[1] + 1):
-                alpha.append(sum(alpha[end - k] * self.table[place[end, k]] for k in range(1, min(PIECE_BYTES, end) + 1)))
-            out[chosen] = np.log(alpha[-1])
+        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        for chosen in self._groups(np.where(sizes <= STEP_BYTES, sizes, 0), 20_000):
+            if 0 < sizes[chosen[0]] <= STEP_BYTES:
+                out[chosen] = self._forward(self._bytes(words, chosen, sizes[chosen[0]]))
+        long = np.flatnonzero(sizes > STEP_BYTES)
+        # Lengths within a quarter of each other go together, padded.
+        steps = np.floor(np.log(sizes[long]) / math.log(1.25)).astype(np.int64)
+        for part in self._groups(steps, 4_000):
+            chosen = long[part]
+            if len(chosen) >= TOGETHER:
+                out[chosen] = self._forward(self._bytes(words, chosen, sizes[chosen].max()), sizes[chosen])
+            else:
+                for i in chosen.tolist():
+                    out[i] = self._forward_one(np.frombuffer(b" " + words[i], np.uint8))
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, column: int) -> np.ndarray:
-        """Expected number of uses of each piece in counted words of one language."""
-        total = np.zeros(len(self.keys) + 1)
+        """Expected number of uses of each piece in counted words of one language, in ``UNIT``s.
+
+        Each word's share is rounded by itself, so sums don't depend on their order.
+        """
+        total = np.zeros(len(self.pieces) + 1)
         chance = self.table[:, column]
-        for chosen, text in self._groups(words):
-            place, size = self._cut(text), text.shape[1]
+        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        for chosen in self._groups(np.where(sizes <= STEP_BYTES, sizes, 0), 3_000):
+            size = int(sizes[chosen[0]])
+            if size > STEP_BYTES:
+                continue
+            text = self._bytes(words, chosen, size)
+            place = {(end, k): p for end in range(1, size + 1) for k, p in self._at(text, end)}
             used = {key: chance[p] for key, p in place.items()}
-            before = [np.ones(len(chosen))]
-            for end in range(1, size + 1):
-                before.append(sum(before[end - k] * used[end, k] for k in range(1, min(PIECE_BYTES, end) + 1)))
-            after = [np.zeros(len(chosen))] * size + [np.ones(len(chosen))]
-            for start in range(size - 1, -1, -1):
-                after[start] = sum(after[start + k] * used[start + k, k] for k in range(1, min(PIECE_BYTES, size - start) + 1))
-            share = counts[chosen] / before[size]
+            before, after = np.zeros((size + 1, len(chosen))), np.zeros((size + 1, len(chosen)))
+            before[0] = after[size] = 1
+            for end, k in sorted(used):
+                before[end] += before[end - k] * used[end, k]
+            for end, k in sorted(used, key=lambda x: x[1] - x[0]):
+                after[end - k] += after[end] * used[end, k]
+            share = counts[chosen] / before[size] * UNIT
             for (end, k), p in place.items():
-                total += np.bincount(p, before[end - k] * used[end, k] * after[end] * share, len(total))
-        return total[:-1]
+                total += np.bincount(p, np.rint(before[end - k] * used[end, k] * after[end] * share), len(total))
+        for i in np.flatnonzero(sizes > STEP_BYTES).tolist():
+            end, size, place, at = self._pieces_in(np.frombuffer(b" " + words[i], np.uint8))
+            n, p = len(words[i]) + 1, chance[place]
+            alpha, beta, scale = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+            alpha[0] = beta[n] = 1
+            for e in range(1, n + 1):  # alpha[e] is divided by exp(scale[e])
+                part = slice(at[e], at[e + 1])
+                back = e - size[part]
+                value = (alpha[back] * np.exp(scale[back] - scale[e - 1]) * p[part]).sum()
+                alpha[e], scale[e] = 1.0, scale[e - 1] + math.log(value)
+            p *= np.exp(scale[end - size] - scale[end])
+            for e in range(n, 0, -1):
+                part = slice(at[e], at[e + 1])
+                np.add.at(beta, e - size[part], p[part] * beta[e])
+            total += np.bincount(place, np.rint(alpha[end - size] * p * beta[end] * counts[i] * UNIT), len(total))
+        return total[:-1].astype(np.int64)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +303,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(model.languages), len(model.keys)))
+        total = np.zeros((len(model.languages), len(model.pieces)), np.int64)
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy()
@@ -230,12 +347,12 @@ def fit(labelled: DataFrame, pieces_path: str, lang: str = "lang", text: str = "
     pieces = read_pieces(pieces_path)
     table = np.zeros((len(pieces) + 1, len(languages)))
     table[:-1] = 1 / len(pieces)
-    model = Model(languages, _key(pieces), table)
+    model = Model(languages, pieces, table)
     for _ in range(rounds if languages else 0):
-        summed = counts.mapInArrow(_expect(model), "column bigint, piece bigint, n double").groupBy("column", "piece").agg(F.sum("n").alias("n"))
+        summed = counts.mapInArrow(_expect(model), "column bigint, piece bigint, n bigint").groupBy("column", "piece").agg(F.sum("n").alias("n"))
         got = summed.toArrow()
         uses = np.zeros((len(pieces), len(languages)))
-        uses[got["piece"].to_numpy(), got["column"].to_numpy()] = got["n"].to_numpy()
+        uses[got["piece"].to_numpy(), got["column"].to_numpy()] = got["n"].to_numpy() / UNIT
         uses += SMOOTHING * uses.sum(axis=0) / len(pieces) + 1e-9
         model.table[:-1] = uses / uses.sum(axis=0)
     counts.unpersist()

@@ -1,6 +1,7 @@
 """Language identification: the forward sum against all segmentations, held-out accuracy, odd rows."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ def model(spark):
 def cuts(word):
     if not word:
         yield []
-    for k in range(1, min(langid.PIECE_BYTES, len(word)) + 1):
+    for k in range(1, len(word) + 1):
         for rest in cuts(word[k:]):
             yield [word[:k], *rest]
 
@@ -45,10 +46,63 @@ def test_expected_counts_are_posterior_uses(model):
             total += chance
             for p in cut:
                 uses[place[p]] += chance
-    assert np.allclose(model.expected([b"then"], np.array([3]), 0), 3 * uses / total)
+    assert np.allclose(model.expected([b"then"], np.array([3]), 0) / langid.UNIT, 3 * uses / total, atol=1e-5)
     assert model.expected([], np.array([], int), 0).sum() == 0
 
 
+def forward(model, place, word):
+    """Log-likelihoods by the plain recurrence over all pieces of any length, in logarithms."""
+    text = b" " + word
+    alpha = np.full((len(text) + 1, len(model.languages)), -np.inf)
+    alpha[0] = 0
+    for end in range(1, len(text) + 1):
+        terms = [alpha[i] + np.log(model.table[place[text[i:end]]]) for i in range(end) if text[i:end] in place]
+        alpha[end] = np.logaddexp.reduce(terms)
+    return alpha[-1]
+
+
+def test_long_pieces_and_long_words_count(model):
+    """Pieces of 8 to 33 bytes, alone and inside longer words; words far over 40 bytes, few and many of a length."""
+    place = {p: i for i, p in enumerate(langid.read_pieces(PATH))}
+    assert len(place) == 50_256
+    usable = [p for p in place if len(p) >= 8 and not p.decode("utf-8", "replace").strip(" ").translate({c: None for c in range(0x61, 0x7B)}).isascii()]
+    usable += [p for p in place if len(p) >= 8 and p.removeprefix(b" ").isalpha() and p.islower()]
+    rng = random.Random(1)
+    words = sorted({p.removeprefix(b" ") for p in usable if b" " not in p.removeprefix(b" ")}, key=lambda p: (len(p), p))
+    assert len(words) > 1000 and len(words[-1]) >= 20
+    chosen = rng.sample(words, 150) + words[-20:]
+    chosen += [b"".join(rng.sample(words, n)) for n in (2, 3, 5, 8, 20, 100)]
+    chosen += [b"".join(rng.sample(words, 6))[:70] for _ in range(200)]  # go in step, rescaled
+    got = model.likelihoods(chosen)
+    for word, found in zip(chosen, got):
+        assert np.allclose(found, forward(model, place, word), rtol=1e-9), word
+
+
+def test_long_words_teach_as_short_ones_do(model):
+    place = {p: i for i, p in enumerate(langid.read_pieces(PATH))}
+    pieces = langid.read_pieces(PATH)
+    for word in (b"thenandnow" * 2, b"thenandnow" * 12, "перестройка".encode() * 4):
+        text, chance = b" " + word, model.table[:, 0]
+        n = len(text)
+        before, after = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        before[0] = after[n] = 0
+        spans = [(i, e, place[text[i:e]]) for e in range(1, n + 1) for i in range(e) if text[i:e] in place]
+        for i, e, p in spans:
+            before[e] = np.logaddexp(before[e], before[i] + np.log(chance[p]))
+        for i, e, p in sorted(spans, reverse=True):
+            after[i] = np.logaddexp(after[i], after[e] + np.log(chance[p]))
+        uses = np.zeros(len(pieces))
+        for i, e, p in spans:
+            uses[p] += np.exp(before[i] + np.log(chance[p]) + after[e] - before[n])
+        assert np.allclose(model.expected([word], np.array([2]), 0) / langid.UNIT, 2 * uses, atol=1e-4)
+
+
+def test_models_of_two_partitionings_are_equal(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, two = (langid.fit(d, PATH) for d in (docs.coalesce(1), docs.repartition(13)))
+    assert one.languages == two.languages and (one.table == two.table).all()
+
+
 def test_held_out_accuracy_over_the_whole_table(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").collect()}
     got = queries.QUERIES["op3_segmentation_language_id"](spark, SMALL).collect()
