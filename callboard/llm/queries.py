@@ -98,7 +98,18 @@ def _op3(table):
     return langid.identified(table("documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-@query("op4_permutation_table_sharding")
+def _placement_sql() -> str:
+    """The filled table as one list of shard numbers, and the hash of a key."""
+    number = {name: k for k, name in enumerate(SHARDS)}
+    owners = ",".join(str(number[s]) for s in sharding.fill(SHARDS))
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5(coalesce('=' || doc_id, '-')), 1, 15) AS BIGINT) % {sharding.SIZE} AS BIGINT) AS slot
+  FROM documents),
+t AS (SELECT unnest(range(0, {sharding.SIZE})) AS slot, unnest([{owners}]) AS n)
+SELECT doc_id, source, d.slot, printf('shard-%03d', n) AS shard FROM d JOIN t ON d.slot = t.slot"""
+
+
+@query("op4_permutation_table_sharding", _placement_sql())
 def _op4(table):
     """The slot and shard of every document, by its id."""
     return sharding.place(table("documents").select("doc_id", "source"), ["doc_id"], SHARDS)

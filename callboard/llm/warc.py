@@ -91,7 +91,7 @@ class _Archive:
     """Archive files of one task in one folder; a new one whenever the last is full."""
 
     def __init__(self, folder: str):
-        self.system, self.path = fs.FileSystem.from_uri(folder)
+        self.system, self.path = fs.FileSystem.from_uri(workspace.arrow_uri(folder))
         self.folder, self.out, self.at, self.name = folder, None, 0, ""
 
     def add(self, member: bytes) -> tuple[str, int]:
@@ -189,7 +189,7 @@ def _reader(payloads: bool):
                 if file != open_name:
                     if handle is not None:
                         handle.close()
-                    system, path = fs.FileSystem.from_uri(file)
+                    system, path = fs.FileSystem.from_uri(workspace.arrow_uri(file))
                     open_name, handle = file, system.open_input_file(path)
                 data = handle.read_at(stop - start, start)
                 rows = []

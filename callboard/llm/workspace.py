@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from callboard.sources import working
 from callboard.sources.working import drop, folder, release, written
 
-__all__ = ["drop", "folder", "made", "named", "put", "release", "uri", "written"]
+__all__ = ["arrow_uri", "drop", "folder", "made", "named", "put", "release", "uri", "written"]
 
 
 def uri(spark: SparkSession, path: str) -> str:
@@ -45,3 +45,15 @@ def put(spark: SparkSession, path: str, data: bytes) -> str:
     finally:
         out.close()
     return system.makeQualified(hadoop).toString()
+
+
+#: Schemes of Hadoop's file systems under the names that Arrow knows them by.
+_ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "file": "file", "s3": "s3"}
+
+
+def arrow_uri(address: str) -> str:
+    """The address of a file as Arrow's file systems take it; others than those above are an error that names them."""
+    scheme, colon, rest = address.partition(":")
+    if not colon or scheme not in _ARROW_SCHEMES:
+        raise ValueError(f"task code can't write to {address}; set spark.checkpoint.dir to one of {', '.join(_ARROW_SCHEMES)}")
+    return f"{_ARROW_SCHEMES[scheme]}:{rest}"

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from callboard.llm import warc, workspace
 
 ROWS = [(1, "http://a b/\r\nWARC-Type: x", "<p>x</p>"), (2, None, "<p>x</p>"), (None, "u", "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "é", "é" * 200000),
@@ -68,3 +69,11 @@ def test_ranges_are_coalesced_within_a_gap_and_a_size(monkeypatch):
     rows = [("a", 0, 20), ("a", 25, 20), ("a", 60, 10), ("a", 60, 10), ("a", 75, 90), ("b", 75, 500)]
     got = [(f, s, e, len(c)) for f, s, e, c in warc._ranges(rows)]
     assert got == [("a", 0, 45, 2), ("a", 60, 70, 2), ("a", 75, 165, 1), ("b", 75, 575, 1)]
+
+
+def test_addresses_of_object_stores_go_by_the_names_that_arrow_knows():
+    shown = {"s3a://b/x": "s3://b/x", "s3n://b/x": "s3://b/x", "file:/tmp/x": "file:/tmp/x", "abfss://c@a/x": "abfss://c@a/x", "hdfs://n:1/x": "hdfs://n:1/x"}
+    assert {a: workspace.arrow_uri(a) for a in shown} == shown
+    for bad in ("viewfs://store/x", "/tmp/x"):
+        with pytest.raises(ValueError):
+            workspace.arrow_uri(bad)
