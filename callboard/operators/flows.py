@@ -64,12 +64,14 @@ def set_film_status(film: DataFrame, film_audit: DataFrame, updates: DataFrame,
     budget is turned down, and so is one of a film that isn't there.
     """
     budgets = film.select(F.col("film_id").alias("_k"), F.col("budget").alias("_b"))
-    met = updates.join(budgets, F.col("film_id") == F.col("_k"), "left")
+    # An update's own columns travel in one, so that none meets the film's budget.
+    given = updates.select(F.struct(*updates.columns).alias("_u"))
+    met = given.join(budgets, F.col("_u.film_id") == F.col("_k"), "left")
     missing = Q.Rule("film_exists", "No such film", lambda: F.col("_k").isNull())
     minimum = Q.business_rules("film", now.date())
     judged = met.withColumn("budget", F.col("_b"))
     accepted, rejected = Q.validate(judged, [missing, *minimum])
-    accepted, rejected = accepted.select(*updates.columns), rejected.select(*updates.columns, "violations")
+    accepted, rejected = accepted.select("_u.*"), rejected.select("_u.*", "violations")
     moment = F.lit(now) if moment is None else moment
     after, audit = C.status_update(
         film, accepted, "film_id", "production_status", "title", "budget", True, "updated_date", moment

@@ -190,3 +190,15 @@ def test_stored_shooting_costs_are_reconciled(seed):
     first = found[1, 1]
     assert (first["days"], str(first["total_cost"]), str(first["expected_cost"]), str(first["difference"])) == (17, "200000.00", "42500.00", "157500.00")
     assert R.cost_reconciliation(seed, key=4).count() == 2
+
+
+def test_status_updates_keep_columns_named_like_the_films(spark, seed):
+    from callboard.operators import flows
+    from callboard.sources.model import TABLES
+
+    log = spark.createDataFrame([], TABLES["film_audit"].schema())
+    asked = spark.createDataFrame([(1, "Archived", "mine", 7), (77, "Released", "none", 8)], "film_id int, production_status string, budget string, _k int")
+    done = flows.set_film_status(seed["film"], log, asked, dt.datetime(2024, 12, 31))
+    assert rows(done.rejected, "film_id", "budget", "_k") == [(77, "none", 8)]
+    after = {r["film_id"]: r["production_status"] for r in done.tables["film"].collect()}
+    assert after[1] == "Archived" and done.tables["film_audit"].count() == 2
