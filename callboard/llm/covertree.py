@@ -3,9 +3,11 @@
 Unit vectors with cosine c lie sqrt(2 - 2c) apart, so pairs over a threshold are pairs within
 a radius. Equal vectors are brought together by one aggregate first and counted. The distinct
 ones hang below a bounded number of centres, taken from the data by hash: the top level of
-the tree, with the radius each centre covers. A centre's vectors are dealt into blocks of
-bounded size, however many it has. Pairs of centres, and then of blocks, that are further
-apart than both covering radii plus the link radius are skipped.
+the tree, with the radius each centre covers. A centre with more vectors than a block holds is split by
+further centres among its own, again taken by hash: the second level, of cells with radii of
+their own. A cell's vectors are dealt into blocks of bounded size, however many it has. Pairs of
+centres, and then of cells, that are further apart than both covering radii plus the link
+radius are skipped before any vector moves.
 
 Every block carries a cover tree, built once: nested levels whose radii halve, every node a
 vector of the block, its children within the level's radius. For a pair of blocks that is
@@ -33,6 +35,9 @@ CENTRES = 256
 CENTRE_BYTES = 8 << 20
 #: Vectors of a block, about.
 BLOCK_ROWS = 4096
+#: Cells of a centre at most, and bytes of the vectors of all cells at most, about.
+CELLS = 64
+CELL_BYTES = 64 << 20
 #: Nodes with so few vectors are compared whole.
 LEAF = 64
 _SLACK = 1e-9
@@ -224,6 +229,38 @@ def _assign(centres: np.ndarray):
     return run
 
 
+def _settle(cells: np.ndarray, first: np.ndarray):
+    """To each vector the nearest cell of its centre, cells first[c] to first[c + 1], and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _unit(batch.column(1)) if len(batch) else np.zeros((0, cells.shape[1]))
+            centre = batch.column(3).to_numpy()
+            cell, away = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for c in np.unique(centre).tolist():
+                mine = np.flatnonzero(centre == c)
+                far = _distance(points[mine], cells[first[c] : first[c + 1]])
+                cell[mine], away[mine] = first[c] + far.argmin(axis=1), far.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell), pa.array(away)], ["id", "v", "n", "centre", "away"])
+
+    return run
+
+
+def _close(cells: np.ndarray, first: np.ndarray, radius: np.ndarray, reach: float):
+    """Pairs of cells, of pairs of centres, that can hold a link; empty cells have radius -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+                near = _distance(cells[a], cells[b]) <= radius[a, None] + radius[None, b] + reach
+                near &= (radius[a, None] >= 0) & (radius[None, b] >= 0)
+                left, right = np.nonzero(np.triu(near) if i == j else near)
+                yield pa.RecordBatch.from_arrays([pa.array((x + y).astype(np.int32)) for x, y in ((left, first[i]), (right, first[j]))], ["centre_a", "centre_b"])
+
+    return run
+
+
 def _blocks(table: pa.Table) -> pa.Table:
     """One row for the block that a group of vectors is: ids, weights and values side by side."""
     rows = table.num_rows
@@ -268,32 +305,68 @@ def _compare(threshold: float):
     return run
 
 
+def _cells(placed: DataFrame, centres: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """The cells' vectors, where each centre's begin, and each used centre's radius.
+
+    Of a centre's vectors about as many are taken as it needs blocks, twice over, by a bound on
+    their hash; so what the driver gets is ``CELLS`` times ``CENTRES`` vectors at most, give or take chance.
+    """
+    found = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("rows"), F.max("away").alias("away")).collect()  # one row per centre
+    most = max(1, min(CELLS, CELL_BYTES // (8 * size * len(centres))))
+    steps, share = 1 << 40, F.lit(0)
+    for row in found:
+        wanted = min(most, 2 * (row["rows"] // BLOCK_ROWS))
+        if wanted > 1:
+            share = F.when(F.col("centre") == row["centre"], F.lit(steps * wanted // row["rows"])).otherwise(share)
+    taken = placed.where(F.pmod(F.xxhash64("v", F.lit("cell")), F.lit(steps)) < share).select("centre", "v").toArrow()
+    of = taken["centre"].to_numpy()
+    points = _unit(taken["v"].combine_chunks()) if len(of) else np.zeros((0, centres.shape[1]))
+    cells, first = [], [0]
+    for c in range(len(centres)):
+        mine = points[of == c]
+        cells.append(mine if len(mine) else centres[c : c + 1])
+        first.append(first[-1] + len(cells[-1]))
+    return np.concatenate(cells), np.array(first), {r["centre"]: r["away"] for r in found}
+
+
 _PARTS = ("ids", "weights", "values", "tree")
 
 
-def _links(distinct: DataFrame, size: int, rows: int, threshold: float, base: str) -> DataFrame:
-    """(a, b, n) over distinct vectors of one dimension: forest edges, and counts where b is null."""
+def _block_pairs(distinct: DataFrame, size: int, rows: int, threshold: float, base: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the distinct vectors of one dimension, and the pairs of blocks that can hold a link."""
     spark = distinct.sparkSession
     most = max(1, min(CENTRES, CENTRE_BYTES // (8 * size), rows // BLOCK_ROWS + 1))
     picked = distinct.orderBy(F.xxhash64("v"), "id").limit(most).select("v").toArrow()["v"].combine_chunks()
     centres = _unit(picked)
     placed = distinct.mapInArrow(_assign(centres), "id bigint, v array<float>, n bigint, centre int, away double")
     placed = workspace.written(placed, f"{base}/placed")
-    sizes = placed.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
-    dealt = placed.join(F.broadcast(sizes), "centre")  # one row per centre
+    cells, first, far = _cells(placed, centres, size)
+    settled = placed.mapInArrow(_settle(cells, first), "id bigint, v array<float>, n bigint, centre int, away double")
+    settled = workspace.written(settled, f"{base}/settled")
+    sizes = settled.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    dealt = settled.join(F.broadcast(sizes), "centre")  # one row per cell
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int"))
     blocks = dealt.select("centre", "part", "id", "v", "n", "away").groupBy("centre", "part").applyInArrow(_blocks, _BLOCK_DDL)
     blocks = workspace.written(blocks, f"{base}/blocks")
-    radius = {r["centre"]: r["away"] for r in blocks.groupBy("centre").agg(F.max("away").alias("away")).collect()}
+    radius = np.full(len(cells), -1.0)
+    for row in blocks.groupBy("centre").agg(F.max("away").alias("away")).collect():  # one row per cell
+        radius[row["centre"]] = row["away"]
     apart = _distance(centres, centres)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
-    near = [(i, j) for i in radius for j in radius if i <= j and apart[i, j] <= radius[i] + radius[j] + reach]
-    wanted = spark.createDataFrame(near, "centre_a int, centre_b int")  # at most CENTRES squared
+    near = [(i, j) for i in far for j in far if i <= j and apart[i, j] <= far[i] + far[j] + reach]
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = spark.createDataFrame(near, "a int, b int").repartition(min(count, len(near)), "a", "b")  # at most CENTRES squared
+    wanted = workspace.written(wanted.mapInArrow(_close(cells, first, radius, reach), "centre_a int, centre_b int"), f"{base}/near")
     marks = blocks.select("centre", "part", "away")
     left = marks.select(F.col("centre").alias("centre_a"), F.col("part").alias("part_a"))
     right = marks.select(F.col("centre").alias("centre_b"), F.col("part").alias("part_b"))
-    pairs = left.join(wanted, "centre_a").join(right, "centre_b").where("centre_a < centre_b OR part_a <= part_b")
-    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks, left.join(wanted, "centre_a").join(right, "centre_b").where("centre_a <> centre_b OR part_a <= part_b")
+
+
+def _links(distinct: DataFrame, size: int, rows: int, threshold: float, base: str) -> DataFrame:
+    """(a, b, n) over distinct vectors of one dimension: forest edges, and counts where b is null."""
+    blocks, pairs = _block_pairs(distinct, size, rows, threshold, base)
+    count = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = pairs.repartition(count, "centre_a", "part_a", "centre_b", "part_b")
     for s in "ab":
         full = blocks.select("centre", "part", *[F.col(c).alias(f"{c}_{s}") for c in _PARTS])

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from callboard.llm import covertree
+from callboard.llm import covertree, workspace
 
 
 def brute(rows, threshold=0.95):
@@ -88,3 +88,21 @@ def test_nodes_cover_their_members_and_walks_find_every_link(spread):
         else:
             assert (links.count_a == close.sum(axis=1)).all() and (links.count_b == close.sum(axis=0)).all()
         assert all(close[i, j] for i, j in links.edges) and len(links.edges) <= len(a) + len(b)
+
+
+def test_block_pairs_grow_with_the_blocks_where_vectors_have_structure(spark, monkeypatch):
+    """Eight times the vectors of a surface in 16 dimensions: pairs per block stay about the same."""
+    monkeypatch.setattr(covertree, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(covertree, "CENTRES", 16)
+    rng = np.random.default_rng(5)
+    plane = np.linalg.qr(rng.normal(size=(16, 3)))[0]
+    per_block = []
+    for rows in (4_000, 32_000):
+        points = rng.normal(size=(rows, 3)) @ plane.T
+        made = spark.createDataFrame([(i, single(p), 1) for i, p in enumerate(points)], "id bigint, v array<float>, n bigint")
+        blocks, pairs = covertree._block_pairs(made, 16, rows, 0.9995, workspace.folder(spark, "pairs"))
+        assert blocks.agg({"rows": "sum"}).first()[0] == rows
+        count, found = blocks.count(), pairs.count()
+        assert count < 4 * rows / 128
+        per_block.append(found / count)
+    assert per_block[1] < 1.5 * per_block[0] and per_block[1] < 30, per_block
