@@ -45,7 +45,7 @@ BLOCK_BYTES = 16 << 20
 BLOCK = 4
 _BITS = 18
 #: Bytes of normalised text searched together.
-PART = 4 << 20
+PART = 1 << 20
 #: Bytes of normalised text that wait for all blocks of patterns.
 HELD = 48 << 20
 _LANES = 2048
@@ -98,10 +98,11 @@ class _Sums:
         if len(factors):
             factors[0] = 1
         weights = np.cumprod(factors)
+        weights *= buffer.astype(np.uint64) + np.uint64(1)
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * weights, out=self.sums[1:])
+        np.cumsum(weights, out=self.sums[1:])
         factors[1:] = _BASE
-        self.back = np.cumprod(factors)
+        self.back = np.cumprod(factors, out=factors)
 
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.back[start]
