@@ -123,8 +123,8 @@ __all__ = [
 def distinct_sketch(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     """(keys, bucket, bits): which whole numbers of ``member`` occur per key, exactly, as bitmaps.
 
-    A bitmap covers 32,768 neighbouring numbers in 4 KB, so this suits dense ids. Rows become bits before
-    the shuffle: a hot key sends one bitmap per task and bucket, never its ids. Sketches
+    A bitmap covers 32,768 neighbouring numbers in 4 KB, so this suits few keys with dense ids;
+    ``distinct_words`` suits any. Rows become bits before the shuffle: a hot key sends one bitmap per task and bucket, never its ids. Sketches
     of parts of a table (days, partitions) are stored and united later by ``united_sketches``;
     numbers that occur in several parts count once. Nulls aren't members.
     """
@@ -143,3 +143,21 @@ def united_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
 def sketched_counts(sketches: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """The number of distinct members per key of sketches with one bitmap per key and bucket."""
     return sketches.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
+def distinct_words(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+    """(keys, word, bits): which whole numbers of ``member`` occur per key, exactly, 64 neighbours in a number.
+
+    Where many keys have few members each, a key holds one small row per member at most, not 4 KB,
+    and a hot key with dense ids still sends a row for 64 of them. Words of parts of a table unite
+    by ``bit_or`` over equal keys and words. Nulls aren't members.
+    """
+    number = F.col(member).cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(63).cast("int"))
+    placed = df.where(F.col(member).isNotNull()).select(*keys, F.shiftright(number, 6).alias("word"), bit.alias("_bit"))
+    return placed.groupBy(*keys, "word").agg(F.bit_or("_bit").alias("bits"))
+
+
+def word_counts(words: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """The number of distinct members per key of ``distinct_words`` with one row per key and word."""
+    return words.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias(name))

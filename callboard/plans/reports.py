@@ -126,11 +126,11 @@ def kpi_totals(t: Tables, receipts: DataFrame | None = None) -> DataFrame:
 
 
 def _with_distinct(parents: DataFrame, child: DataFrame, on: Mapping[str, str], member: str, name: str, bitmaps: bool) -> DataFrame:
-    """A child's number of distinct members per parent, 0 without any; by bitmaps where its ids are dense numbers."""
+    """A child's number of distinct members per parent, 0 without any; by bitmaps of 64 whole numbers if asked."""
     if not bitmaps:
         return attach(parents, child, on, {name: F.count_distinct(member)}, {name: 0})
     keys = list(on.values())
-    counted = A.sketched_counts(A.distinct_sketch(child, keys, member), keys, name)
+    counted = A.word_counts(A.distinct_words(child, keys, member), keys, name)
     return lookup(parents, counted, on, [name], {name: 0})
 
 
@@ -138,8 +138,8 @@ def production_summary(t: Tables, key=None, bitmaps: bool = False) -> DataFrame:
     """Distinct actors, scenes, crew and locations per film.
 
     Four children are aggregated separately; a raw star join would multiply them. With
-    ``bitmaps`` a film's ids travel as bitmaps (``aggregates.distinct_sketch``), which pays
-    where films have very many rows.
+    ``bitmaps`` a film's ids travel as bitmaps (``aggregates.distinct_words``), which pays
+    where films have very many rows and costs no more than the ids where they have few.
     """
     films = _with_director(_only(t["film"], "film_id", key), t["director"], "director")
     known_places = having_match(t["shot_at"], t["shooting_location"], {"location_id": "location_id"})

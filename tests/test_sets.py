@@ -12,6 +12,7 @@ from callboard.operators import quality as Q
 from callboard.plans import batch, views
 from callboard.plans import bindings as B
 from callboard.plans import reports as R
+from callboard.plans.catalog import QUERIES
 from callboard.plans.queries_sets import MONEY_REPORTS, NOCASE
 from callboard.plans.registry import Data
 
@@ -75,6 +76,25 @@ def test_a_hot_key_sends_bitmaps_and_no_ids(spark):
     assert sketch.count() == 3  # 1..32768 and beyond, and zero in a bucket of its own
 
 
+def test_words_count_distinct_members(spark):
+    data = [(k, m) for k in ("a", "b", None) for m in (-(2**63), -40_000, -64, -1, 0, 1, 63, 63, 64, 2**40, 2**63 - 1, None)]
+    frame = spark.createDataFrame([*data, ("a", 7), ("c", None)], "k string, m bigint")
+    want = rows(frame.where("m IS NOT NULL").groupBy("k").agg(F.count_distinct("m").alias("n")))
+    assert rows(A.word_counts(A.distinct_words(frame, ["k"], "m"), ["k"], "n")) == want
+    small = frame.where("m BETWEEN -100 AND 100").withColumn("m", F.col("m").cast("int"))
+    assert rows(A.word_counts(A.distinct_words(small, ["k"], "m"), ["k"], "n")) == rows(small.groupBy("k").agg(F.count_distinct("m").alias("n")).where("n > 0"))
+    hot = spark.range(400_000, numPartitions=4).selectExpr("1 AS film_id", "id % 64000 AS actor_id")
+    assert A.distinct_words(hot, ["film_id"], "actor_id").count() == 1000
+
+
+def test_bitmap_reports_hold_no_wide_bitmap_per_key(spark):
+    """A film or scene with a few rows must not cost 4 KB a member, and its aggregate stays a hash aggregate."""
+    for name in ("production_summary_bitmaps", "scene_filming_summary_bitmaps"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "bit_or" in plan and "bitmap_construct_agg" not in plan, name
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, name
+
+
 def test_spread_joins_under_a_collation(spark):
     text = lambda c: F.collate(c, NOCASE)
     left = spark.createDataFrame([("Ab", 1), ("aB", 2), ("x", 3), (None, 4), ("STRASSE", 5)], "k string, n int")
