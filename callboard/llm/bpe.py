@@ -441,9 +441,14 @@ def publish(docs: DataFrame, text: str, vocabulary_path: str, words: int = LEXIC
     return name
 
 
-def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", columns: Sequence[str] = ()) -> DataFrame:
+def encode(
+    docs: DataFrame, name: str, text: str = "text", ids: str = "ids", columns: Sequence[str] = (), decoded: str | None = None
+) -> DataFrame:
     """``columns`` of every row with ``ids``: the text's token ids as packed little-endian 32-bit numbers.
 
+    With ``decoded`` the column of that name holds what ``decode`` makes of the ids. It comes from
+    the same pass: two operators in one stage would keep two Python workers a core.
+
     ``name`` comes from ``publish``. Null and empty texts give no ids; equal rows give equal
     rows; an empty table gives none. Columns not asked for are neither read nor returned, so
     they may bear any name.
@@ -455,14 +460,23 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", col
             texts = batch.column(batch.num_columns - 1)
             done = 0
             for part in _slices(texts):
-                found = pa.array([i.tobytes() for i in coder.encode(texts.slice(done, part).to_pylist())], pa.binary())
-                kept = [batch.column(k).slice(done, part) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, found], schema=pa.schema([*list(batch.schema)[:-1], pa.field(ids, pa.binary())]))
+                packed, plain = [], []
+                for found in coder.encode(texts.slice(done, part).to_pylist()):
+                    packed.append(found.tobytes())
+                    if decoded is not None:
+                        plain.append(coder.decode(found))
+                arrays = [batch.column(k).slice(done, part) for k in range(batch.num_columns - 1)] + [pa.array(packed, pa.binary())]
+                fields = [*list(batch.schema)[:-1], pa.field(ids, pa.binary())]
+                if decoded is not None:
+                    arrays.append(pa.array(plain, pa.string()))
+                    fields.append(pa.field(decoded, pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
                 done += part
 
     (whole,) = free_names(columns, "text_")
     picked = docs.select(*columns, F.col(text).cast("string").alias(whole))
-    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], T.StructField(ids, T.BinaryType())]))
+    more = [T.StructField(ids, T.BinaryType())] + ([] if decoded is None else [T.StructField(decoded, T.StringType())])
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], *more]))
 
 
 def _slices(texts: pa.Array) -> Iterator[int]:

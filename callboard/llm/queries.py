@@ -59,11 +59,10 @@ def vocabulary(name: str) -> str:
 def encoded(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns``, ``n_tokens`` and ``ids`` of every document, by a lexicon of these documents' words."""
     name = bpe.publish(docs, "text", vocabulary("byte_bpe_50k.json"))
-    coded = bpe.encode(docs, name, columns=columns)
+    coded = bpe.encode(docs, name, columns=columns, decoded="decoded")
     count = (F.octet_length("ids") / 4).cast("bigint")
-    coded = coded.select(*columns, count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    back = bpe.decode(coded.withColumn("_ids_", F.col("ids")), name, "_ids_")
-    return back.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    back = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return coded.select(*columns, count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", back)
 
 
 @query("op1_transducer_bpe")

@@ -71,3 +71,14 @@ def test_nulls_repeats_empty_tables_and_other_columns(spark, docs):
     assert [(r["doc_id"], r["found"], r["decoded"]) for r in back] == [(None, "y", "x"), (1, "y", ""), (2, "y", ""), (3, "y", "a b a b"), (3, "y", "a b a b")]
     empty = frame.limit(0)
     assert bpe.encode(empty, bpe.publish(empty, "text", PATH), columns=["doc_id"]).count() == 0
+
+
+def test_one_pass_encodes_and_decodes(spark, docs):
+    frame = docs([(3, "a b a b"), (1, None), (2, ""), (None, "x <|endoftext|>  é\U0001f600")])
+    both = queries.encoded(frame, "doc_id")
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    name = bpe.publish(frame, "text", public_tokenizers.path("byte_bpe_50k.json"))
+    apart = bpe.decode(bpe.encode(frame, name, columns=["doc_id"]), name).orderBy("doc_id").collect()
+    once = bpe.encode(frame, name, columns=["doc_id"], decoded="back").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["back"]) for r in once] == [(r["doc_id"], r["decoded"]) for r in apart]
+    assert bpe.decode(both.select("doc_id", "ids"), name).where("decoded <> ''").count() == 2
