@@ -138,6 +138,10 @@ def recover_partitions(spark: SparkSession, root: str) -> None:
             working.drop(spark, f"{root}/{name}")
 
 
+#: Folders of a split that is written batch by batch, each with its own number.
+BATCH = "_batch"
+
+
 def write_split(checked: DataFrame, path: str, flag: str = "is_valid") -> None:
     """Write valid and quarantined rows in one pass, as two folders of one table."""
     checked.write.mode("errorifexists").partitionBy(flag).parquet(path)
@@ -146,6 +150,6 @@ def write_split(checked: DataFrame, path: str, flag: str = "is_valid") -> None:
 def read_split(spark: SparkSession, path: str, flag: str = "is_valid") -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with their violations); each side reads its own folder."""
     # A folder name is read back as text, and this comparison prunes folders.
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(path).drop(BATCH)
     valid = stored.where(F.col(flag) == "true").drop(flag, "violations")
     return valid, stored.where(F.col(flag) == "false").drop(flag)

@@ -15,12 +15,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from callboard.operators.quality import VIOLATION, AnyRule, Unique, check
+from callboard.sources import sinks
 
 AVAILABLE = {"availableNow": True}
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -56,37 +57,42 @@ def _file_sink(rows: DataFrame, path: str, checkpoint: str, trigger: Mapping, by
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-class _LaterCopies(StatefulProcessor):
-    """Marks all rows of a key but the first; whether a key was seen is the state.
+def _keyed_sink(
+    checked: DataFrame, rule: Unique, order_by: Sequence[str], path: str, checkpoint: str, trigger: Mapping
+) -> StreamingQuery:
+    """A batch's rows, later copies of a key marked, under the batch's own number.
 
-    The order within a batch decides, and only the row that leads so far is held back.
+    Streaming deduplication says which keys a batch brings for the first time; its state is one
+    entry per key. Of a new key's rows the first in order stays; the number of a row settles ties.
+    A batch repeated after a failure overwrites its own rows.
     """
+    off_heap_state(checked.sparkSession)
+    keys = [f"k{i}" for i in range(len(rule.key))]
+    shaped = checked.select(
+        F.struct("*").alias("row"), F.struct(*order_by).alias("place"), *[F.col(c).alias(k) for c, k in zip(rule.key, keys)]
+    )
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    arrived = shaped.unionByName(shaped.where(known).select(*keys).dropDuplicates(), allowMissingColumns=True)
+    broken = F.array(F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.message).alias("message"))).cast(f"array<{VIOLATION}>")
 
-    def __init__(self, rule: Unique, order_by: Sequence[str]):
-        self.rule, self.order = rule, list(order_by)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def _place(self, row: Row) -> tuple:
-        return tuple((row[c] is not None, row[c]) for c in self.order)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        broken = [Row(rule_id=self.rule.rule_id, message=self.rule.message)]
-        free, lead = any(k is None for k in key), None
-        known = free or self.seen.exists()
-        for row in rows:
-            if not known and (lead is None or self._place(row) < self._place(lead)):
-                row, lead = lead, row
-            if row is not None:
-                yield Row(**{**row.asDict(False), "_copy": [] if free else broken})
-        if lead is not None:
-            yield Row(**{**lead.asDict(False), "_copy": []})
-        if not known:
-            self.seen.update((True,))
-
-    def close(self) -> None:
-        pass
+    def store(batch: DataFrame, epoch: int) -> None:
+        held = batch.withColumn("id", F.monotonically_increasing_id()).persist()
+        try:
+            real = F.col("row").isNotNull()
+            first = held.where(known).groupBy(*keys).agg(
+                F.min(F.when(real, F.struct("place", "id"))).alias("first"), F.max(~real).alias("new")
+            )
+            leads = first.where("new").select(F.col("first.id").alias("lead"))
+            marked = held.where(real).join(leads, F.col("id") == F.col("lead"), "left")
+            copy = F.expr(known) & F.col("lead").isNull()
+            violations = F.when(copy, F.concat("row.violations", broken)).otherwise(F.col("row.violations"))
+            out = marked.select("row.*", violations.alias("_now")).drop("violations", "is_valid")
+            out = out.withColumnRenamed("_now", "violations").withColumn("is_valid", F.size("violations") == 0)
+            out.write.mode("overwrite").partitionBy("is_valid").parquet(f"{path}/{sinks.BATCH}={epoch}")
+        finally:
+            held.unpersist()
+
+    return arrived.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def quarantine(
@@ -104,18 +110,14 @@ def quarantine(
     One key rule may be among the rules: the first row of a key in the order of ``order_by``
     stays, later ones break the rule, where batches arrive in that order; a key that holds a
     NULL is never a copy. Which keys were seen is state, one entry per key. Both sides go into one
-    exactly-once file sink that ``sinks.read_split`` reads.
+    exactly-once file sink, or with a key rule into a folder per batch; ``sinks.read_split`` reads either.
     """
     keys = [rule for rule in rules if isinstance(rule, Unique)]
     if len(keys) > 1 or keys and not order_by:
         raise ValueError("a stream takes one key rule, with the order that says which row is first")
     checked = check(rows, [rule for rule in rules if rule not in keys], refs)
     if keys:
-        off_heap_state(rows.sparkSession)
-        marked = T.StructType([*checked.schema.fields, T.StructField("_copy", T.ArrayType(T.StructType.fromDDL("rule_id string, message string")))])
-        checked = checked.groupBy(*keys[0].key).transformWithState(_LaterCopies(keys[0], order_by), marked, "Append", "None")
-        broken = F.concat("violations", F.col("_copy").cast(f"array<{VIOLATION}>"))
-        checked = checked.withColumn("violations", broken).withColumn("is_valid", F.size("violations") == 0).drop("_copy")
+        return _keyed_sink(checked, keys[0], order_by, path, checkpoint, trigger)
     return _file_sink(checked, path, checkpoint, trigger, ["is_valid"])
 
 

@@ -151,3 +151,17 @@ def test_key_rule_leaves_open_keys_alone_and_asks_for_an_order(spark, tmp_path):
     jobs.quarantine(stream, [Q.Unique("u", "m", ("k",))], out, str(tmp_path / "c"), order_by=["t", "x"]).awaitTermination()
     valid, bad = sinks.read_split(spark, out)
     assert rows(valid) == [(1, None, "e"), (None, 1, "a"), (None, 2, "b")] and rows(bad, "k", "t") == [(1, 4), (1, 5)]
+
+
+def test_key_rule_keeps_one_of_equal_rows_without_python_state(spark, tmp_path):
+    schema = "k bigint, t int"
+    for part in ([(1, 5), (1, 5), (2, 6), (None, 1)], [(1, 5), (2, 6), (3, 7), (3, 7), (None, 1)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = jobs.read_files(spark, str(tmp_path / "feed"), schema)
+        rule = Q.Unique("u", "m", ("k",))
+        done = jobs.quarantine(stream, [rule], str(tmp_path / "out"), str(tmp_path / "c"), order_by=["t"])
+        done.awaitTermination()
+        assert [s["operatorName"] for s in done.lastProgress["stateOperators"]] == ["dedupe"]
+    valid, bad = sinks.read_split(spark, str(tmp_path / "out"))
+    assert rows(valid) == [(1, 5), (2, 6), (3, 7), (None, 1), (None, 1)]
+    assert rows(bad, "k", "t") == [(1, 5), (1, 5), (2, 6), (3, 7)]
